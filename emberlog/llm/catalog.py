@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.keyness import keyness, standout_terms
+from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs
 from emberlog.llm.sampling import uniform_sample
 from emberlog.sources.tables import table
 
@@ -26,6 +27,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standout_terms(keyness(table(spark, sf_dir, "sparse_postings"))).select("doc_id", "term_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages that look the same in print and differ in their characters."""
+    return look_equal_pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every page's text."""
+    return consistent_forms(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
