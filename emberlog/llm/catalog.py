@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.keyness import keyness, standout_terms
+from emberlog.llm.leaks import leaked_passages
 from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs
 from emberlog.llm.sampling import uniform_sample
 from emberlog.sources.tables import table
@@ -27,6 +28,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standout_terms(keyness(table(spark, sf_dir, "sparse_postings"))).select("doc_id", "term_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that print at least twelve consecutive words of an evaluation item, with the item."""
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pages that look the same in print and differ in their characters."""
     return look_equal_pairs(table(spark, sf_dir, "documents"))
