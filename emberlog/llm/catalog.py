@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emberlog.llm.keyness import keyness, standout_terms
 from emberlog.llm.leaks import leaked_passages
 from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs
+from emberlog.llm.packing import pack
 from emberlog.llm.sampling import uniform_sample
 from emberlog.sources.tables import table
 
@@ -28,6 +29,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standout_terms(keyness(table(spark, sf_dir, "sparse_postings"))).select("doc_id", "term_id")
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2 048 tokens, and the place in it, of every page or piece of a long page."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that print at least twelve consecutive words of an evaluation item, with the item."""
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
