@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from emberlog.llm.clusters import cluster_report, similarity_clusters
 from emberlog.llm.keyness import keyness, standout_terms
 from emberlog.llm.leaks import leaked_passages
 from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs
@@ -29,6 +31,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standout_terms(keyness(table(spark, sf_dir, "sparse_postings"))).select("doc_id", "term_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key of a cluster of at least three keys, with the cluster's smallest key."""
+    clusters = similarity_clusters(table(spark, sf_dir, "mmap_vectors"))
+    sizes = clusters.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("cluster_key")
+    return clusters.join(sizes, "cluster_key", "left_semi").select("key", "cluster_key")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical keys of every cluster of at least three keys."""
+    return cluster_report(similarity_clusters(table(spark, sf_dir, "mmap_vectors")))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2 048 tokens, and the place in it, of every page or piece of a long page."""
     return pack(table(spark, sf_dir, "documents"))
@@ -64,8 +78,23 @@ w AS (SELECT sum(weight) AS all_weight FROM p)
 """
 
 
+#: The similar pairs of all sound vectors; exact, for small tables.
+_PAIRS = """
+WITH RECURSIVE v AS (
+  SELECT key, CAST(vector AS DOUBLE[]) AS x FROM mmap_vectors
+  WHERE key IS NOT NULL AND len(vector) = 128 AND list_bool_and(list_transform(vector, lambda a: a IS NOT NULL AND isfinite(a))) AND list_bool_or(list_transform(vector, lambda a: a <> 0))
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1),
+u AS (SELECT key, list_transform(x, lambda a: a / sqrt(list_inner_product(x, x)))::DOUBLE[128] AS x FROM v),
+near AS (SELECT a.key AS a, b.key AS b, round(1 - array_inner_product(a.x, b.x), 9) AS d FROM u a JOIN u b ON a.key <> b.key WHERE 1 - array_inner_product(a.x, b.x) <= 0.31)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _PAIRS
+        + """, reach AS (SELECT key AS a, key AS b FROM u UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b WHERE near.d <= 0.30),
+c AS (SELECT a AS key, min(b) AS cluster_key FROM reach GROUP BY a)
+SELECT key, cluster_key FROM c QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 3""",
         "p4_scores": _LIVE
         + """, x AS (SELECT *, 10.0::DOUBLE * term_weight / all_weight AS a, term_weight - weight AS yr FROM p JOIN t USING (term_id) JOIN d USING (doc_id), n, w)
 SELECT doc_id, term_id, weight, doc_freq, num_documents,
