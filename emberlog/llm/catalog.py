@@ -9,6 +9,7 @@ from emberlog.llm.clusters import cluster_report, similarity_clusters
 from emberlog.llm.keyness import keyness, standout_terms
 from emberlog.llm.leaks import leaked_passages
 from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs
+from emberlog.llm.neighbours import nearest
 from emberlog.llm.packing import pack
 from emberlog.llm.sampling import uniform_sample
 from emberlog.sources.tables import table
@@ -43,6 +44,17 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_report(similarity_clusters(table(spark, sf_dir, "mmap_vectors")))
 
 
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most similar keys of every key, with rank and cosine distance."""
+    return nearest(table(spark, sf_dir, "mmap_vectors"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of keys of which one is among the other's three most similar, at a cosine distance of at most 0.30."""
+    near = nearest(table(spark, sf_dir, "mmap_vectors")).filter("distance <= 0.30")
+    return near.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2 048 tokens, and the place in it, of every page or piece of a long page."""
     return pack(table(spark, sf_dir, "documents"))
@@ -95,6 +107,9 @@ def oracle_sql() -> dict[str, str]:
         + """, reach AS (SELECT key AS a, key AS b FROM u UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b WHERE near.d <= 0.30),
 c AS (SELECT a AS key, min(b) AS cluster_key FROM reach GROUP BY a)
 SELECT key, cluster_key FROM c QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 3""",
+        "p6_found": _PAIRS
+        + """, three AS (SELECT a, b FROM near WHERE d <= 0.30 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 3)
+SELECT DISTINCT least(a, b) AS key_a, greatest(a, b) AS key_b FROM three""",
         "p4_scores": _LIVE
         + """, x AS (SELECT *, 10.0::DOUBLE * term_weight / all_weight AS a, term_weight - weight AS yr FROM p JOIN t USING (term_id) JOIN d USING (doc_id), n, w)
 SELECT doc_id, term_id, weight, doc_freq, num_documents,

@@ -3,7 +3,7 @@
 The cells are leaders and rest cells. Leaders are the middles of the dense regions of the sample: in hash order, a vector that
 at least ``least`` others of the sample are near to. A leader that would hold more than ``max_cell`` rows is split by k-means of
 its sample. Around what no leader holds, a spherical k-means gives the rest cells. Every row, in the sample or not, has a home,
-its nearest cell, and visits the nearest ``probes`` of the cells that are near, or of all cells if none is. So a cell's task is
+its nearest cell (a rest cell, if no leader is near), and visits the nearest ``probes`` of the cells that are near, or of all cells if none is. So a cell's task is
 bounded by ``max_cell`` and the visits, whatever share of the rows is similar. The model has at most ``sample`` vectors.
 """
 
@@ -59,13 +59,20 @@ class Cells:
         self.centres, self.leaders, self.near, self.probes = centres.astype(np.float32), leaders, near, probes
         self.rows, self.loose = rows, loose
 
+    def homes(self, s: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """The nearest cell; of a row that no leader is near to, the nearest rest cell."""
+        home = s.argmax(axis=1)
+        if self.leaders < s.shape[1] and alone.any():
+            home[alone] = self.leaders + s[alone, self.leaders :].argmax(axis=1)
+        return home
+
     def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, at home?) of every cell that a row belongs to or visits."""
         s = unit @ self.centres.T
-        home = s.argmax(axis=1)
         close = s >= self.near
         close[:, self.leaders :] = False
         alone = ~close.any(axis=1)
+        home = self.homes(s, alone)
         k = min(self.probes, s.shape[1])
         wanted = alone | (close.sum(axis=1) > k)
         out = close & ~wanted[:, None]
