@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.catalog import history
+from emberlog.catalog import history, kv
 
-MODULES = (history,)
+MODULES = (history, kv)
 
 
 def queries() -> dict:
