@@ -29,6 +29,7 @@ from emberlog.llm.vectors import DIMS, Cells, directions, fit_cells, hash_sample
 from emberlog.plans.session import cut
 
 BLOCK, WORDS = 2, 16
+PAIRED = 1024
 
 
 class Codebook:
@@ -105,12 +106,16 @@ def scan(queries: np.ndarray, codes: np.ndarray, words: np.ndarray, keep: int, s
 
     codes: bytes of two four-bit codes (members, bytes). Tables are laid out code x query, so a member's codes fetch whole rows.
     """
-    nq, bytes_ = len(queries), codes.shape[1]
-    q = queries.reshape(nq, -1, BLOCK)
-    table = np.einsum("qbd,bwd->bwq", q, words)  # blocks x words x queries
-    pairs = (table[0::2][:, :, None, :] + table[1::2][:, None, :, :]).reshape(bytes_, WORDS * WORDS, nq)
+    nq = len(queries)
+    q = queries.reshape(nq, -1, BLOCK).transpose(1, 2, 0)
+    table = words[:, :, :1] * q[:, :1] + words[:, :, 1:] * q[:, 1:]  # blocks x words x queries
     # to 16-bit integers, by a scale for each query that the sum of all tables can't overflow
-    pairs = np.rint(pairs * (32_000 / np.maximum(np.abs(pairs).max(axis=1).sum(axis=0), 1e-30))).astype(np.int16)
+    table = np.rint(table * (32_000 / np.maximum(np.abs(table).max(axis=1).sum(axis=0), 1e-30))).astype(np.int16)
+    if len(codes) >= PAIRED:  # two codes to a look-up pays for the larger tables
+        pairs = (table[0::2][:, :, None, :] + table[1::2][:, None, :, :]).reshape(len(table) // 2, WORDS * WORDS, nq)
+    else:
+        pairs, codes = table, np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)
+    bytes_ = codes.shape[1]
     held_q, held_m, held_s = [], [], []
     floor = np.full(nq, -32_768, np.int16)
     got = 0
@@ -143,6 +148,19 @@ def scan(queries: np.ndarray, codes: np.ndarray, words: np.ndarray, keep: int, s
     return held_q[0], held_m[0]
 
 
+def exact_products(x: np.ndarray, members: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (q, m) in double: as one matrix product over the members that occur, where that is cheaper than pair by pair."""
+    used = np.flatnonzero(np.bincount(m, minlength=len(members)))
+    if len(used) * len(x) < 20 * len(q):
+        place = np.empty(len(members), np.int64)
+        place[used] = np.arange(len(used))
+        return (x @ members[used].T)[q, place[m]]
+    d = np.empty(len(q))
+    for i in range(0, len(q), 8192):
+        d[i : i + 8192] = np.einsum("ij,ij->i", x[q[i : i + 8192]], members[m[i : i + 8192]])
+    return d
+
+
 def search_cell(exact_q: np.ndarray, exact_m: np.ndarray, same: np.ndarray, codes: np.ndarray, words: np.ndarray, rank: np.ndarray, k: int, keep: int, chunk: int = 192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, distance) of the k closest members of each query; same: the member that a query itself is, or -1. rank orders ties."""
     out_q, out_m, out_d = [], [], []
@@ -151,9 +169,7 @@ def search_cell(exact_q: np.ndarray, exact_m: np.ndarray, same: np.ndarray, code
         q, m = scan(x.astype(np.float32), codes, words, keep + 1)
         other = same[a + q] != m
         q, m = q[other], m[other]
-        d = np.empty(len(q))
-        for i in range(0, len(q), 8192):
-            d[i : i + 8192] = 1.0 - np.einsum("ij,ij->i", x[q[i : i + 8192]], exact_m[m[i : i + 8192]])
+        d = 1.0 - exact_products(x, exact_m, q, m)
         d = np.round(d, 9)
         order = np.lexsort((rank[m], d, q))
         q, m, d = q[order], m[order], d[order]
