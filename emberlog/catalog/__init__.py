@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.catalog import history, kv
+from emberlog.catalog import history, kv, series
 
-MODULES = (history, kv)
+MODULES = (history, kv, series)
 
 
 def queries() -> dict:
