@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.catalog import history, kv, series
+from emberlog.catalog import dense, history, kv, series
 
-MODULES = (history, kv, series)
+MODULES = (history, kv, series, dense)
 
 
 def queries() -> dict:
