@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.catalog import dense, history, kv, series
+from emberlog.catalog import dense, history, kv, lexical, series
 
-MODULES = (history, kv, series, dense)
+MODULES = (history, kv, series, dense, lexical)
 
 
 def queries() -> dict:
