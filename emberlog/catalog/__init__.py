@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from emberlog.catalog import dense, history, kv, lexical, series
+from emberlog.catalog import dense, history, kv, lexical, platform, relational, series, tensors
 
-MODULES = (history, kv, series, dense, lexical)
+MODULES = (history, kv, series, dense, lexical, platform, tensors, relational)
 
 
 def queries() -> dict:
