@@ -154,7 +154,7 @@ n AS (SELECT qid, label, count(*) AS n FROM t GROUP BY ALL) SELECT qid, arg_max(
     "knn_first_write_wins": _V + _TWO + f", f AS (SELECT key, arg_min(x, seq) AS x FROM w GROUP BY key) SELECT key, {_COS} AS score FROM f, q ORDER BY score, key LIMIT 10",
     "knn_last_write_wins": _V + _TWO + f", f AS (SELECT key, arg_max(x, seq) AS x FROM w GROUP BY key) SELECT key, {_COS} AS score FROM f, q ORDER BY score, key LIMIT 10",
     "vec_similarity_desc": _V + ", o AS (SELECT x AS y FROM v WHERE key = 1) SELECT key, round(list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)), 6) AS similarity FROM v, o ORDER BY similarity DESC, key LIMIT 10",
-    "vec_centroid_by_label": _V + "SELECT label, pos, round(avg(e), 6) AS mean FROM (SELECT label, unnest(x) AS e, unnest(range(1, 65)) AS pos FROM v) GROUP BY ALL",
+    "vec_centroid_by_label": _V + "SELECT label, pos, avg(e) AS mean FROM (SELECT label, unnest(x) AS e, unnest(range(1, 65)) AS pos FROM v) GROUP BY ALL",
     "vec_norms": _V + "SELECT key, round(sqrt(list_inner_product(x, x)), 6) AS norm FROM v",
     "vec_new_keys": _V + "SELECT count(*) AS new_keys FROM v WHERE key + 100 NOT IN (SELECT key FROM v)",
     "hot_cold_merge": _V + f""", s AS (SELECT key, {_COS} AS score FROM v, q),

@@ -148,7 +148,7 @@ def metric_auto_step(spark, d):
 def ts_hourly_rollup(spark, d):
     """Counts and sums per hour and type, kept as a table from which coarser units are made."""
     hourly = by_type(spark, d).groupBy("key", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("s"))
-    return hourly.groupBy("key", F.date_trunc("day", "h").alias("day")).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean")).select("key", epoch_seconds("day").alias("day"), "n", "mean")
+    return hourly.groupBy("key", F.date_trunc("day", "h").alias("day")).agg(F.sum("n").alias("n"), F.round(F.sum("s"), 2).alias("total")).select("key", epoch_seconds("day").alias("day"), "n", "total")
 
 
 def wide_pivot(spark, d):
@@ -207,7 +207,7 @@ SELECT key, seq, ma_short, ma_long, CASE WHEN ps <= pl AND ma_short > ma_long TH
     "metric_auto_step": _U + f""", p AS (SELECT *, CASE WHEN seq % 9 = 4 THEN seq % 50 END AS step, count(CASE WHEN seq % 9 = 4 THEN 1 END) {_W}) AS run FROM s),
 q AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY seq) AS n, max(step) OVER (PARTITION BY key, run) AS base FROM p)
 SELECT key, seq, CASE WHEN run = 0 THEN n - 1 ELSE base + n - 1 END AS step FROM q""",
-    "ts_hourly_rollup": _T + "SELECT key, epoch_us(date_trunc('day', ts)::TIMESTAMP) // 1000000 AS day, count(*) AS n, avg(f) AS mean FROM s GROUP BY 1, 2",
+    "ts_hourly_rollup": _T + "SELECT key, epoch_us(date_trunc('day', ts)::TIMESTAMP) // 1000000 AS day, count(*) AS n, round(sum(f), 2) AS total FROM s GROUP BY 1, 2",
     "wide_pivot": _T + """, p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS pos FROM s WHERE user_id < 5 AND key IN ('click', 'error', 'view'))
 SELECT pos, max(f) FILTER (key = 'click') AS click, max(f) FILTER (key = 'error') AS error, max(f) FILTER (key = 'view') AS view FROM p GROUP BY pos""",
 }

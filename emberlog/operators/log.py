@@ -2,7 +2,8 @@
 
 ``seq`` orders the writes of a store; ``op`` is 'P' (put) or 'D' (tombstone). Views are plain DataFrames, so filters on key
 reach the scan. Latest values come from an aggregation (``max_by``), which is combined on the map side: a key that holds a
-third of the log sends one row a task, not its history.
+third of the log sends one row a task, not its history. Places in a history are numbered range by range, so that such a key
+takes several tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from emberlog.errors import EmptyKey, KeyTooLong, StoreNotFound
 from emberlog.functions.atoms import TYPES, atom
 from emberlog.functions.patterns import key_matches
+from emberlog.operators.numbering import number_in_keys
 
 LOG_SCHEMA = "seq bigint, ts timestamp, key string, op string, tag string, f double, i bigint, s string, b binary, v array<float>"
 VALUE = ("tag", *TYPES)
@@ -62,13 +64,13 @@ def history(log: DataFrame, include_deleted: bool = True) -> DataFrame:
     puts = log.filter(F.col("op") != "D")
     if not include_deleted:
         puts = puts.join(keys(log), "key", "left_semi")
-    return puts.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1)
+    return number_in_keys(puts, ["key"], ["seq"])
 
 
 def float_history(log: DataFrame) -> DataFrame:
     """key, pos, f: the floats of every key's history, in order; other tags (int too) are left out."""
     floats = log.filter("op <> 'D' and tag = 'float'")
-    return floats.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1).alias("pos"), "seq", "f")
+    return number_in_keys(floats.select("key", "seq", "f"), ["key"], ["seq"]).select("key", "pos", "seq", "f")
 
 
 def at_offset(log: DataFrame, seq: int) -> DataFrame:

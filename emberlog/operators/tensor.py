@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.atoms import as_double
 from emberlog.functions.patterns import indexed_key, key_matches
 from emberlog.operators.log import float_history, latest
+from emberlog.operators.numbering import number_rows
 
 # NumPy names of the tensor types, little endian.
 DTYPES = {"float32": "<f4", "float64": "<f8", "int32": "<i4", "int64": "<i8"}
@@ -103,18 +104,6 @@ def batches(rows: DataFrame, size: int, order: str = "key", shuffle_seed: int |
     return out.drop("__k", "__n")
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Dense numbers from 0 in the given order: sorted by ranges, numbered in each range, shifted by the ranges' running counts."""
-    ranged = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    from emberlog.plans.session import cut
-
-    ranged = cut(ranged)
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranged.withColumn("__r", place).join(sizes.select("__p", before.alias("__b")), "__p").withColumn(name, F.col("__b") + F.col("__r") - 1).drop("__p", "__r", "__b")
-
-
 def split(rows: DataFrame, share: float = 0.8, order: str = "key", seed: int | None = None) -> DataFrame:
     """Adds ``part`` 'train' or 'test': the first share of the rows in order, or (with a seed) by the hash of the key."""
     if seed is not None:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.numbering import number_rows
+
 
 def to_wide(series: DataFrame, names: Sequence[str], key: str = "key", order: str = "seq", value: str = "f", ts: str | None = None) -> DataFrame:
     """One row per position, one column per key; shorter series end in nulls. ``ts`` adds the earliest time of the position."""
@@ -23,7 +25,7 @@ def from_wide(wide: DataFrame, prefix: str = "", order: str | None = None) -> Da
     (default: as they come); it is not stored itself.
     """
     cols = [f for f in wide.schema.fields if f.name != order]
-    number = F.row_number().over(Window.orderBy(order)) - 1 if order else F.monotonically_increasing_id()
+    numbered = number_rows(wide, [order], "__pos") if order else wide.withColumn("__pos", F.monotonically_increasing_id())
     whole, fraction = ("boolean", "tinyint", "smallint", "int", "bigint"), ("float", "double")
 
     def cell(f):
@@ -33,5 +35,5 @@ def from_wide(wide: DataFrame, prefix: str = "", order: str | None = None) -> Da
         payload = [c.cast("double") if tag == "float" else none.cast("double"), c.cast("bigint") if tag == "int" else none.cast("bigint"), c.cast("string") if tag == "text" else none.cast("string")]
         return F.when(c.isNotNull(), F.struct(F.lit(prefix + f.name).alias("key"), F.lit(tag).alias("tag"), payload[0].alias("f"), payload[1].alias("i"), payload[2].alias("s")))
 
-    cells = wide.select(number.alias("pos"), F.explode(F.array_compact(F.array(*[cell(f) for f in cols]))).alias("c"))
+    cells = numbered.select(F.col("__pos").alias("pos"), F.explode(F.array_compact(F.array(*[cell(f) for f in cols]))).alias("c"))
     return cells.select("c.key", "pos", "c.tag", "c.f", "c.i", "c.s")
