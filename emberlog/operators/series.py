@@ -70,7 +70,7 @@ def zscore_anomalies(df: DataFrame, limit: float = 2.0, key: str = "key", value:
     combined on the map side.
     """
     s = df.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return df.join(s, key).withColumn("z", (F.col(value) - F.col("mean")) / F.col("std")).filter(F.abs(F.col(value) - F.col("mean")) > limit * F.col("std"))
+    return df.join(s, key).withColumn("z", F.try_divide(F.col(value) - F.col("mean"), F.col("std"))).filter(F.abs(F.col(value) - F.col("mean")) > limit * F.col("std"))
 
 
 def normalise(df: DataFrame, key: str = "key", value: str = "f", epsilon: float = 1e-8) -> DataFrame:
@@ -174,7 +174,7 @@ def crossover(df: DataFrame, short: int = 10, long: int = 20, key: str = "key",
 def drawdown(df: DataFrame, key: str = "key", order: str = "seq", value: str = "f") -> DataFrame:
     """key, max_drawdown: the greatest fall from the running maximum, as a share of it."""
     peak = F.max(value).over(_by(key, order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("dd", (peak - F.col(value)) / peak).groupBy(key).agg(F.max("dd").alias("max_drawdown"))
+    return df.withColumn("dd", F.try_divide(peak - F.col(value), peak)).groupBy(key).agg(F.max("dd").alias("max_drawdown"))
 
 
 def trade(prices: np.ndarray, signals: np.ndarray, cash: float = 10_000.0) -> np.ndarray:
@@ -209,13 +209,13 @@ def backtest(signals: DataFrame, cash: float = 10_000.0, key: str = "key", order
 def performance(equity: DataFrame, per_year: int = 252, key: str = "key", order: str = "seq") -> DataFrame:
     """total_return, volatility (yearly), sharpe, max_drawdown, win_rate of an equity curve."""
     w = _by(key, order)
-    r = equity.withColumns({"ret": F.col("equity") / F.lag("equity").over(w) - 1, "peak": F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    r = equity.withColumns({"ret": F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1, "peak": F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     year = F.lit(float(per_year))
     return r.groupBy(key).agg(
-        (F.max_by("equity", order) / F.min_by("equity", order) - 1).alias("total_return"),
+        (F.try_divide(F.max_by("equity", order), F.min_by("equity", order)) - 1).alias("total_return"),
         (F.stddev_pop("ret") * F.sqrt(year)).alias("volatility"),
-        F.when(F.stddev_pop("ret") > 0, F.avg("ret") / F.stddev_pop("ret") * F.sqrt(year)).otherwise(F.lit(0.0)).alias("sharpe"),
-        F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("max_drawdown"),
+        F.when(F.stddev_pop("ret") > 0, F.try_divide(F.avg("ret"), F.stddev_pop("ret")) * F.sqrt(year)).otherwise(F.lit(0.0)).alias("sharpe"),
+        F.max(F.try_divide(F.col("peak") - F.col("equity"), F.col("peak"))).alias("max_drawdown"),
         F.avg(F.when(F.col("ret") > 0, 1.0).when(F.col("ret") < 0, 0.0)).alias("win_rate"),
     )
 
