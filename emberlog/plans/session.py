@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_tasks(spark: SparkSession, times: int = 1) -> int:
     """Number of groups for grouped Python work: follows the session's shuffle partitions, which follow the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * times)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable by the Python workers, where neither their path nor their folder has it: sends it as a zip."""
+    root = Path(__file__).resolve().parents[2]
+    known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    application = spark.sparkContext.applicationId
+    if root in known or application in _SHIPPED:
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='emberlog-')}/emberlog", "zip", root, "emberlog")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
