@@ -19,9 +19,9 @@ anything is grouped, so copies never meet in a group. Texts themselves move only
 from __future__ import annotations
 
 import json
-import sys
 import unicodedata
 from functools import cache
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +84,7 @@ y у γ ү
 """
 
 #: Characters with no width: soft hyphen, joiners, zero-width spaces, direction marks, variation selectors, byte order mark.
-INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
+INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]
 
 
 @cache
@@ -96,7 +96,7 @@ def same_shape() -> dict[str, str]:
 def char_map(accents: bool) -> dict[str, str]:
     """Character -> its printed form (composed), with or without accents; only those that change. '' drops the character."""
     shape, out = same_shape(), {chr(c): "" for c in INVISIBLE}
-    for c in range(0x80, sys.maxunicode + 1):
+    for c in chain(range(0x80, 0x20000), range(0x2F800, 0x2FA20)):  # beyond lie ideographs without decomposition
         ch = chr(c)
         if ch in out or 0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4 or unicodedata.category(ch) in ("Cn", "Co"):
             continue
