@@ -26,7 +26,7 @@ from emberlog.functions.times import epoch_micros
 from emberlog.plans.session import shuffle_tasks
 
 NO_LIMIT = 2**62
-OUTER_BLANKS = r"^[\s\u0085  -‍ ⁠　﻿]+|[\s\u0085  -‍ ⁠　﻿]+$"
+OUTER_BLANKS = r"^[\s\u0085\u00a0\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+|[\s\u0085\u00a0\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+$"
 
 
 def clean_entity(c: Column) -> Column:

@@ -98,6 +98,37 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def search_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "key", vector: str = "vector", qid: str = "qid", block: int = MAX_QUERIES, data_blocks: int | None = None) -> DataFrame:
+    """As ``search_batch`` for any number of queries: blocks of queries against blocks of the corpus.
+
+    Every pair of blocks is one task with bounded sides; a vector is sent once per block of queries.
+    """
+    from emberlog.plans.session import shuffle_tasks
+
+    n = queries.count()
+    q_blocks = max(1, -(-n // block))
+    d_blocks = data_blocks or shuffle_tasks(vectors.sparkSession)
+    kind = dict(vectors.dtypes)[key]
+    q = queries.select(F.pmod(F.xxhash64(qid), F.lit(q_blocks)).cast("int").alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("__d"), F.col(qid).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    x = vectors.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(d_blocks)).cast("int").alias("__d"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("__q"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["qid", "key", "score"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (left.schema.field("qid").type, right.schema.field("key").type, pa.float64()))})
+        a, b = (np.array(t.column("v").to_pylist(), np.float64) for t in (left, right))
+        keys = np.array(right.column("key").to_pylist(), dtype=object)
+        rank = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+        d = np.round(distance_matrix(metric, a, b), 9)
+        top = np.lexsort((np.broadcast_to(rank, d.shape), d), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(a)), top.shape[1])
+        return pa.table({"qid": left.column("qid").take(pa.array(rows)), "key": right.column("key").take(pa.array(top.ravel())), "score": pa.array(d[rows, top.ravel()])})
+
+    found = q.groupBy("__q", "__d").cogroup(x.groupBy("__q", "__d")).applyInArrow(best, f"qid {dict(queries.dtypes)[qid]}, key {kind}, score double")
+    w = Window.partitionBy("qid").orderBy("score", "key")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def merge_tiers(hot: DataFrame, cold: DataFrame, k: int) -> DataFrame:
     """key, score, source of the k best of two result sets, each key once with its lower score (ties: hot)."""
     both = hot.select("key", "score", F.lit("hot").alias("source")).unionByName(cold.select("key", "score", F.lit("cold").alias("source")))
