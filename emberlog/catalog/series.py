@@ -22,6 +22,15 @@ def ts_rolling(spark, d):
     return S.rolling(by_user(spark, d), 10).select("key", "seq", "roll_mean", "roll_std", "roll_min", "roll_max", "roll_range", "roll_median")
 
 
+def ts_rolling_hot(spark, d):
+    """The same windows over few, long series, in chunks."""
+    return S.rolling(by_type(spark, d), 20, chunk=500).select("key", "seq", "roll_mean", "roll_max")
+
+
+def ts_lag_hot(spark, d):
+    return S.lags(by_type(spark, d), (1, 10), chunk=300).select("key", "seq", "lag_1", "lag_10")
+
+
 def ts_rolling_padded(spark, d):
     return S.rolling(by_user(spark, d), 12, full=False).select("key", "seq", "roll_mean")
 
@@ -131,8 +140,7 @@ def ts_forecast_errors(spark, d):
 
 
 def ts_latency(spark, d):
-    e = by_type(spark, d)
-    return e.groupBy("key").agg(*[S.nearest_rank(F.col("f"), p).alias(f"p{p}") for p in (50, 95, 99)])
+    return S.nearest_ranks(by_type(spark, d), (50, 95, 99))
 
 
 def ts_threshold_p99(spark, d):
@@ -167,6 +175,8 @@ _LAGS = ", ".join(f"lag(f, {n}) {_W}) AS lag_{n}, f - lag(f, {n}) {_W}) AS lagdi
 ORACLE = {
     "ts_rolling": _U + f"""SELECT key, seq, roll_mean, roll_std, roll_min, roll_max, roll_max - roll_min AS roll_range, roll_median FROM (SELECT key, seq, count(*) {_W} ROWS 9 PRECEDING) AS n, avg(f) {_W} ROWS 9 PRECEDING) AS roll_mean,
  stddev_pop(f) {_W} ROWS 9 PRECEDING) AS roll_std, min(f) {_W} ROWS 9 PRECEDING) AS roll_min, max(f) {_W} ROWS 9 PRECEDING) AS roll_max, median(f) {_W} ROWS 9 PRECEDING) AS roll_median FROM s) WHERE n = 10""",
+    "ts_rolling_hot": _T + f"SELECT key, seq, m AS roll_mean, x AS roll_max FROM (SELECT key, seq, count(*) {_W} ROWS 19 PRECEDING) AS n, avg(f) {_W} ROWS 19 PRECEDING) AS m, max(f) {_W} ROWS 19 PRECEDING) AS x FROM s) WHERE n = 20",
+    "ts_lag_hot": _T + f"SELECT key, seq, lag(f, 1) {_W}) AS lag_1, lag(f, 10) {_W}) AS lag_10 FROM s",
     "ts_rolling_padded": _U + f"SELECT key, seq, CASE WHEN count(*) {_W} ROWS 11 PRECEDING) = 12 THEN avg(f) {_W} ROWS 11 PRECEDING) END AS roll_mean FROM s",
     "ts_diff": _U + f"SELECT key, seq, diff1, diff1 - lag(diff1) {_W}) AS diff2, abs(diff1) AS abs_diff FROM (SELECT *, f - lag(f) {_W}) AS diff1 FROM s)",
     "ts_lag": _U + f"SELECT key, seq, {_LAGS} FROM s",

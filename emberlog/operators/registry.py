@@ -117,7 +117,8 @@ def compare_runs(runs: DataFrame, params: DataFrame, metrics: DataFrame, run_ids
     m = metric_summary(metrics.join(wanted, "run_id", "left_semi"))
     stats = m.select("name", "run_id", F.explode(F.create_map(*[x for s in ("latest", "min", "max", "mean") for x in (F.lit(s), F.round(s, 6).cast("string"))])).alias("kind", "value"))
     rows = p.unionByName(stats.select("kind", "name", "run_id", "value"))
-    grid = rows.select("kind", "name").distinct().join(wanted.withColumn("__", F.lit(1)), F.lit(1) == F.col("__")).drop("__")
+    ids = F.array(*[F.lit(r) for r in run_ids])
+    grid = rows.select("kind", "name").distinct().select("kind", "name", F.explode(ids).alias("run_id")).join(wanted, "run_id", "left_semi")
     return grid.join(rows, ["kind", "name", "run_id"], "left")
 
 
@@ -180,8 +181,8 @@ def replay(rows: DataFrame, capacity: int, batch: int, seed: int, order: Sequenc
     """``batch`` draws with replacement from the last ``capacity`` rows (a ring buffer), seeded: draw, and the row's columns."""
     last = rows.orderBy(*[F.desc(c) for c in order]).limit(capacity)
     slots = last.withColumn("__slot", F.row_number().over(Window.orderBy(*order)) - 1)  # at most ``capacity`` rows
-    held = slots.agg(F.count(F.lit(1)).alias("__n"))
-    draws = rows.sparkSession.range(batch).withColumnRenamed("id", "draw").join(held, F.lit(True)).filter("__n > 0")
+    held = slots.agg(F.count(F.lit(1))).scalar()
+    draws = rows.sparkSession.range(batch).select(F.col("id").alias("draw"), held.alias("__n")).filter("__n > 0")
     picked = draws.withColumn("__slot", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("__n")).cast("int"))
     return picked.join(slots, "__slot").drop("__slot", "__n")
 

@@ -9,34 +9,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.numbering import number_in_keys
+
 
 def _by(key: str, order: str):
     return Window.partitionBy(key).orderBy(order)
 
 
-def rolling(df: DataFrame, n: int, key: str = "key", order: str = "seq", value: str = "f", full: bool = True) -> DataFrame:
-    """Mean, population std, min, max, range and median of the last n values; full windows only, or nulls before that."""
-    w = _by(key, order).rowsBetween(-(n - 1), 0)
+def rolling(df: DataFrame, n: int, key: str = "key", order: str = "seq", value: str = "f", full: bool = True, chunk: int | None = None) -> DataFrame:
+    """Mean, population std, min, max, range and median of the last n values; full windows only, or nulls before that.
+
+    ``chunk``: rows per task of a key, for series in which one key holds a large part (see ``chunked``).
+    """
+    df, by = _spread(df, n - 1, chunk, key, order)
+    w = by.rowsBetween(-(n - 1), 0)
     v = F.col(value)
     stats = {"mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "range": F.max(v) - F.min(v), "median": F.percentile(v, F.lit(0.5))}
     parts = {"mean": stats["mean"], "std": stats["std"], "min": stats["min"], "max": stats["max"], "median": stats["median"]}
     out = df.withColumns({"__n": F.count(v).over(w), **{f"roll_{k}": c.over(w) for k, c in parts.items()}}).withColumn("roll_range", F.col("roll_max") - F.col("roll_min"))
+    out = _own(out, chunk)
     if full:
         return out.filter(F.col("__n") == n).drop("__n")
     return out.withColumns({f"roll_{k}": F.when(F.col("__n") == n, F.col(f"roll_{k}")) for k in stats}).drop("__n")
 
 
-def differences(df: DataFrame, key: str = "key", order: str = "seq", value: str = "f") -> DataFrame:
+def differences(df: DataFrame, key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """diff1, diff2 (second difference) and abs_diff; the first row of a key has none."""
-    w = _by(key, order)
+    df, w = _spread(df, 2, chunk, key, order)
     one = df.withColumn("diff1", F.col(value) - F.lag(value).over(w))
-    return one.withColumns({"diff2": F.col("diff1") - F.lag("diff1").over(w), "abs_diff": F.abs("diff1")})
+    return _own(one.withColumns({"diff2": F.col("diff1") - F.lag("diff1").over(w), "abs_diff": F.abs("diff1")}), chunk)
 
 
-def lags(df: DataFrame, by: Sequence[int] = (1, 5, 10, 20), key: str = "key", order: str = "seq", value: str = "f") -> DataFrame:
+def lags(df: DataFrame, by: Sequence[int] = (1, 5, 10, 20), key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """lag_n and lagdiff_n for every n; null where the key has no such row."""
-    w = _by(key, order)
-    out = df.withColumns({f"lag_{n}": F.lag(value, n).over(w) for n in by})
+    df, w = _spread(df, max(by), chunk, key, order)
+    out = _own(df.withColumns({f"lag_{n}": F.lag(value, n).over(w) for n in by}), chunk)
     return out.withColumns({f"lagdiff_{n}": F.col(value) - F.col(f"lag_{n}") for n in by})
 
 
@@ -226,10 +233,39 @@ def forecast_errors(df: DataFrame, actual: str, predicted: str, keys: Sequence[s
     return df.groupBy(*keys).agg(F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The latency percentile of a benchmark: element floor(n * p / 100) of the sorted values (the last, if beyond)."""
-    a = F.sort_array(F.collect_list(values))
-    return F.get(a, F.least(F.floor(F.size(a) * F.lit(p / 100)).cast("int"), F.size(a) - 1))
+def nearest_ranks(df: DataFrame, percents: Sequence[int], key: str = "key", value: str = "f") -> DataFrame:
+    """The latency percentiles of a benchmark, p<n> per key: element floor(n * p / 100) of the sorted values (the last, if beyond).
+
+    Values are numbered range by range, so a hot key is not gathered anywhere.
+    """
+    known = df.select(key, value).filter(F.col(value).isNotNull())
+    numbered = number_in_keys(known, [key], [value], "__pos").join(known.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key)
+    at = {p: F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1) for p in percents}
+    return numbered.groupBy(key).agg(*[F.max(F.when(F.col("__pos") == at[p], F.col(value))).alias(f"p{p}") for p in percents])
+
+
+def chunked(df: DataFrame, back: int, rows: int, key: str = "key", order: str = "seq") -> DataFrame:
+    """Cuts every key's rows into chunks of ``rows``, each preceded by copies (``__ghost``) of the ``back`` rows before it.
+
+    A window that looks back at most ``back`` rows then gives the same over (key, __chunk), and a hot key is many tasks.
+    """
+    if back >= rows:
+        raise ValueError("a chunk has more rows than a window looks back")
+    numbered = number_in_keys(df, [key], [order], "__pos")
+    own, place = F.floor(F.col("__pos") / rows), F.col("__pos") % rows
+    both = F.when(place >= rows - back, F.array(own, own + 1)).otherwise(F.array(own))
+    return numbered.withColumn("__chunk", F.explode(both)).withColumn("__ghost", F.col("__chunk") != F.floor(F.col("__pos") / rows))
+
+
+def _spread(df: DataFrame, back: int, rows: int | None, key: str, order: str):
+    """(rows, window) for windows that look back ``back`` rows; with ``rows``, in chunks."""
+    if rows is None:
+        return df, _by(key, order)
+    return chunked(df, back, rows, key, order), Window.partitionBy(key, "__chunk").orderBy(order)
+
+
+def _own(df: DataFrame, rows: int | None) -> DataFrame:
+    return df if rows is None else df.filter("not __ghost").drop("__pos", "__chunk", "__ghost")
 
 
 def auto_step(points: DataFrame, keys: Sequence[str], order: str, step: str = "step") -> DataFrame:

@@ -109,8 +109,8 @@ def split(rows: DataFrame, share: float = 0.8, order: str = "key", seed: int | N
     if seed is not None:
         return rows.withColumn("part", F.when(F.pmod(F.xxhash64(F.lit(seed), F.col(order)), F.lit(10_000)) < int(share * 10_000), "train").otherwise("test"))
     numbered = number_rows(rows, [order], "__n")
-    total = rows.agg(F.count(F.lit(1)).alias("__t"))
-    return numbered.join(F.broadcast(total), F.lit(True)).withColumn("part", F.when(F.col("__n") < F.floor(F.col("__t") * share), "train").otherwise("test")).drop("__n", "__t")
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return numbered.withColumn("part", F.when(F.col("__n") < F.floor(total * share), "train").otherwise("test")).drop("__n")
 
 
 def shards(rows: DataFrame, replicas: int, order: str = "key") -> DataFrame:
