@@ -16,6 +16,8 @@ DOUBLES = {
     "ts_rolling": ["roll_mean", "roll_std", "roll_min", "roll_max", "roll_range", "roll_median"],
     "ts_rolling_hot": ["roll_mean", "roll_max"],
     "ts_lag_hot": ["lag_1", "lag_10"],
+    "ts_drawdown_hot": ["max_drawdown"],
+    "ts_ma_cross_hot": ["ma_short", "ma_long"],
     "ts_rolling_padded": ["roll_mean"],
     "ts_diff": ["diff1", "diff2", "abs_diff"],
     "ts_lag": ["lag_1", "lagdiff_1", "lag_5", "lagdiff_5", "lag_10", "lagdiff_10", "lag_20", "lagdiff_20"],

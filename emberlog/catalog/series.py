@@ -31,6 +31,14 @@ def ts_lag_hot(spark, d):
     return S.lags(by_type(spark, d), (1, 10), chunk=300).select("key", "seq", "lag_1", "lag_10")
 
 
+def ts_drawdown_hot(spark, d):
+    return S.drawdown(by_type(spark, d), chunk=100)
+
+
+def ts_ma_cross_hot(spark, d):
+    return S.crossover(by_type(spark, d), chunk=250).select("key", "seq", "ma_short", "ma_long", "signal")
+
+
 def ts_rolling_padded(spark, d):
     return S.rolling(by_user(spark, d), 12, full=False).select("key", "seq", "roll_mean")
 
@@ -209,6 +217,10 @@ SELECT a.user_id, a.pos, a.f AS click, b.f AS view, c.f AS error, sqrt(a.f * a.f
 FROM (SELECT *, count(*) {_W} ROWS 19 PRECEDING) AS n, avg(f) {_W} ROWS 19 PRECEDING) AS mid, stddev_pop(f) {_W} ROWS 19 PRECEDING) AS sigma FROM s) WHERE n = 20""",
     "ts_ma_cross": _U + f""", m AS (SELECT *, count(*) {_W} ROWS 19 PRECEDING) AS n, avg(f) {_W} ROWS 9 PRECEDING) AS ma_short, avg(f) {_W} ROWS 19 PRECEDING) AS ma_long FROM s),
 k AS (SELECT *, lag(ma_short) {_W}) AS ps, lag(ma_long) {_W}) AS pl FROM m WHERE n = 20)
+SELECT key, seq, ma_short, ma_long, CASE WHEN ps <= pl AND ma_short > ma_long THEN 1 WHEN ps >= pl AND ma_short < ma_long THEN -1 ELSE 0 END AS signal FROM k""",
+    "ts_drawdown_hot": _T + f"SELECT key, max((peak - f) / peak) AS max_drawdown FROM (SELECT *, max(f) {_W}) AS peak FROM s) GROUP BY key",
+    "ts_ma_cross_hot": _T + f""", m AS (SELECT *, count(*) {_W} ROWS 19 PRECEDING) AS n, avg(f) {_W} ROWS 9 PRECEDING) AS ma_short, avg(f) {_W} ROWS 19 PRECEDING) AS ma_long FROM s),
+k AS (SELECT *, lag(ma_short) {_W}) AS ps, lag(ma_long) {_W}) AS pl FROM m WHERE n = 20)
 SELECT key, seq, ma_short, ma_long, CASE WHEN ps <= pl AND ma_short > ma_long THEN 1 WHEN ps >= pl AND ma_short < ma_long THEN -1 ELSE 0 END AS signal FROM k""",
     "ts_drawdown": _U + f"SELECT key, max((peak - f) / peak) AS max_drawdown FROM (SELECT *, max(f) {_W}) AS peak FROM s) GROUP BY key",
     "ts_forecast_errors": _U + f"SELECT key, avg(d * d) AS mse, sqrt(avg(d * d)) AS rmse, avg(abs(d)) AS mae FROM (SELECT key, f - lag(f) {_W}) AS d FROM s) WHERE d IS NOT NULL GROUP BY key",

@@ -160,28 +160,41 @@ def sequences(df: DataFrame, length: int, ahead: int | None = 1, key: str = "key
     return out.filter((F.size("x") == length) & (F.lit(True) if ahead is None else F.col("y").isNotNull()))
 
 
-def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, key: str = "key", order: str = "seq", value: str = "f") -> DataFrame:
+def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """signal 1 (buy) below mean - k sigma, -1 (sell) above mean + k sigma, else 0; full windows, the current row included."""
-    w = _by(key, order).rowsBetween(-(n - 1), 0)
-    out = df.withColumns({"__n": F.count(value).over(w), "mid": F.avg(value).over(w), "sigma": F.stddev_pop(value).over(w)}).filter(F.col("__n") == n).drop("__n")
+    df, by = _spread(df, n - 1, chunk, key, order)
+    w = by.rowsBetween(-(n - 1), 0)
+    out = _own(df.withColumns({"__n": F.count(value).over(w), "mid": F.avg(value).over(w), "sigma": F.stddev_pop(value).over(w)}), chunk).filter(F.col("__n") == n).drop("__n")
     v = F.col(value)
     return out.withColumn("signal", F.when(v < F.col("mid") - k * F.col("sigma"), 1).when(v > F.col("mid") + k * F.col("sigma"), -1).otherwise(0))
 
 
-def crossover(df: DataFrame, short: int = 10, long: int = 20, key: str = "key", order: str = "seq", value: str = "f") -> DataFrame:
+def crossover(df: DataFrame, short: int = 10, long: int = 20, key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """signal 1 where the short mean rises over the long one, -1 where it falls under it, else 0."""
-    w = _by(key, order)
+    df, w = _spread(df, long, chunk, key, order)
     ma = df.withColumns({"n": F.count(value).over(w.rowsBetween(-(long - 1), 0)), "ma_short": F.avg(value).over(w.rowsBetween(-(short - 1), 0)), "ma_long": F.avg(value).over(w.rowsBetween(-(long - 1), 0))}).filter(F.col("n") == long)
     p = ma.withColumns({"prev_short": F.lag("ma_short").over(w), "prev_long": F.lag("ma_long").over(w)})
     up = (F.col("prev_short") <= F.col("prev_long")) & (F.col("ma_short") > F.col("ma_long"))
     down = (F.col("prev_short") >= F.col("prev_long")) & (F.col("ma_short") < F.col("ma_long"))
-    return p.withColumn("signal", F.when(up, 1).when(down, -1).otherwise(0)).drop("n", "prev_short", "prev_long")
+    return _own(p.withColumn("signal", F.when(up, 1).when(down, -1).otherwise(0)).drop("n", "prev_short", "prev_long"), chunk)
 
 
-def drawdown(df: DataFrame, key: str = "key", order: str = "seq", value: str = "f") -> DataFrame:
-    """key, max_drawdown: the greatest fall from the running maximum, as a share of it."""
-    peak = F.max(value).over(_by(key, order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("dd", F.try_divide(peak - F.col(value), peak)).groupBy(key).agg(F.max("dd").alias("max_drawdown"))
+def drawdown(df: DataFrame, key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
+    """key, max_drawdown: the greatest fall from the running maximum, as a share of it.
+
+    With ``chunk``: the maximum before a chunk comes from the chunks' maxima, so a hot key is many tasks.
+    """
+    if chunk is None:
+        peak = F.max(value).over(_by(key, order).rowsBetween(Window.unboundedPreceding, 0))
+        rows = df
+    else:
+        rows = number_in_keys(df, [key], [order], "__pos").withColumn("__chunk", F.floor(F.col("__pos") / chunk))
+        tops = rows.groupBy(key, "__chunk").agg(F.max(value).alias("__top"))
+        before = F.max("__top").over(_by(key, "__chunk").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.join(tops.select(key, "__chunk", before.alias("__before")), [key, "__chunk"])
+        inside = F.max(value).over(Window.partitionBy(key, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        peak = F.greatest(inside, "__before")
+    return rows.withColumn("dd", F.try_divide(peak - F.col(value), peak)).groupBy(key).agg(F.max("dd").alias("max_drawdown"))
 
 
 def trade(prices: np.ndarray, signals: np.ndarray, cash: float = 10_000.0) -> np.ndarray:
