@@ -4,7 +4,7 @@ A version is visible to an event from ``greatest(ts, written_at)`` on, so one so
 co-grouped by entity, the versions sorted by visibility, and a vectorised binary search finds the visible prefix, whose
 running maximum of (ts, written_at, id) is the answer. If that one is older than the time to live, every other is too.
 
-Skew: an entity with more than ``hot_rows`` versions is cut into up to ``pieces`` stretches of the time axis at quantiles of
+Skew: an entity with more than ``hot_rows`` versions is cut into stretches of the time axis at quantiles of
 visibility; the best version of each earlier stretch is carried into the later ones. So no group grows with one entity.
 
 Defined results
@@ -60,7 +60,25 @@ def latest_visible(events: pd.DataFrame, versions: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame({"event_id": events["event_id"].to_numpy()[ok], "feature": events["feature"].to_numpy()[ok], "value_id": ids[hit[ok]]})
 
 
-def asof_features(events: DataFrame, versions: DataFrame, groups: DataFrame, *, hot_rows: int = 200_000, pieces: int = 64) -> DataFrame:
+def split_hot(v: DataFrame, e: DataFrame, hot: DataFrame, pieces: int) -> tuple[DataFrame, DataFrame]:
+    """Versions and events with ``piece``: of hot entities the stretch of the time axis, of others 0.
+
+    The best version of every feature and stretch is added, as carried, to all later stretches.
+    """
+    by = ["feature_group", "entity"]
+    cuts = v.join(hot.select(*by), by, "left_semi").groupBy(*by).agg(F.percentile_approx("seen", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts"))
+
+    def placed(df: DataFrame, at: str) -> DataFrame:
+        return df.join(cuts, by, "left").withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col(at))), F.lit(0)))
+
+    v, e = placed(v, "seen"), placed(e, "at").drop("cuts")
+    best = v.filter("cuts is not null").groupBy(*by, "feature", "piece").agg(F.max(F.struct("ts", "written", "value_id", "seen")).alias("m"))
+    later = F.explode(F.sequence(F.col("piece") + 1, F.lit(pieces - 1)))
+    carried = best.filter(F.col("piece") < pieces - 1).select(*by, "feature", "m.ts", "m.written", "m.value_id", "m.seen", later.alias("piece"))
+    return v.drop("cuts").unionByName(carried), e
+
+
+def asof_features(events: DataFrame, versions: DataFrame, groups: DataFrame, *, hot_rows: int = 200_000, max_pieces: int = 512) -> DataFrame:
     """(event_id, feature, value_id) of every event and feature of its group that has a value known at the event's time."""
     spark = events.sparkSession
     defined = groups.select(F.col("name").alias("feature_group"), F.col("ttl_hours"), F.explode("features").alias("f")).select(
@@ -78,23 +96,14 @@ def asof_features(events: DataFrame, versions: DataFrame, groups: DataFrame, *,
         .filter("event_id is not null and entity is not null and at is not null")
         .distinct()
     )
-    hot = v.groupBy("feature_group", "entity").count().filter(F.col("count") > hot_rows).select("feature_group", "entity")
-    cuts = v.join(hot, ["feature_group", "entity"], "left_semi").groupBy("feature_group", "entity").agg(
-        F.percentile_approx("seen", [i / pieces for i in range(1, pieces)], 1000).alias("cuts")
-    )
-
-    def placed(df: DataFrame, at: str) -> DataFrame:
-        return df.join(cuts, ["feature_group", "entity"], "left").withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col(at))), F.lit(0)))
-
-    v, e = placed(v, "seen"), placed(e, "at").drop("cuts").join(defined, "feature_group")
-    carried = (
-        v.filter("cuts is not null")
-        .groupBy("feature_group", "entity", "feature", "piece")
-        .agg(F.max(F.struct("ts", "written", "value_id", "seen")).alias("m"))
-        .filter(F.col("piece") < pieces - 1)
-        .select("feature_group", "entity", "feature", "m.ts", "m.written", "m.value_id", "m.seen", F.explode(F.sequence(F.col("piece") + 1, F.lit(pieces - 1))).alias("piece"))
-    )
-    v = v.drop("cuts").unionByName(carried)
+    sizes = v.groupBy("feature_group", "entity").count()
+    most = sizes.agg(F.max("count")).first()[0] or 0
+    pieces = min(max_pieces, -(-most // hot_rows))
+    if pieces > 1:
+        v, e = split_hot(v, e, sizes.filter(F.col("count") > hot_rows), pieces)
+    else:
+        v, e = v.withColumn("piece", F.lit(0)), e.withColumn("piece", F.lit(0))
+    e = e.join(defined, "feature_group")
     tasks = shuffle_tasks(spark, 2)
 
     def keyed(df: DataFrame, *cols: str) -> DataFrame:

@@ -55,4 +55,4 @@ def test_equals_brute_force_also_when_hot_entities_are_split(spark, hot):
             ok = [(v[4], v[6], v[0]) for v in values if v[2] == n and v[3] == f and v[4] <= t and t - v[4] <= 5 and v[6] <= t]
             if ok:
                 want.append((i, f, max(ok)[2]))
-    assert run(spark, values, events, hot_rows=hot, pieces=8) == sorted(want)
+    assert run(spark, values, events, hot_rows=hot) == sorted(want)
