@@ -17,6 +17,7 @@ from emberlog.errors import EmptyKey, KeyTooLong, StoreNotFound
 from emberlog.functions.atoms import TYPES, atom
 from emberlog.functions.patterns import key_matches
 from emberlog.operators.numbering import number_in_keys
+from emberlog.plans.session import cut
 
 LOG_SCHEMA = "seq bigint, ts timestamp, key string, op string, tag string, f double, i bigint, s string, b binary, v array<float>"
 VALUE = ("tag", *TYPES)
@@ -159,22 +160,19 @@ class LogStore:
         # dense numbers without a single task: by range partition, then offsets of the partitions
         numbered = numbered.sort(*(order or [F.monotonically_increasing_id()])).withColumn("__p", F.spark_partition_id())
         numbered = numbered.withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("bigint"), 33))
-        numbered = numbered.persist()
-        try:
-            sizes = {r["__p"]: r["n"] for r in numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-            start, offsets = self._next(), {}
-            total = 0
-            for p in sorted(sizes):
-                offsets[p] = start + total
-                total += sizes[p]
-            if not total:
-                return 0
-            lookup = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-            out = numbered.withColumn("seq", lookup[F.col("__p")] + F.col("__n"))
-            out.select([F.col(c.split()[0]).cast(c.split(None, 1)[1]).alias(c.split()[0]) for c in LOG_SCHEMA.split(", ")]).write.mode("append").option("compression", self.compression).parquet(self.path)
-            return total
-        finally:
-            numbered.unpersist()
+        numbered = cut(numbered)  # the numbers must be the same if a task runs again
+        sizes = {r["__p"]: r["n"] for r in numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per range
+        if not sizes:
+            return 0
+        offsets, at = {}, self._next()
+        for p in sorted(sizes):
+            offsets[p] = at
+            at += sizes[p]
+        lookup = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
+        out = numbered.withColumn("seq", lookup[F.col("__p")] + F.col("__n"))
+        columns = [c.split(None, 1) for c in LOG_SCHEMA.split(", ")]
+        out.select([F.col(c).cast(kind).alias(c) for c, kind in columns]).write.mode("append").option("compression", self.compression).parquet(self.path)
+        return sum(sizes.values())
 
     def put(self, key: str, **payload) -> None:
         """One value: f=, i=, s=, b= or v= (none: a stored null). For many values use ``append``."""

@@ -51,7 +51,9 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable by the Python workers, where neither their path nor their folder has it: sends it as a zip."""
     root = Path(__file__).resolve().parents[2]
-    known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    master = spark.sparkContext.master
+    beside = [os.getcwd()] if master == "local" or master.startswith("local[") else []  # there the workers start in this folder
+    known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *beside] if p}
     application = spark.sparkContext.applicationId
     if root in known or application in _SHIPPED:
         return
