@@ -80,10 +80,10 @@ def fit_codebook(sample: np.ndarray, model: Cells, *, threshold: float = 0.2, ro
     rng = np.random.Generator(np.random.PCG64(11))
     words = np.empty((dims // BLOCK, WORDS, BLOCK), np.float32)
     for b in range(dims // BLOCK):
-        x = scaled[:, b]
+        x = np.ascontiguousarray(scaled[:, b])
         w = x[rng.integers(0, len(x), WORDS)].copy() if len(x) else rng.normal(size=(WORDS, BLOCK)).astype(np.float32)
         for _ in range(rounds if len(x) else 0):
-            at = ((x[:, None, :] - w[None]) ** 2).sum(axis=2).argmin(axis=1)
+            at = ((w * w).sum(axis=1)[None, :] - 2 * (x @ w.T)).argmin(axis=1)
             n = np.bincount(at, minlength=WORDS)
             for d in range(BLOCK):
                 s = np.bincount(at, weights=x[:, d], minlength=WORDS)
