@@ -91,6 +91,7 @@ DOUBLES = {
     "agg_rollup": ["total"],
     "join_nation_revenue": ["revenue"],
     "top_limit": ["o_totalprice"],
+    "stream_hot_tier": ["score"],
     "stream_tumbling": ["total"],
     "stream_sliding": ["total"],
     "stream_rolling_state": ["mean", "low", "high"],

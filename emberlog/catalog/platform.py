@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.times import epoch_micros, epoch_seconds, to_epoch_seconds
 from emberlog.operators import registry as R
+from emberlog.operators.asof import asof_join
 from emberlog.operators.ledger import clean_stage
 from emberlog.sources.tables import table
 
@@ -169,10 +170,9 @@ def features_latest(spark, d):
 
 def asof_events(spark, d):
     """The last error value of the user before each purchase, as of its time."""
-    e = table(spark, d, "events").filter("event_type in ('error', 'purchase')")
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == "purchase").rowsBetween(Window.unboundedPreceding, 0)
-    known = e.withColumn("error_value", F.last(F.when(F.col("event_type") == "error", F.col("value")), ignorenulls=True).over(w))
-    return known.filter("event_type = 'purchase'").select("event_id", "error_value")
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    errors = e.filter("event_type = 'error'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("error_value"))
+    return asof_join(e.filter("event_type = 'purchase'"), errors, ["user_id"], "ts", "at", ["error_value"]).select("event_id", "error_value")
 
 
 def training_set(spark, d):

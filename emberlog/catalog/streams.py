@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.operators import knn as K
 from emberlog.sources.tables import table
 from emberlog.streaming import streams as S
 
@@ -45,9 +46,20 @@ def stream_step_counter(spark, d):
     return S.run_to_end(S.step_counter(_events(spark, d), "user_id", "event_id"), "append", "steps")
 
 
+def stream_hot_tier(spark, d):
+    """Vectors arrive in the hot tier, and a search sees them beside the cold one."""
+    e = table(spark, d, "embeddings")
+    hot = S.ingest_hot(S.stream_files(spark, f"{d}/embeddings.parquet", e.schema).filter("vec_id % 2 = 0"), ["vec_id", "embedding"])
+    q = e.filter("vec_id = 0").first()["embedding"]
+    parts = [K.search(t.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), q, 10, round_to=6) for t in (hot, e.filter("vec_id % 2 = 1"))]
+    return K.merge_tiers(*parts, 10)
+
+
 QUERIES = {k: f for k, f in globals().items() if k.startswith("stream_") and callable(f)}
 
 ORACLE = {
+    "stream_hot_tier": """WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), q AS (SELECT x AS y FROM v WHERE key = 0)
+SELECT key, round(1 - list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)), 6) AS score, CASE WHEN key % 2 = 0 THEN 'hot' ELSE 'cold' END AS source FROM v, q ORDER BY score, key LIMIT 10""",
     "stream_tumbling": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     "stream_sliding": """SELECT s // 1000000 AS start, event_type, count(*) AS n, sum(value) AS total FROM (
  SELECT event_type, value, epoch_us(ts) // 7200000000 * 7200000000 - unnest([0, 1, 2]) * 7200000000 AS s FROM events) GROUP BY 1, 2""",

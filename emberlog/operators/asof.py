@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.times import epoch_micros
@@ -112,3 +112,18 @@ def asof_features(events: DataFrame, versions: DataFrame, groups: DataFrame, *,
     left = keyed(e, "event_id", "feature", "at", "ttl").groupBy("task")
     right = keyed(v, "ts", "written", "value_id", "seen").groupBy("task")
     return left.cogroup(right).applyInPandas(latest_visible, "event_id bigint, feature string, value_id bigint").distinct()
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str]) -> DataFrame:
+    """The left rows with the right side's ``columns`` of the latest row at or before their time, nulls if there is none.
+
+    Both sides in one union, sorted once per key; of right rows at one time the one with the greatest columns counts. Left
+    rows without time get nulls. A key is one sorted sequence: for hot keys and recorded times see ``asof_features``.
+    """
+    held = F.struct(*columns)
+    none = F.lit(None).cast(right.select(held.alias("s")).schema[0].dataType)
+    a = left.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(left_on).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), none.alias("__right"))
+    b = right.filter(F.col(right_on).isNotNull()).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(right_on).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), held.alias("__right"))
+    w = Window.partitionBy(*[f"__k{i}" for i in range(len(by))]).orderBy(F.asc_nulls_first("__t"), "__side", F.asc_nulls_first("__right")).rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b).withColumn("__got", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
+    return found.select("__left.*", *[F.col(f"__got.{c}").alias(c) for c in columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,6 +86,18 @@ def from_chunks(chunks: DataFrame, meta: DataFrame, name: str = "name") -> DataF
     return checked.select(name, "shape", "dtype", decode("raw", "dtype").alias("data"))
 
 
+def pack_blob(values: np.ndarray, dtype: str = "float32") -> bytes:
+    """A tensor as one value: length of the description (u32), the description in JSON, the elements' bytes."""
+    meta = json.dumps({"shape": list(values.shape), "dtype": dtype}).encode()
+    return len(meta).to_bytes(4, "little") + meta + np.ascontiguousarray(values, DTYPES[dtype]).tobytes()
+
+
+def unpack_blob(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    meta = json.loads(data[4 : 4 + n])
+    return np.frombuffer(data[4 + n :], DTYPES[meta["dtype"]]).reshape(meta["shape"])
+
+
 def reshape_ok(n: Column, shape: Column) -> Column:
     """Does the shape hold exactly n elements?"""
     return F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: a * x) == n

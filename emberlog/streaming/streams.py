@@ -141,3 +141,8 @@ def upsert_latest(df: DataFrame, key: str, order: str, columns: list[str], name:
 
     run_to_end(df, name=name, each=merge)
     return spark.read.schema(schema).parquet(versions[max(versions)]) if versions else spark.createDataFrame([], schema)
+
+
+def ingest_hot(df: DataFrame, columns: list[str], name: str = "hot") -> DataFrame:
+    """Streams rows into a hot tier of files; ``knn.promote`` moves them on, ``knn.merge_tiers`` searches both tiers meanwhile."""
+    return run_to_end(df.select(*columns), "append", name)

@@ -56,3 +56,13 @@ def test_equals_brute_force_also_when_hot_entities_are_split(spark, hot):
             if ok:
                 want.append((i, f, max(ok)[2]))
     assert run(spark, values, events, hot_rows=hot) == sorted(want)
+
+
+def test_asof_join(spark):
+    from emberlog.operators.asof import asof_join
+
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, "a", None), (5, None, 5)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 2.0), ("a", 3, 9.0), ("b", 10, 1.0), (None, 1, 7.0), ("a", None, 8.0)], "k string, t int, x double")
+    got = {r.id: r.x for r in asof_join(left, right, ["k"], "t", "t", ["x"]).collect()}
+    assert got == {1: 2.0, 2: None, 3: None, 4: None, 5: 7.0}
+    assert asof_join(left.limit(0), right, ["k"], "t", "t", ["x"]).count() == 0

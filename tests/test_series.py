@@ -137,3 +137,17 @@ def test_stream_state_goes_on_across_triggers(spark, tmp_path):
     assert len(got) == 30 and sorted(v for (u, _), v in got.items() if u == 0) == list(range(15))
     up = streams.upsert_latest(src(), "user", "seq", ["value"]).collect()
     assert sorted((r.user, r.seq) for r in up) == [(0, 28), (1, 29)]
+
+
+def test_blobs():
+    x = np.arange(6, dtype=np.float32).reshape(2, 3)
+    for dtype in X.DTYPES:
+        assert (X.unpack_blob(X.pack_blob(x, dtype)) == x).all()
+
+
+def test_chunked_windows_equal_whole_ones(series):
+    for make in (lambda c: S.rolling(series, 7, chunk=c), lambda c: S.differences(series, chunk=c), lambda c: S.lags(series, (1, 4), chunk=c), lambda c: S.bollinger(series, 5, chunk=c), lambda c: S.crossover(series, 3, 6, chunk=c), lambda c: S.drawdown(series, chunk=c)):
+        whole, cut = (sorted(map(repr, make(c).collect())) for c in (None, 11))
+        assert whole == cut
+    with pytest.raises(ValueError):
+        S.rolling(series, 20, chunk=10)
