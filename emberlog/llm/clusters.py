@@ -91,13 +91,7 @@ def group_cell(exact: np.ndarray, cos: float) -> tuple[np.ndarray, np.ndarray]:
     radius = np.zeros(len(pivots))
     np.maximum.at(radius, at, np.arccos(np.clip(s.astype(np.float64), -1, 1)))
     limit = np.cos(np.minimum(np.arccos(cos) + radius + 1e-3, np.pi)) - slack
-    parent = list(range(len(pivots)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    group = np.arange(len(pivots))  # of each cluster
 
     members = np.argsort(at, kind="stable")
     bounds = np.searchsorted(at[members], np.arange(len(pivots) + 1))
@@ -113,18 +107,21 @@ def group_cell(exact: np.ndarray, cos: float) -> tuple[np.ndarray, np.ndarray]:
         for part, q in zip(np.split(rows, edges), cl[np.concatenate([[0], edges])] if len(cl) else []):
             reach.setdefault(int(q), []).append(part)
     for q, parts in reach.items():
-        mine = members[bounds[q] : bounds[q + 1]]
-        rows = np.concatenate(parts)
-        rows = rows[[root(int(at[r])) != root(q) for r in rows]]
+        mine, rows = members[bounds[q] : bounds[q + 1]], np.concatenate(parts)
         for a in range(0, len(rows), CHUNK):
-            part = rows[a : a + CHUNK]
             for b in range(0, len(mine), 8 * CHUNK):
+                part = rows[a : a + CHUNK]
+                part = part[group[at[part]] != group[q]]  # clusters that are linked already need no further look
+                if not len(part):
+                    break
                 some = mine[b : b + 8 * CHUNK]
-                maybe = np.flatnonzero((unit[part] @ unit[some].T).max(axis=1) >= cos - slack)
-                for r in part[maybe]:
-                    if root(int(at[r])) != root(q) and (exact[some] @ exact[r]).max() >= cos - 1e-12:
-                        parent[root(int(at[r]))] = root(q)
-    return np.array([root(i) for i in range(len(pivots))], np.int64)[at], typical
+                s2 = unit[part] @ unit[some].T
+                for n in np.flatnonzero(s2.max(axis=1) >= cos - slack):
+                    r = part[n]
+                    near = some[s2[n] >= cos - slack]
+                    if group[at[r]] != group[q] and (exact[near] @ exact[r]).max() >= cos - 1e-12:
+                        group[group == group[at[r]]] = group[q]
+    return group[at], typical
 
 
 def join_links(links: DataFrame, max_rounds: int = 60) -> DataFrame:
