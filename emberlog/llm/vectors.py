@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.plans.session import shuffle_tasks
+
 DIMS = 128
 
 
@@ -156,4 +158,6 @@ def visiting(vectors: DataFrame, model: Cells, dims: int = DIMS) -> DataFrame:
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(home), b.column(0).take(at), b.column(1).take(at)], names=["cell", "home", "key", "vector"])
 
-    return vectors.select("key", "vector").mapInArrow(place, "cell int, home boolean, key string, vector array<float>")
+    placed = vectors.select("key", "vector").mapInArrow(place, "cell int, home boolean, key string, vector array<float>")
+    # a cell's work grows faster than its bytes, so cells are not merged into few tasks by their bytes
+    return placed.repartition(min(len(model.centres), shuffle_tasks(vectors.sparkSession, 4)), "cell")
