@@ -148,14 +148,14 @@ def join_links(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def similarity_clusters(rows: DataFrame, *, distance: float = 0.30, sample: int = 16_000, dims: int = DIMS, **index) -> DataFrame:
     """key, cluster_key, typical (how near the key is to its cluster's mean direction) of every key with a sound vector."""
     total = rows.count()
-    model = fit_cells(hash_sample(rows, total, sample, dims), total, **index)
+    model = fit_cells(hash_sample(rows, total, sample, dims), total, **({"spread": 1, "probes": 2} | index))
     cos = 1.0 - distance
 
     def grouped(t: pa.Table) -> pa.Table:
         keys = np.array(t.column("key").to_pylist(), dtype=object)
         order = np.lexsort((keys, t.column("h").to_numpy()))
         exact = directions(matrix(t.column("vector"), dims))[order]
-        keys, home = keys[order], t.column("home").to_numpy(zero_copy_only=False)[order]
+        keys, home = keys[order], (t.column("home").to_numpy(zero_copy_only=False) & (t.column("piece").to_numpy() == 0))[order]
         number, typical = group_cell(exact, cos)
         by_key = np.argsort(keys, kind="stable")
         label = np.empty(len(keys), dtype=object)
@@ -164,7 +164,7 @@ def similarity_clusters(rows: DataFrame, *, distance: float = 0.30, sample: int
         return pa.table({"key": pa.array(keys, pa.string()), "home": pa.array(home), "label": pa.array(label[number], pa.string()), "typical": pa.array(typical)})
 
     visits = visiting(sound_vectors(rows, dims), model, dims).withColumn("h", F.xxhash64("key"))
-    labelled = cut(visits.groupBy("cell").applyInArrow(grouped, "key string, home boolean, label string, typical double"))
+    labelled = cut(visits.groupBy("cell", "piece").applyInArrow(grouped, "key string, home boolean, label string, typical double"))
     several = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     cross = labelled.join(several, "key", "left_semi").select(F.col("key").alias("a"), F.col("label").alias("b"))
     roots = join_links(cross)

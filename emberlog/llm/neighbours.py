@@ -13,9 +13,10 @@ Defined results
     * equal vectors under different keys are indexed once, and all of them are answered for, exactly.
     * fewer than k other keys: as many as there are. Empty input: empty. Extra columns are ignored.
 
-Scale: one shuffle of the vectors by key and one by cell. A cell has a bounded number of members (hot regions are split, and a
-query visits up to ``probes`` parts), copies of a vector are one member. Codebooks and cells are fitted on at most ``sample``
-vectors; every row is indexed. The approximation is in the cells visited and in the reranked set; recall is measured in the tests.
+Scale: one shuffle of the vectors by key and one by cell. A task has a bounded number of rows (hot regions are split, and cells
+with many visitors are searched in pieces), copies of a vector are one member. A query visits all parts of its region and a loose row all
+loose ones, so the work grows with the square of a region and of the loose rows. Codebooks and cells are fitted on at most ``sample``
+vectors; every row is indexed. The approximation is in the leaders visited and in the reranked set; recall is measured in the tests.
 """
 
 from __future__ import annotations
@@ -76,6 +77,9 @@ def fit_codebook(sample: np.ndarray, model: Cells, *, threshold: float = 0.2, ro
         own = residual[home == c]
         scales[c] = np.sqrt((own**2).mean()) if len(own) > 1 else usual
     scales = np.maximum(scales, 1e-6)
+    held = home < model.leaders
+    if held.sum() >= 16 * WORDS:  # the words are fitted where many are near; loose rows stand far apart under any words
+        sample, residual, home = sample[held], residual[held], home[held]
     scaled = (residual / scales[home][:, None]).reshape(len(sample), dims // BLOCK, BLOCK).astype(np.float32)
     rng = np.random.Generator(np.random.PCG64(11))
     words = np.empty((dims // BLOCK, WORDS, BLOCK), np.float32)
@@ -180,6 +184,22 @@ def search_cell(exact_q: np.ndarray, exact_m: np.ndarray, same: np.ndarray, code
     return np.concatenate(out_q), np.concatenate(out_m), np.concatenate(out_d)
 
 
+def search_guests(exact_q: np.ndarray, exact_g: np.ndarray, k: int, chunk: int = 192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``search_cell`` among rows given by key that the cell's codes don't fit: all are measured."""
+    out_q, out_m, out_d = [], [], []
+    k = min(k, len(exact_g))
+    for a in range(0, len(exact_q), chunk):
+        d = np.round(1.0 - exact_q[a : a + chunk] @ exact_g.T, 9)
+        q, m = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        order = np.lexsort((m, d[q, m], q))
+        q, m = q[order], m[order]
+        first = np.arange(len(q)) - np.searchsorted(q, np.arange(len(d)))[q] < k
+        out_q.append(q[first] + a)
+        out_m.append(m[first])
+        out_d.append(d[q[first], m[first]])
+    return np.concatenate(out_q), np.concatenate(out_m), np.concatenate(out_d)
+
+
 def nearest(rows: DataFrame, *, k: int = 3, sample: int = 16_000, rerank: int = 128, rerank_step: int = 64, dims: int = DIMS, **index) -> DataFrame:
     """key, rank (1..k), neighbour, distance of every key with a sound vector."""
     total = rows.count()
@@ -196,29 +216,37 @@ def nearest(rows: DataFrame, *, k: int = 3, sample: int = 16_000, rerank: int =
     held = rows.sparkSession.sparkContext.broadcast(book)  # 64 x 16 x 2 numbers and a scale per cell
 
     def search(t: pa.Table) -> pa.Table:
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        empty = pa.table({"key": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
-        if not home.any():
-            return empty
-        b, cell = held.value, t.column("cell")[0].as_py()
+        home, loose = (t.column(c).to_numpy(zero_copy_only=False) for c in ("home", "loose"))
+        b, cell, piece = held.value, t.column("cell")[0].as_py(), t.column("piece")[0].as_py()
         keys = np.array(t.column("key").to_pylist(), dtype=object)
-        order = np.lexsort((keys, ~home))  # members first, by key
-        keys, home = keys[order], home[order]
-        exact = directions(matrix(t.column("vector"), dims))[order]
-        n = int(home.sum())
+        guest = loose & ~home if cell < leaders else np.zeros(len(keys), bool)  # the rows at home search these too
+        order = np.lexsort((keys, np.where(home, 0, np.where(guest, 1, 2))))  # members first, then guests, each by key
+        keys, exact = keys[order], directions(matrix(t.column("vector"), dims))[order]
+        n, g = int(home.sum()), int(guest.sum())
         unit = exact[:n].astype(np.float32)
-        codes = np.concatenate([b.encode(unit[i : i + 2048], (unit[i : i + 2048] - model_centre(cell)) / b.scales[cell]) for i in range(0, n, 2048)])
-        packed = codes[:, 0::2] * WORDS + codes[:, 1::2]
-        same = np.where(np.arange(len(keys)) < n, np.arange(len(keys)), -1)
-        q, m, d = search_cell(exact, exact[:n], same, packed, b.words, np.arange(n), k + 1, rerank + n // rerank_step)
-        return pa.table({"key": pa.array(keys[q], pa.string()), "neighbour": pa.array(keys[m], pa.string()), "distance": pa.array(d)})
+        out_k, out_n, out_d = [], [], []
+        codes = [b.encode(unit[i : i + 2048], (unit[i : i + 2048] - model_centre(cell)) / b.scales[cell]) for i in range(0, n, 2048)]
+        # rows at home search members in the first piece only, visitors where they are; guests are searched by the rows at home
+        first = 0 if piece == 0 else n
+        if n and first < len(keys):
+            packed = np.concatenate(codes)
+            packed = packed[:, 0::2] * WORDS + packed[:, 1::2]
+            place = np.arange(first, len(keys))
+            q, m, d = search_cell(exact[first:], exact[:n], np.where(place < n, place, -1), packed, b.words, np.arange(n), k + 1, rerank + n // rerank_step)
+            out_k, out_n, out_d = [keys[first + q]], [keys[m]], [d]
+        if n and g:
+            q, m, d = search_guests(exact[:n], exact[n : n + g], k + 1)
+            out_k, out_n, out_d = [*out_k, keys[q]], [*out_n, keys[n + m]], [*out_d, d]
+        none = np.zeros(0, object)
+        return pa.table({"key": pa.array(np.concatenate([none, *out_k]), pa.string()), "neighbour": pa.array(np.concatenate([none, *out_n]), pa.string()), "distance": pa.array(np.concatenate([np.zeros(0), *out_d]))})
 
+    leaders = model.leaders
     centres = rows.sparkSession.sparkContext.broadcast(model.centres)
 
     def model_centre(cell: int) -> np.ndarray:
         return centres.value[cell]
 
-    found = visiting(single, model, dims).groupBy("cell").applyInArrow(search, "key string, neighbour string, distance double")
+    found = visiting(single, model, dims).groupBy("cell", "piece").applyInArrow(search, "key string, neighbour string, distance double")
     ranked = Window.partitionBy("key").orderBy("distance", "neighbour")
     best = found.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= k + 1).drop("r")
     # copies of a neighbour are neighbours too, and copies of a key are its neighbours at distance 0

@@ -1,10 +1,12 @@
 """What the operators on vectors share: sound rows, directions, and a coarse index of cells fitted on a bounded sample.
 
-The cells are leaders and rest cells. Leaders are the middles of the dense regions of the sample: in hash order, a vector that
+The cells are leaders and rest blocks. Leaders are the middles of the dense regions of the sample: in hash order, a vector that
 at least ``least`` others of the sample are near to. A leader that would hold more than ``max_cell`` rows is split by k-means of
-its sample. Around what no leader holds, a spherical k-means gives the rest cells. Every row, in the sample or not, has a home,
-its nearest cell (a rest cell, if no leader is near), and visits the nearest ``probes`` of the cells that are near, or of all cells if none is. So a cell's task is
-bounded by ``max_cell`` and the visits, whatever share of the rows is similar. The model has at most ``sample`` vectors.
+its sample. A row that a leader is as near as ``hold`` to is at home with the nearest one. It visits every leader that is as near
+as ``near``, so all parts of a split region, however many. The other rows are loose: each is at home in one of the rest blocks
+(drawn by hash) and visits them all, so every two loose rows meet. A loose row also visits the ``probes`` nearest leaders and
+all as near as ``reach``, and the rows at home there find it too. A cell that expects more than ``2 * max_cell`` visitors is
+searched in pieces, to each of which its own rows are sent, so that a task's rows stay bounded. The model has at most ``sample`` vectors.
 """
 
 from __future__ import annotations
@@ -55,34 +57,27 @@ def directions(m: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """The coarse index: unit centres, the first ``leaders`` of them leaders."""
-
-    def __init__(self, centres: np.ndarray, leaders: int, near: float, probes: int, rows: int, loose: int):
-        self.centres, self.leaders, self.near, self.probes = centres.astype(np.float32), leaders, near, probes
-        self.rows, self.loose = rows, loose
-
-    def homes(self, s: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        """The nearest cell; of a row that no leader is near to, the nearest rest cell."""
-        home = s.argmax(axis=1)
-        if self.leaders < s.shape[1] and alone.any():
-            home[alone] = self.leaders + s[alone, self.leaders :].argmax(axis=1)
-        return home
-
-    def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, at home?) of every cell that a row belongs to or visits."""
-        s = unit @ self.centres.T
-        close = s >= self.near
-        close[:, self.leaders :] = False
-        alone = ~close.any(axis=1)
-        home = self.homes(s, alone)
-        k = min(self.probes, s.shape[1])
-        wanted = alone | (close.sum(axis=1) > k)
-        out = close & ~wanted[:, None]
-        if wanted.any():
-            t = s[wanted].copy()
-            t[~close[wanted] & ~alone[wanted][:, None]] = -2.0
-            top = np.argpartition(-t, k - 1, axis=1)[:, :k]
-            out[np.repeat(np.flatnonzero(wanted), k), top.ravel()] = True
+    """The coarse index: unit centres, the first ``leaders`` of them leaders; the others are rest blocks, without a direction."""
+
+    def __init__(self, leaders: np.ndarray, blocks: int, hold: float, near: float, reach: float, probes: int):
+        self.leaders, self.hold, self.near, self.reach, self.probes = len(leaders), hold, near, reach, probes
+        self.centres = np.concatenate([leaders, np.zeros((blocks, leaders.shape[1]))]).astype(np.float32)
+        self.pieces = np.ones(len(self.centres), np.int64)
+
+    def visits(self, unit: np.ndarray, drawn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, at home?) of every cell that a row belongs to or visits; drawn: a number of each row that draws its rest block."""
+        s = unit @ self.centres[: self.leaders].T
+        loose = ~(s >= self.hold).any(axis=1)
+        home = s.argmax(axis=1) if self.leaders else np.zeros(len(s), np.int64)
+        drawn = np.arange(len(s)) if drawn is None else drawn
+        home[loose] = self.leaders + drawn[loose] % (len(self.centres) - self.leaders)
+        out = np.zeros((len(s), len(self.centres)), bool)
+        out[:, : self.leaders] = s >= np.where(loose, self.reach, self.near)[:, None]
+        out[loose, self.leaders :] = True
+        k = min(self.probes, self.leaders)
+        if k and loose.any():
+            top = np.argpartition(-s[loose], k - 1, axis=1)[:, :k]
+            out[np.repeat(np.flatnonzero(loose), k), top.ravel()] = True
         out[np.arange(len(s)), home] = True
         rows, cells = np.nonzero(out)
         return rows, cells, home[rows] == cells
@@ -101,12 +96,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def fit_cells(sample: np.ndarray, rows: int, *, lead: float = 0.6, near: float = 0.45, least: int = 4, max_cell: int = 32_000, loose_cell: int = 400, probes: int = 8) -> Cells:
-    """The cells for ``rows`` rows, of a sample of unit vectors in hash order."""
+def fit_cells(
+    sample: np.ndarray, rows: int, *, lead: float = 0.6, hold: float = 0.5, near: float = 0.45, reach: float = 0.3, least: int = 4, max_cell: int = 32_000, probes: int = 8, spread: int = 8
+) -> Cells:
+    """The cells for ``rows`` rows, of a sample of unit vectors in hash order. Loose rows are spread over up to ``spread`` blocks, more where one would exceed ``max_cell``."""
     dims = sample.shape[1]
     left, leaders = np.ones(len(sample), bool), []
     scale = rows / max(1, len(sample))
-    loose = np.zeros(len(sample), bool)
     for i in range(len(sample)):
         if not left[i]:
             continue
@@ -114,7 +110,6 @@ def fit_cells(sample: np.ndarray, rows: int, *, lead: float = 0.6, near: float =
         near_i = sample[open_] @ sample[i] >= lead
         if near_i.sum() < least:
             left[i] = False
-            loose[i] = True
             continue
         c = sample[open_[near_i]].sum(axis=0)
         c /= np.linalg.norm(c) or 1.0
@@ -126,12 +121,13 @@ def fit_cells(sample: np.ndarray, rows: int, *, lead: float = 0.6, near: float =
         else:
             leaders.append(kmeans(sample[mine], min(parts, len(mine))))
     lead_m = np.concatenate(leaders) if leaders else np.zeros((0, dims), np.float32)
-    rest = sample[loose]
-    cells = int(min(max(4, len(rest) * scale / loose_cell), max(1, len(rest) // 4), 2048)) if len(rest) else 0
-    centres = np.concatenate([lead_m, kmeans(rest, cells)]) if cells else lead_m
-    if not len(centres):
-        centres = np.eye(1, dims)
-    return Cells(centres, len(lead_m), near, probes, rows, int(len(rest) * scale))
+    loose = int((~(sample @ lead_m.T >= hold).any(axis=1)).sum() * scale)
+    blocks = max(1, -(-loose // max_cell), min(spread, loose // 1000))
+    model = Cells(lead_m, blocks, hold, near, reach, probes)
+    _, cells, home = model.visits(sample)
+    visitors = np.bincount(cells[~home], minlength=len(model.centres)) * scale
+    model.pieces = np.maximum(1, np.ceil(visitors / (2 * max_cell))).astype(np.int64)
+    return model
 
 
 def hash_sample(rows: DataFrame, total: int, most: int, dims: int = DIMS) -> np.ndarray:
@@ -148,16 +144,30 @@ def hash_sample(rows: DataFrame, total: int, most: int, dims: int = DIMS) -> np.
 
 
 def visiting(vectors: DataFrame, model: Cells, dims: int = DIMS) -> DataFrame:
-    """(cell, home, key, vector): every row of (key, vector) once for each cell that it visits."""
+    """(cell, piece, home, loose, key, vector): every row of (key, vector) once for each cell that it visits, and in every piece of its home.
+
+    home: at home in the cell; loose: at home in a rest block.
+    """
     held = vectors.sparkSession.sparkContext.broadcast(model)  # at most the sample's size
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
         for b in batches:
-            if b.num_rows:
-                rows, cells, home = held.value.visits(directions(matrix(b.column(1), dims)).astype(np.float32))
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                drawn = part.column(2).to_numpy()
+                rows, cells, home = m.visits(directions(matrix(part.column(1), dims)).astype(np.float32), drawn)
+                loose = np.zeros(part.num_rows, bool)
+                loose[rows[home]] = cells[home] >= m.leaders
+                times = np.where(home, m.pieces[cells], 1)
+                piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)  # a row at home is in all of them
+                rows, cells, home = (np.repeat(x, times) for x in (rows, cells, home))
+                piece = np.where(home, piece, drawn[rows] // len(m.centres) % m.pieces[cells])
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(home), b.column(0).take(at), b.column(1).take(at)], names=["cell", "home", "key", "vector"])
+                columns = [pa.array(cells.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(home), pa.array(loose[rows]), part.column(0).take(at), part.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "piece", "home", "loose", "key", "vector"])
 
-    placed = vectors.select("key", "vector").mapInArrow(place, "cell int, home boolean, key string, vector array<float>")
+    drawn = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 60))
+    placed = vectors.select("key", "vector", drawn.alias("drawn")).mapInArrow(place, "cell int, piece int, home boolean, loose boolean, key string, vector array<float>")
     # a cell's work grows faster than its bytes, so cells are not merged into few tasks by their bytes
-    return placed.repartition(min(len(model.centres), shuffle_tasks(vectors.sparkSession, 4)), "cell")
+    return placed.repartition(min(int(model.pieces.sum()), shuffle_tasks(vectors.sparkSession, 4)), "cell", "piece")

@@ -136,3 +136,27 @@ def test_links_are_joined(spark):
     got = {r.node: r.root for r in C.join_links(spark.createDataFrame(links, "a string, b string")).collect()}
     assert set(got.values()) == {"n0000", "x"} and len(got) == n + 1 and got["y"] == "x"
     assert C.join_links(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def neighbour_recall(spark, x, limit=0.3, **index):
+    """Of each row, how many of its true neighbours within ``limit`` there are and how many were found."""
+    u = V.directions(x)
+    d = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(d, 9)
+    got = {(int(r.key[1:]), int(r.neighbour[1:])) for r in N.nearest(table(spark, x), **index).collect()}
+    want = [[j for j in np.argsort(d[i], kind="stable")[:3] if d[i, j] <= limit] for i in range(len(x))]
+    return np.array([len(w) for w in want]), np.array([sum((i, j) in got for j in w) for i, w in enumerate(want)])
+
+
+def test_regions_of_many_parts(spark):
+    rng = np.random.default_rng(8)
+    x = blobs(rng, [3000], [0.5], 200)
+    u = V.directions(x).astype(np.float32)
+    assert V.fit_cells(u[rng.permutation(len(u))], len(u), max_cell=150).leaders >= 16
+    wanted, found = neighbour_recall(spark, x, max_cell=150)
+    assert found.sum() / wanted.sum() >= 0.97
+    # no task gets the whole region
+    model = V.fit_cells(u[rng.permutation(len(u))], len(u), max_cell=150)
+    assert model.pieces.max() > 4
+    sizes = [r["count"] for r in V.visiting(table(spark, x), model).groupBy("cell", "piece").count().collect()]
+    assert max(sizes) < 1000
