@@ -160,3 +160,23 @@ def test_regions_of_many_parts(spark):
     assert model.pieces.max() > 4
     sizes = [r["count"] for r in V.visiting(table(spark, x), model).groupBy("cell", "piece").count().collect()]
     assert max(sizes) < 1000
+
+
+def test_small_clusters_without_a_leader(spark):
+    rng = np.random.default_rng(9)
+    sizes = [100] * 20 + [3] * 150 + [5] * 100 + [20] * 15
+    x = blobs(rng, sizes, [0.3] * 10 + [0.5] * 10 + [0.5] * 265, 300)
+    wanted, found = neighbour_recall(spark, x, sample=400)
+    size = np.repeat(sizes + [1], [*sizes, 300])
+    for n in (3, 5, 20, 100):
+        assert found[size == n].sum() >= 0.99 * wanted[size == n].sum(), n
+    keys = [f"k{i:05d}" for i in range(len(x))]
+    got = {r.key: r.cluster_key for r in C.similarity_clusters(table(spark, x), sample=400).collect()}
+    assert got == truth_clusters(keys, x)
+
+
+def test_loose_rows_find_their_nearest(spark):
+    rng = np.random.default_rng(10)
+    x = blobs(rng, [200] * 10, [0.4] * 10, 1500)
+    wanted, found = neighbour_recall(spark, x, limit=2, sample=500)
+    assert found[2000:].sum() / wanted[2000:].sum() >= 0.9
