@@ -113,3 +113,11 @@ def test_standout_equals_brute_force(spark, seed):
             want.add((d, -s[0][1]))
     got = {(r.doc_id, r.term_id) for r in standout_terms(keyness(spark.createDataFrame(data, POSTINGS))).collect()}
     assert got == want
+
+
+def test_standout_term_that_is_light_for_its_frequency(spark):
+    # term 1 is in 300 of 1 000 documents, term 2 in 999; document 0 has little of term 1, so its z is below 0
+    data = [(1, d, f"k{d}", 2, 10.0) for d in range(999)] + [(1, d, f"k{d}", 1, 0.1 if d == 0 else 33.0) for d in range(300)] + [(1, 999, "k999", 3, 1.0)]
+    scored = keyness(spark.createDataFrame(data, POSTINGS))
+    assert scored.filter("doc_id = 0 and term_id = 1").first().z < 0
+    assert standout_terms(scored).filter("doc_id = 0").first().term_id == 1
