@@ -148,7 +148,7 @@ def join_links(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def similarity_clusters(rows: DataFrame, *, distance: float = 0.30, sample: int = 16_000, dims: int = DIMS, **index) -> DataFrame:
     """key, cluster_key, typical (how near the key is to its cluster's mean direction) of every key with a sound vector."""
     total = rows.count()
-    model = fit_cells(hash_sample(rows, total, sample, dims), total, **({"spread": 1, "probes": 2} | index))
+    model = fit_cells(hash_sample(rows, total, sample, dims), total, **({"spread": 1} | index))
     cos = 1.0 - distance
 
     def grouped(t: pa.Table) -> pa.Table:
