@@ -1,28 +1,35 @@
-"""Evaluation passages inside pages: pigeonhole pieces, then word by word verification with Myers' bit-parallel distance.
+"""Evaluation passages inside pages: pigeonhole pieces under an edit budget, then Myers' bit-parallel distance over the passage.
 
-A leak is a run of at least ``least`` consecutive words of an item that a page prints in their order. Of ``least`` words at
-most ``errors`` may be misread beyond recognition of the piece, so each run holds one of ``errors + 1`` pieces of
-``least // (errors + 1)`` words without error. All pieces of all items, at every offset, are the index (items are a held-out
-set of bounded size: ``max_item_words``, checked); every exact piece hit in a page is grown in both directions, comparing
-word with word by edit distance, which Myers' algorithm computes with bit vectors. A run may pass over whole lines (adverts,
-other columns) and over words broken at a line end, but over no other word.
+A leak is a run of ``least`` consecutive words of an item that a page prints in their order with at most ``errors`` letter edits
+in all of them together. That many edits leave one of ``errors + 1`` pieces of ``least // (errors + 1)`` words without error,
+wherever they stand, so every leak holds an exact hit of a piece. All pieces of all items, at every offset, are the index: sorted
+piece numbers with their places, made once and sent to every worker (items are a held-out set of bounded size: ``max_item_words``,
+checked). Around every hit all ways to print the neighbouring words are followed, and the runs of ``least`` words are verified:
+the passage's letters against the printed letters, by Myers' distance, must stay within the budget.
+
+A run may pass over any number of whole lines (adverts, other columns) and over words broken at a line end, but over no other word:
+a word may differ by few edits only (``budget``), and a word that the items use themselves is another word, not a misread one.
+Each stretch of words between lines passed over has at least two words (or the item's first or last), so that a chance word at some
+line's edge is no run. Stretches with an odd word leave fewer whole pieces: the budget is then one less than the pieces they hold (for
+twelve words and five edits never below three), so that here too it doesn't matter where the edits stand.
 
 Pages are read in the order of their columns (from the lines' boxes), or as given if the boxes don't fit the lines.
 
 Defined results
-    * words are compared after case folding, without accents, punctuation and invisible characters, look-alike letters and compatibility forms made equal.
+    * words are compared without case (sharp s is ss), accents, punctuation and invisible characters, look-alike letters and compatibility forms made equal.
     * null and empty texts, items of fewer than ``least`` words, null ids: no case. Repeated rows: one case.
     * null boxes, or another number of boxes than lines: lines in the order given.
     * an empty table on either side: no case. Extra columns are ignored.
 
-Scale: one pass over the pages' text and boxes, no shuffle of texts; only found (doc_id, item_id) pairs are made distinct.
+Scale: one pass over the pages' text and boxes, no shuffle of texts; only found (doc_id, item_id) pairs are made distinct. Hits are
+found for a batch of pages at once (binary search), and most chance hits are dropped there by the words beside them.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +38,30 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.lookalikes import same_shape
 
+@cache
+def folded_shapes() -> dict[str, str]:
+    """Letter without case -> the one that stands for all that look like it, in either case: capitals may look alike where small letters don't."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while x in root:
+            x = root[x]
+        return x
 
+    for other, shape in same_shape().items():
+        a, b = find(other.casefold()), find(shape.casefold())
+        if a != b:
+            a, b = sorted((a, b), key=lambda x: (not x.isascii(), x))
+            root[b] = a
+    return {x: find(x) for x in root}
 
 class _Fold(dict):
     """Character -> what is compared of it: letters and digits without case, accents and look-alikes; blanks and hyphens kept. Filled as characters are met."""
 
     def __missing__(self, c: int) -> str | None:
-        shape = same_shape()
-        parts = [shape.get(x, x) for x in unicodedata.normalize("NFKD", chr(c))]
-        new = "".join(x for x in "".join(parts).lower() if x.isalnum() or x in " \n-")
+        shape = folded_shapes()
+        parts = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(c)).casefold())
+        new = "".join(x for x in "".join(shape.get(x, x) for x in parts) if x.isalnum() or x in " \n-")
         if chr(c) in "\u00ad\u200b\u200c\u200d":
             new = ""
         elif unicodedata.category(chr(c)) == "Pd":
@@ -47,16 +69,13 @@ class _Fold(dict):
         self[c] = new or None
         return self[c]
 
-
 _FOLD = _Fold()
 
-
 def fold(text: str) -> str:
     return text.translate(_FOLD)
 
-
 def myers(a: str, b: str) -> int:
-    """Edit distance of two words (Myers 1999; the pattern's columns are the bits of one integer)."""
+    """Edit distance (Myers 1999; the pattern's columns are the bits of one integer)."""
     if a == b:
         return 0
     m = len(a)
@@ -82,48 +101,84 @@ def myers(a: str, b: str) -> int:
         mv = ph & xv
     return score
 
-
 def budget(word: str) -> int:
-    """Edits that a word may differ by and still be the same word misread: one below six letters, two below ten, else three."""
+    """Edits that a word may differ by and still be the same word misread: one below three letters (d read as cl is two), two below eight, then three and, from twelve letters on, four."""
     n = len(word)
-    return 1 if n < 6 else 2 if n < 10 else 3
-
+    return 1 if n < 3 else 2 if n < 8 else 3 if n < 12 else 4
+
+@lru_cache(1_000_000)
+def letters(word: str) -> int:
+    """The letters of a word as a set of bits: an edit changes two of them at most."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+def piece_numbers(ids: np.ndarray, size: int) -> np.ndarray:
+    """A number for every ``size`` consecutive ids; equal pieces have equal numbers."""
+    n = max(0, len(ids) - size + 1)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for s in range(size):
+            out = (out ^ (ids[s : s + n].astype(np.uint64) + np.uint64(2))) * MULTIPLIER
+            out ^= out >> np.uint64(31)
+    return out
 
 class Items:
-    """The index of all pieces, and the words of every item."""
+    """The index of all pieces, and the words of every item: arrays and one dictionary, made once."""
 
     def __init__(self, rows: list[tuple[int, str]], least: int, errors: int):
-        self.least, self.size = least, least // (errors + 1)
-        self.words: dict[int, list[str]] = {}
-        self.pieces: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        self.cache: dict[tuple[str, str], bool] = {}
+        self.least, self.errors, self.size = least, errors, least // (errors + 1)
+        if self.size < 1:
+            raise ValueError(f"a run of {least} words has no {errors + 1} pieces")
+        self.vocabulary: dict[str, int] = {}
+        self.names: list[int] = []  # item_id of each item
+        self.words: list[list[str]] = []
+        lists = []
         for i, text in rows:
             words = [w for w in (x.replace("-", "") for x in fold(text).split()) if w]
-            if len(words) < least:
-                continue
-            self.words[i] = words
-            for j in range(len(words) - self.size + 1):
-                self.pieces[tuple(words[j : j + self.size])].append((i, j))
-        self.vocabulary = {w for p in self.pieces for w in p}
-        self.firsts = {p[:2] for p in self.pieces}
-
-    def same(self, a: str, b: str) -> bool:
-        """Is the page's word b the item's word a, perhaps misread?"""
+            if len(words) >= least:
+                self.names.append(i)
+                self.words.append(words)
+                lists.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
+        self.start = np.cumsum([0, *map(len, lists)])  # of each item in ids
+        self.ids = np.concatenate([*lists, np.full(1, -2)])
+        at = [np.arange(a, b - self.size + 1) for a, b in zip(self.start[:-1], self.start[1:])]
+        at = np.concatenate([np.zeros(0, np.int64), *at])
+        numbers = piece_numbers(self.ids, self.size)[at]
+        order = np.argsort(numbers, kind="stable")
+        self.numbers, self.at = numbers[order], at[order]
+        self.of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])  # item of each place in ids
+        self.bits, self.lengths = measures(list(self.vocabulary))
+        self.most = np.array([budget(w) for w in self.vocabulary], np.int64)
+        self.cache: dict[tuple[str, str], int] = {}
+
+    def alike(self, word: np.ndarray, bits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """May other words, of which letters and length are given, be the item words (ids) misread? Never denies one that is."""
+        most = self.most[word]
+        return (np.abs(self.lengths[word] - lengths) <= most) & (np.bitwise_count(self.bits[word] ^ bits) <= 2 * most)
+
+    def edits(self, a: str, b: str) -> int:
+        """Edits between the item's word a and the page's word b, -1 if b is another word."""
         if a == b:
-            return True
+            return 0
         k = budget(a)
-        if not k or abs(len(a) - len(b)) > k:
-            return False
+        if abs(len(a) - len(b)) > k or b in self.vocabulary:
+            return -1
         got = self.cache.get((a, b))
+        if got is None and (letters(a) ^ letters(b)).bit_count() > 2 * k:
+            got = -1
         if got is None:
-            got = b not in self.vocabulary and myers(a, b) <= k  # a word that items use themselves is another word, not a misread one
+            got = myers(a, b)
+            got = got if got <= k else -1
             if len(self.cache) < 1_000_000:
                 self.cache[a, b] = got
         return got
 
-
 class Page:
-    """Words of a page in reading order, with the places where lines start and words that a line end breaks joined."""
+    """Words of a page in reading order, with the places where lines start and words that a line end breaks."""
 
     def __init__(self, lines: list[str]):
         self.words: list[str] = []
@@ -131,121 +186,228 @@ class Page:
         self.start: list[int] = []  # first word of each line
         self.broken: list[bool] = []  # does the word end its line with a hyphen?
         for text in lines:
-            words = text.split()
-            if not words:
-                continue
-            n = len(self.start)
-            self.start.append(len(self.words))
-            tail = len(words) - 1
-            for k, w in enumerate(words):
-                bare = w.replace("-", "")
-                if not bare:
-                    continue
-                self.words.append(bare)
-                self.line.append(n)
-                self.broken.append(k == tail and w[-1] == "-")
+            n, at, words = len(self.start), len(self.words), text.split()
+            bare = [w for w in (x.replace("-", "") for x in words) if w]
+            if bare:
+                self.words += bare
+                self.line += [n] * len(bare)
+                self.broken += [False] * len(bare)
+                self.start.append(at)
+                self.broken[-1] = words[-1][-1] == "-" and words[-1].strip("-") != ""
         self.start.append(len(self.words))
 
-
-SKIP = 8
-
-
-def grow(items: Items, page: Page, words: list[str], j: int, p: int, step: int) -> int:
-    """Number of item words from j on (downwards if step is -1) that the page prints from p on."""
-    n, count, end = len(words), 0, len(page.words)
-    while 0 <= j < n:
-        hit = advance(items, page, words[j], j + step, words, p, step, end)
-        if hit is None:
-            break
-        p = hit
+    def edges(self, items: Items) -> None:
+        """Which lines begin, and which end, with each word that items use; those that begin or end with another word may be misread."""
+        self.begins: dict[str, list[int]] = {}
+        self.ends: dict[str, list[int]] = {}
+        self.odd_begins: list[int] = []
+        self.odd_ends: list[int] = []
+        for n, (a, b) in enumerate(zip(self.start, self.start[1:])):
+            for q, known, odd in ((a, self.begins, self.odd_begins), (b - 1, self.ends, self.odd_ends)):
+                w = self.words[q]
+                if w in items.vocabulary:
+                    known.setdefault(w, []).append(n)
+                if b - a == 1 or w not in items.vocabulary and not (q == b - 1 and self.broken[q]):
+                    odd.append(n)
+
+    def ways(self, items: Items, word: str, p: int, step: int) -> Iterator[tuple[int, int, str, bool, bool]]:
+        """(place after it, edits, letters, lines passed over?, split by them?) of every way to read ``word`` from place p on in direction ``step``."""
+        if not 0 <= p < len(self.words):
+            return
+        line = self.line[p]
+        yield from self.here(items, word, p, step)
+        if step > 0 and p == self.start[line]:
+            others = sorted(n for n in {*self.begins.get(word, ()), *self.odd_begins} if n > line)
+        elif step < 0 and p + 1 == self.start[line + 1]:
+            others = sorted((n for n in {*self.ends.get(word, ()), *self.odd_ends} if n < line), reverse=True)
+        else:
+            return
+        for n in others:
+            for to, e, got, _, split in self.here(items, word, self.start[n] if step > 0 else self.start[n + 1] - 1, step):
+                yield to, e, got, True, split
+
+    def here(self, items: Items, word: str, p: int, step: int) -> Iterator[tuple[int, int, str, bool, bool]]:
+        """The ways to read ``word`` at place p itself, whole or joined over a line end."""
+        if not 0 <= p < len(self.words):
+            return
+        got, line = self.words[p], self.line[p]
+        e = items.edits(word, got)
+        if e >= 0:
+            yield p + step, e, got, False, False
+        if len(got) > len(word) + budget(word):
+            return
+        if step > 0 and self.broken[p]:
+            for n in range(line + 1, len(self.start) - 1):
+                q = self.start[n]
+                e = items.edits(word, got + self.words[q])
+                if e >= 0:
+                    yield q + 1, e, got + self.words[q], n > line + 1, n > line + 1
+        elif step < 0 and p == self.start[line]:
+            for n in range(line - 1, -1, -1):
+                q = self.start[n + 1] - 1
+                if self.broken[q]:
+                    e = items.edits(word, self.words[q] + got)
+                    if e >= 0:
+                        yield q - 1, e, self.words[q] + got, n < line - 1, n < line - 1
+
+def follow(items: Items, page: Page, words: list[str], j: int, p: int, step: int, most: int) -> list[list[tuple[int, str, tuple[int, ...]]]]:
+    """The item's words from j on (downwards if step is -1), at most ``most``: for 0, 1, 2 ... words the ways to print them, each as edits, letters, words of each stretch.
+
+    A new stretch begins behind lines passed over. Of ways that meet at one place with equal stretches that with the fewest edits goes on.
+    """
+    ways: dict[tuple, tuple[int, str, tuple[int, ...]]] = {(p, (0,)): (0, "", (0,))}
+    out = [list(ways.values())]
+    while ways and len(out) <= most and 0 <= j < len(words):
+        new: dict[tuple, tuple[int, str, tuple[int, ...]]] = {}
+        for (at, stretches), (edits, letters, _) in ways.items():
+            for to, e, got, over, split in page.ways(items, words[j], at, step):
+                total = edits + e
+                if total > 2 * items.errors:
+                    continue
+                if over and 0 <= j + step < len(words) and next(page.here(items, words[j + step], to, step), None) is None:
+                    continue  # a chance word
+                longer = (*stretches, 0) if split else (*stretches, 1) if over else (*stretches[:-1], stretches[-1] + 1)
+                if (to, longer) not in new or new[to, longer][0] > total:
+                    new[to, longer] = total, letters + got if step > 0 else got + letters, longer
+        ways = new
         j += step
-        count += 1
-    return count
-
-
-def advance(items: Items, page: Page, word: str, following: int, words: list[str], p: int, step: int, end: int) -> int | None:
-    """The place after ``word`` if the page prints it at p, or behind whole lines from p on; else None."""
-    got = take(items, page, word, p, step)
-    if got is not None:
-        return got
-    # p must be at a line's edge to pass over whole lines
-    if step > 0:
-        if not 0 < p < end or page.line[p] == page.line[p - 1]:
-            return None
-        first = page.line[p]
-        for line in range(first + 1, min(first + 1 + SKIP, len(page.start) - 1)):
-            got = take(items, page, word, page.start[line], step)
-            if got is not None and confirmed(items, page, words, following, got, step):
-                return got
-    else:
-        if p < 0 or p + 1 >= end or page.line[p] == page.line[p + 1]:
-            return None
-        first = page.line[p]
-        for line in range(first - 1, max(first - 1 - SKIP, -1), -1):
-            got = take(items, page, word, page.start[line + 1] - 1, step)
-            if got is not None and confirmed(items, page, words, following, got, step):
-                return got
-    return None
-
-
-def confirmed(items: Items, page: Page, words: list[str], j: int, p: int, step: int) -> bool:
-    """After passing over lines the next word must follow too (or the item or the page end)."""
-    return not 0 <= j < len(words) or not 0 <= p < len(page.words) or take(items, page, words[j], p, step) is not None
-
-
-def take(items: Items, page: Page, word: str, p: int, step: int) -> int | None:
-    """The place after ``word`` read at p in direction ``step``, joined over a line end where it is broken; else None."""
-    if not 0 <= p < len(page.words):
-        return None
-    if page.broken[p] and step > 0:
-        head, line = page.words[p], page.line[p]
-        for other in range(line + 1, min(line + 2 + SKIP, len(page.start) - 1)):
-            q = page.start[other]
-            if q < len(page.words) and page.line[q] == other and items.same(word, head + page.words[q]):
-                return q + 1
-    if step < 0 and p == page.start[page.line[p]]:
-        tail, line = page.words[p], page.line[p]
-        for other in range(line - 1, max(line - 2 - SKIP, -1), -1):
-            q = page.start[other + 1] - 1
-            if q >= 0 and page.broken[q] and items.same(word, page.words[q] + tail):
-                return q - 1
-    return p + step if items.same(word, page.words[p]) else None
-
-
-def leaks(items: Items, page: Page) -> set[int]:
-    """Ids of the items of which the page prints a run of at least ``least`` words."""
-    found: set[int] = set()
-    size, w, pieces = items.size, page.words, items.pieces
-    joined, place = joined_words(page)
-    done: dict[tuple[int, int], int] = {}  # (item, diagonal) -> item word up to which it was grown
-    for k in range(len(joined) - size + 1):
-        if (joined[k], joined[k + 1]) not in items.firsts:
+        if ways:
+            out.append(list(ways.values()))
+    return out
+
+def verified(items: Items, page: Page, words: list[str], j: int, first: int, last: int) -> bool:
+    """Is the piece of the item's words from j on, printed at places first to last, in a run of ``least`` words within the budget?"""
+    more = items.least - items.size
+    right = follow(items, page, words, j + items.size, last + 1, 1, more)
+    if len(right) - 1 + j < more:
+        return False
+    left = follow(items, page, words, j - 1, first - 1, -1, more)
+    piece = "".join(words[j : j + items.size])
+    for a in range(max(0, more - len(right) + 1), min(more, len(left) - 1) + 1):
+        b = more - a
+        passage = "".join(words[j - a : j + items.size + b])
+        for _, before, x in left[a]:
+            for _, after, y in right[b]:
+                pieces = sum(n // items.size for n in (*x[1:], *y[1:], x[0] + items.size + y[0]))
+                if myers(passage, before + piece + after) <= min(items.errors, pieces - 1):
+                    return True
+    return False
+
+def measures(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters (as bits) and length of each word."""
+    return np.array([letters(w) for w in words], np.uint64), np.array([len(w) for w in words], np.int64)
+
+class Edges:
+    """The words that the pages' lines begin with (or end with): are two of them, perhaps misread, given item words? (Fewer where a line or item ends.)"""
+
+    def __init__(self, items: Items, pages: list[Page], begin: bool):
+        self.items, of, words, nexts = items, [], [], []
+        for n, page in enumerate(pages):
+            of += [n] * (len(page.start) - 1)
+            for a, b in zip(page.start, page.start[1:]):
+                x, y = (a, a + 1) if begin else (b - 1, b - 2)
+                inner = b - a > 2 or b - a == 2 and begin and not page.broken[y]  # a word at the line's other edge may be half a word
+                words.append(page.words[x])
+                nexts.append(page.words[y] if inner else "")
+        self.of, total = np.array(of, np.int64), len(items.vocabulary)
+        ids, self.nexts = (np.array([items.vocabulary.get(w, -1) for w in x], np.int64) for x in (words, nexts))
+        known = ids >= 0
+        self.single = np.unique((self.of * total + ids)[known & (self.nexts < 0)])
+        both = known & (self.nexts >= 0)
+        self.double = np.unique(((self.of * total + ids) * total + self.nexts)[both])
+        self.any = np.unique((self.of * total + ids)[known])
+        odd = np.flatnonzero(~known)
+        self.bits, self.lengths = measures([words[n] for n in odd.tolist()])
+        self.nexts, self.start = self.nexts[odd], np.searchsorted(self.of[odd], np.arange(len(pages) + 1))
+
+    def may_be(self, page: np.ndarray, word: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """following: the item word after (before) it, -1 if there is none."""
+        total = len(self.items.vocabulary)
+        key = page * total + word
+        hit = within(self.single, key) | within(self.double, key * total + following) | (following < 0) & within(self.any, key)
+        rest = np.flatnonzero(~hit)
+        times = self.start[page[rest] + 1] - self.start[page[rest]]
+        of = np.repeat(rest, times)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.start[page[rest]], times)
+        fits = (self.nexts[at] < 0) | (following[of] < 0) | (self.nexts[at] == following[of])
+        of, at = of[fits], at[fits]
+        hit[of[self.items.alike(word[of], self.bits[at], self.lengths[at])]] = True
+        return hit
+
+def within(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
+
+def leaks(items: Items, pages: list[Page]) -> list[tuple[int, int]]:
+    """(page, item) of the pages' leaks, as places in the two lists."""
+    size = items.size
+    if not pages or not len(items.at):
+        return []
+    words, line, broken = [], [], []
+    for page in pages:
+        words += [*page.words, ""]
+        line += [*page.line, -1]
+        broken += [*page.broken, False]
+    lines, kept, page_start = np.array(line), np.ones(len(words), bool), np.cumsum([0, *(len(page.words) + 1 for page in pages)])
+    at = -1
+    for p in np.flatnonzero(broken).tolist():  # broken words are joined to the next line's first
+        if p != at and lines[p + 1] >= 0:
+            at = p + 1
+            words[p] += words[at]
+            kept[at] = False
+    first = np.flatnonzero(kept)
+    last = np.append(first[1:], len(kept)) - 1
+    words, made = [words[p] for p in first.tolist()], last > first
+    starts, ends = lines[first] != lines[first - 1], lines[last] != np.append(lines, -1)[last + 1]
+    page_of = np.searchsorted(page_start, first, "right") - 1
+    first, last = first - page_start[page_of], last - page_start[page_of]
+    ids = np.array([items.vocabulary.get(w, -1) if w else -3 for w in words])
+    bits, lengths = measures(words)
+    numbers = piece_numbers(ids, size)
+    lo, hi = np.searchsorted(items.numbers, numbers, "left"), np.searchsorted(items.numbers, numbers, "right")
+    times = hi - lo
+    k = np.repeat(np.arange(len(times)), times)
+    at = items.at[np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)]
+    for s in range(size):  # equal numbers, and equal words
+        same = ids[k + s] == items.ids[at + s]
+        k, at = k[same], at[same]
+    # words beside a hit that must be its item's: a hit goes on where they are, where one may be misread, and where a line ends
+    need, reach = items.least - size, np.zeros(len(k), np.int64)
+    item = items.of[at]
+    for step, x, y, a_line in ((1, k + size - 1, at + size - 1, ends), (-1, k, at, starts)):
+        edges = Edges(items, pages, step > 0)
+        x, y, live = x.copy(), y.copy(), np.arange(len(k))
+        bound = items.start[item + 1] - 1 if step > 0 else items.start[item]
+        for _ in range(need):
+            live = live[y[live] != bound[live]]
+            was = x[live]
+            x[live] += step
+            y[live] += step
+            there, word = ids[x[live]], items.ids[y[live]]
+            equal = there == word
+            other = x[live]
+            open_ = ~equal & (there == -1) & (made[other] | items.alike(word, bits[other], lengths[other]))
+            if step < 0:  # the rest of a word that begins at the end of an earlier line
+                open_ |= ~equal & starts[other] & (np.bitwise_count(bits[other] & ~items.bits[word]) <= 2 * items.most[word])
+            edge = np.flatnonzero(~equal & ~open_ & a_line[was])
+            at_edge = y[live[edge]]
+            following = np.where(at_edge == bound[live[edge]], -1, items.ids[at_edge + step])
+            open_[edge] = edges.may_be(page_of[k[live[edge]]], word[edge], following)
+            reach[live[open_]] += np.abs(bound - y)[live[open_]] + 1
+            reach[live[equal]] += 1
+            live = live[equal]
+    go = np.flatnonzero(reach >= need)
+    found: set[tuple[int, int]] = set()
+    ready = -1
+    for h in go.tolist():
+        n, i = int(page_of[k[h]]), int(item[h])
+        if (n, i) in found:
             continue
-        for i, j in pieces.get(tuple(joined[k : k + size]), ()):
-            if i in found or done.get((i, k - j), -1) > j:
-                continue
-            words, last = items.words[i], k + size - 1
-            right = grow(items, page, words, j + size, place[last] + (2 if joined[last] != w[place[last]] else 1), 1)
-            left = grow(items, page, words, j - 1, place[k] - 1, -1)
-            if left + size + right >= items.least:
-                found.add(i)
-            done[i, k - j] = j + size + right
-    return found
-
-
-def joined_words(page: Page) -> tuple[list[str], list[int]]:
-    """The page's words with broken ones joined to the next line's first, and the place of each."""
-    joined, place, k, w = [], [], 0, page.words
-    while k < len(w):
-        place.append(k)
-        if page.broken[k] and k + 1 < len(w):
-            joined.append(w[k] + w[k + 1])
-            k += 2
-        else:
-            joined.append(w[k])
-            k += 1
-    return joined, place
-
+        if n != ready:
+            pages[n].edges(items)
+            ready = n
+        if verified(items, pages[n], items.words[i], int(at[h] - items.start[i]), int(first[k[h]]), int(last[k[h] + size - 1])):
+            found.add((n, i))
+    return sorted(found)
 
 def reading_order(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray) -> np.ndarray:
     """Order of the lines by column (left edges with a wide gap between them), then from top to bottom."""
@@ -256,39 +418,39 @@ def reading_order(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray) -> np.ndarray:
     column[by_x] = np.concatenate([[0], np.cumsum(np.diff(xs) > gap)])
     return np.lexsort((y0, column))
 
-
-def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts, boxes = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-        starts = boxes.offsets.to_numpy() if len(boxes) else np.zeros(1, np.int64)
-        flat = boxes.values
-        x0, y0, x1 = (flat.field(f).fill_null(0).to_numpy(zero_copy_only=False) for f in ("x0", "y0", "x1"))
-        known = boxes.is_valid().to_numpy(zero_copy_only=False)
-        docs, found = [], []
-        for r, doc in enumerate(ids):
-            lines = fold(texts[r].as_py()).split("\n")
-            a, b = int(starts[r]), int(starts[r + 1])
-            if known[r] and b - a == len(lines) > 1:
-                lines = [lines[i] for i in reading_order(x0[a:b], y0[a:b], x1[a:b]).tolist()]
-            for i in sorted(leaks(items, Page(lines))):
-                docs.append(doc)
-                found.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
-
-
-def leaked_passages(docs: DataFrame, items: DataFrame, *, least: int = 12, errors: int = 3, max_item_words: int = 5_000_000) -> DataFrame:
-    """(doc_id, item_id) of every page that prints at least ``least`` consecutive words of an item.
-
-    Raises ValueError if the items have more than ``max_item_words`` words: they are sent to every task.
+def _search(batches: Iterator[pa.RecordBatch], items: Items, many: int = 256) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, many):
+            batch = whole.slice(start, many)
+            ids, texts, boxes = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            starts = boxes.offsets.to_numpy()
+            flat = boxes.values
+            x0, y0, x1 = (flat.field(f).fill_null(0).to_numpy(zero_copy_only=False) for f in ("x0", "y0", "x1"))
+            known = boxes.is_valid().to_numpy(zero_copy_only=False)
+            pages = []
+            for r in range(len(ids)):
+                lines = fold(texts[r].as_py()).split("\n")
+                a, b = int(starts[r]), int(starts[r + 1])
+                if known[r] and b - a == len(lines) > 1:
+                    lines = [lines[i] for i in reading_order(x0[a:b], y0[a:b], x1[a:b]).tolist()]
+                pages.append(Page(lines))
+            found = leaks(items, pages)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n, _ in found], pa.int64()), pa.array([items.names[i] for _, i in found], pa.int64())], names=["doc_id", "item_id"])
+
+def leaked_passages(docs: DataFrame, items: DataFrame, *, least: int = 12, errors: int = 5, max_item_words: int = 5_000_000) -> DataFrame:
+    """(doc_id, item_id) of every page that prints at least ``least`` consecutive words of an item, with at most ``errors`` edits in them.
+
+    Raises ValueError if the items have more than ``max_item_words`` words: their index is sent to every worker.
     """
     rows = items.select(F.col("item_id").cast("bigint"), "text").filter("item_id is not null and text is not null")
     words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     if words > max_item_words:
         raise ValueError(f"{words} item words are more than {max_item_words}: search the items in several calls")
-    held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.distinct().collect()])
+    index = Items(sorted(tuple(r) for r in rows.distinct().collect()), least, errors)
+    held = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _search(batches, Items(held.value, least, errors))
+        return _search(batches, held.value)
 
     pages = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "boxes").filter("doc_id is not null and text is not null and text <> ''")
     return pages.mapInArrow(search, "doc_id bigint, item_id bigint").distinct()

@@ -105,6 +105,104 @@ def test_columns_given_line_by_line(spark):
     assert found(spark, ["\n".join(lines)], boxes=boxes) == [0]
 
 
+@pytest.mark.parametrize("lines", [1, 8, 9, 12, 30, 200])
+def test_any_number_of_lines_is_passed_over(spark, lines):
+    advert = "\n".join(f"Apply Kelveltin {n}, Linola Row" for n in range(lines))
+    cases = [
+        f"head\n{' '.join(WORDS[0:6])}\n{advert}\n{' '.join(WORDS[6:13])}\ntail",
+        f"head\n{' '.join(WORDS[0:8])} win-\n{advert}\ndow {' '.join(WORDS[9:14])}\ntail",  # inside a broken word
+        f"head\n{' '.join(WORDS[0:4])}\n{advert}\n{' '.join(WORDS[4:8])}\n{advert}\n{' '.join(WORDS[8:13])}\ntail",
+        f"head\n{' '.join(WORDS[0:6])} other\n{advert}\n{' '.join(WORDS[6:13])}\ntail",  # another word before the lines
+        f"head\n{' '.join(WORDS[0:11])}\n{advert}\ntail {WORDS[11]}",  # the twelfth word is not at a line's start
+        f"head\n{' '.join(WORDS[0:11])}\n{advert}\n{WORDS[11]} tail",  # a chance word
+    ]
+    assert found(spark, cases) == [0, 1, 2]
+
+
+def misread(words, places):
+    return " ".join(w[:1] + "\u00f0" + w[2:] if n in places else w for n, w in enumerate(words))
+
+
+def test_the_edit_budget_alone_decides(spark):
+    rnd, letters = random.Random(1), [n for n, w in enumerate(WORDS[:12]) if len(w) > 1]
+    places = [list(range(a, a + 5)) for a in range(6)] + [[0, 2, 4, 6, 9], [0, 3, 5, 7, 10]] + [rnd.sample(letters, 5) for _ in range(20)]
+    places = [[n for n in p if n in letters] for p in places]
+    assert found(spark, [misread(WORDS[:12], p) for p in places]) == list(range(len(places)))
+    beyond = [rnd.sample(letters, 6) for _ in range(20)]
+    assert found(spark, [misread(WORDS[:12], p) for p in beyond]) == []
+    assert found(spark, [misread(WORDS[:12], letters[:2])], errors=1) == [] and found(spark, [misread(WORDS[:12], letters[:1])], errors=1) == [0]
+
+
+def test_misread_letters_and_capitals(spark):
+    item = "Der Fluß und die große Straße führten gestern den alten Markt nach Osten"
+    text = item.upper()
+    assert "STRASSE" in text
+    assert found(spark, [text, item.replace("und", "uncl"), item.replace("und", "unb"), item.replace("alten", "kalten Osten")], item=item) == [0, 1, 2]
+    russian = "Новый мост открыли вчера утром когда старый рынок уже давно был закрыт"
+    swapped = russian.upper().translate(str.maketrans("МВКТНОРСХ", "MBKTHOPCX"))
+    assert found(spark, [russian.upper(), swapped], item=russian) == [0, 1]
+
+
+def brute(item, lines, least, errors):
+    """All runs by plain search over one page without broken words."""
+    words = [K.fold(w) for w in item.split()]
+    page = [[K.fold(w) for w in x.split()] for x in lines]
+    vocabulary = set(words)
+
+    def edits(a, b):
+        if a == b:
+            return 0
+        e = K.myers(a, b)
+        return e if b not in vocabulary and e <= K.budget(a) else None
+
+    def before(j, n, p):
+        place = (n, p - 1) if p else (n - 1, len(page[n - 1]) - 1)
+        return j == 0 or place[0] >= 0 and edits(words[j - 1], page[place[0]][place[1]]) is not None
+
+    def run(j, n, p, left, text, first, stretches, alone=True):
+        """Does the page print words[j:first+least] from line n, word p on?"""
+        if j == first + least:
+            size = least // (errors + 1)
+            return K.myers("".join(words[first:j]), text) <= min(errors, sum(x // size for x in stretches) - 1)
+        for m, q in [(n, p)] if p < len(page[n]) else [(m, 0) for m in range(n + 1, len(page))]:
+            e = edits(words[j], page[m][q])
+            if e is None or e > left:
+                continue
+            straight = m <= n + 1
+            after = (m, q + 1) if q + 1 < len(page[m]) else (m + 1, 0)
+            if not straight and not alone:  # one word at the run's begin, then lines passed over
+                continue
+            if not straight and j + 1 < len(words) and not (after[0] < len(page) and edits(words[j + 1], page[after[0]][after[1]]) is not None):
+                continue
+            more = [*stretches[:-1], stretches[-1] + 1] if straight else [*stretches, 1]
+            if run(j + 1, m, q + 1, left - e, text + page[m][q], first, more, j > first or before(j, m, q)):
+                return True
+        return False
+
+    return any(run(j, n, p, 2 * errors, "", j, [0]) for j in range(len(words) - least + 1) for n in range(len(page)) for p in range(len(page[n])))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_equal_plain_search(seed):
+    rnd = random.Random(seed)
+    names = ["anna", "bell", "cart", "dome", "east", "fern", "gold", "hill"]
+    for _ in range(300):
+        item = " ".join(rnd.choice(names) for _ in range(9))
+        words = item.split()
+        stream = [rnd.choice(["zzzz", "yyyy"]) for _ in range(3)] + words[rnd.randint(0, 3) : rnd.randint(6, 9)] + ["xxxx"]
+        stream = [w[0] + "q" + w[2:] if rnd.random() < 0.15 else w for w in stream]
+        lines = []
+        while stream:
+            n = rnd.randint(2, 4)
+            lines.append(" ".join(stream[:n]))
+            stream = stream[n:]
+            while rnd.random() < 0.4:
+                lines.append(" ".join(rnd.choice(["vvvv", "wwww", *names[:2]]) for _ in range(3)))
+        items = K.Items([(1, item)], 6, 2)
+        got = bool(K.leaks(items, [K.Page([K.fold(x) for x in lines])]))
+        assert got == brute(item, lines, 6, 2), (item, lines)
+
+
 def test_leak_edge_tables(spark):
     assert found(spark, [None, "", "x", "-", "\n\n"]) == []
     assert found(spark, [ITEM], item="too short") == [] and found(spark, [ITEM], item=None) == []
