@@ -152,31 +152,36 @@ class Items:
         self.numbers, self.at = numbers[order], at[order]
         self.of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])  # item of each place in ids
         self.bits, self.lengths = measures(list(self.vocabulary))
-        self.most = np.array([budget(w) for w in self.vocabulary], np.int64)
+        self.budgets = {w: budget(w) for w in self.vocabulary}
+        self.most = np.array(list(self.budgets.values()), np.int64)
         self.cache: dict[tuple[str, str], int] = {}
 
     def alike(self, word: np.ndarray, bits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """May other words, of which letters and length are given, be the item words (ids) misread? Never denies one that is."""
-        most = self.most[word]
-        return (np.abs(self.lengths[word] - lengths) <= most) & (np.bitwise_count(self.bits[word] ^ bits) <= 2 * most)
+        most, own = self.most[word], self.bits[word]
+        return (np.abs(self.lengths[word] - lengths) <= most) & (np.bitwise_count(own & ~bits) <= most) & (np.bitwise_count(bits & ~own) <= most)
+
+    def may_hold(self, word: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """May the item words (ids), perhaps misread, hold parts of which the letters are given? Never denies one that does."""
+        return np.bitwise_count(bits & ~self.bits[word]) <= self.most[word]
 
     def edits(self, a: str, b: str) -> int:
         """Edits between the item's word a and the page's word b, -1 if b is another word."""
         if a == b:
             return 0
-        k = budget(a)
-        if abs(len(a) - len(b)) > k or b in self.vocabulary:
+        k = self.budgets[a]
+        if not -k <= len(a) - len(b) <= k or b in self.vocabulary:
             return -1
         got = self.cache.get((a, b))
-        if got is None and (letters(a) ^ letters(b)).bit_count() > 2 * k:
-            got = -1
         if got is None:
-            got = myers(a, b)
+            x, y = letters(a), letters(b)
+            got = myers(a, b) if (x & ~y).bit_count() <= k and (y & ~x).bit_count() <= k else -1
             got = got if got <= k else -1
             if len(self.cache) < 1_000_000:
                 self.cache[a, b] = got
         return got
 
+
 class Page:
     """Words of a page in reading order, with the places where lines start and words that a line end breaks."""
 
@@ -217,9 +222,9 @@ class Page:
         line = self.line[p]
         yield from self.here(items, word, p, step)
         if step > 0 and p == self.start[line]:
-            others = sorted(n for n in {*self.begins.get(word, ()), *self.odd_begins} if n > line)
+            others = [n for n in (*self.begins.get(word, ()), *self.odd_begins) if n > line]
         elif step < 0 and p + 1 == self.start[line + 1]:
-            others = sorted((n for n in {*self.ends.get(word, ()), *self.odd_ends} if n < line), reverse=True)
+            others = [n for n in (*self.ends.get(word, ()), *self.odd_ends) if n < line]
         else:
             return
         for n in others:
@@ -234,7 +239,7 @@ class Page:
         e = items.edits(word, got)
         if e >= 0:
             yield p + step, e, got, False, False
-        if len(got) > len(word) + budget(word):
+        if len(got) > len(word) + 4:
             return
         if step > 0 and self.broken[p]:
             for n in range(line + 1, len(self.start) - 1):
@@ -334,6 +339,22 @@ class Edges:
         hit[of[self.items.alike(word[of], self.bits[at], self.lengths[at])]] = True
         return hit
 
+class Halves:
+    """The words that lines end with, broken: is one of them, with a given rest, a given item word?"""
+
+    def __init__(self, items: Items, of: np.ndarray, bits: np.ndarray, lengths: np.ndarray, pages: int):
+        self.items, self.bits, self.lengths = items, bits, lengths
+        self.start = np.searchsorted(of, np.arange(pages + 1))
+
+    def may_be(self, page: np.ndarray, word: np.ndarray, bits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        times = self.start[page + 1] - self.start[page]
+        of = np.repeat(np.arange(len(page)), times)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.start[page], times)
+        hit = np.zeros(len(page), bool)
+        hit[of[self.items.alike(word[of], bits[of] | self.bits[at], lengths[of] + self.lengths[at])]] = True
+        return hit
+
+
 def within(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
 
@@ -348,20 +369,25 @@ def leaks(items: Items, pages: list[Page]) -> list[tuple[int, int]]:
         line += [*page.line, -1]
         broken += [*page.broken, False]
     lines, kept, page_start = np.array(line), np.ones(len(words), bool), np.cumsum([0, *(len(page.words) + 1 for page in pages)])
-    at = -1
-    for p in np.flatnonzero(broken).tolist():  # broken words are joined to the next line's first
+    halved, heads, at = np.flatnonzero(broken), np.zeros(len(words), np.uint64), -1
+    heads[halved], lengths = measures([words[p] for p in halved.tolist()])
+    halves = Halves(items, np.searchsorted(page_start, halved, "right") - 1, heads[halved], lengths, len(pages))
+    for p in halved.tolist():  # broken words are joined to the next line's first
         if p != at and lines[p + 1] >= 0:
             at = p + 1
             words[p] += words[at]
             kept[at] = False
     first = np.flatnonzero(kept)
     last = np.append(first[1:], len(kept)) - 1
-    words, made = [words[p] for p in first.tolist()], last > first
+    words, made, heads = [words[p] for p in first.tolist()], last > first, heads[first]
     starts, ends = lines[first] != lines[first - 1], lines[last] != np.append(lines, -1)[last + 1]
     page_of = np.searchsorted(page_start, first, "right") - 1
     first, last = first - page_start[page_of], last - page_start[page_of]
     ids = np.array([items.vocabulary.get(w, -1) if w else -3 for w in words])
-    bits, lengths = measures(words)
+    known = np.maximum(ids, 0)
+    bits, lengths = items.bits[known], items.lengths[known]
+    odd = np.flatnonzero(ids < 0)
+    bits[odd], lengths[odd] = measures([words[n] for n in odd.tolist()])
     numbers = piece_numbers(ids, size)
     lo, hi = np.searchsorted(items.numbers, numbers, "left"), np.searchsorted(items.numbers, numbers, "right")
     times = hi - lo
@@ -377,24 +403,27 @@ def leaks(items: Items, pages: list[Page]) -> list[tuple[int, int]]:
         edges = Edges(items, pages, step > 0)
         x, y, live = x.copy(), y.copy(), np.arange(len(k))
         bound = items.start[item + 1] - 1 if step > 0 else items.start[item]
+        wrong = np.zeros(len(k), np.int64)
         for _ in range(need):
             live = live[y[live] != bound[live]]
             was = x[live]
             x[live] += step
             y[live] += step
-            there, word = ids[x[live]], items.ids[y[live]]
-            equal = there == word
-            other = x[live]
-            open_ = ~equal & (there == -1) & (made[other] | items.alike(word, bits[other], lengths[other]))
-            if step < 0:  # the rest of a word that begins at the end of an earlier line
-                open_ |= ~equal & starts[other] & (np.bitwise_count(bits[other] & ~items.bits[word]) <= 2 * items.most[word])
-            edge = np.flatnonzero(~equal & ~open_ & a_line[was])
+            other, word = x[live], items.ids[y[live]]
+            equal, odd = ids[other] == word, ids[other] == -1
+            alike = ~equal & odd & items.alike(word, bits[other], lengths[other])
+            wrong[live[alike]] += 1  # one edit at least
+            open_ = odd & made[other] & items.may_hold(word, heads[other])  # a word may be split by lines that don't belong to it
+            if step < 0:
+                rest = np.flatnonzero(~equal & starts[other] & items.may_hold(word, bits[other]))
+                open_[rest] |= halves.may_be(page_of[k[live[rest]]], word[rest], bits[other[rest]], lengths[other[rest]])
+            edge = np.flatnonzero(~open_ & a_line[was])
             at_edge = y[live[edge]]
             following = np.where(at_edge == bound[live[edge]], -1, items.ids[at_edge + step])
             open_[edge] = edges.may_be(page_of[k[live[edge]]], word[edge], following)
             reach[live[open_]] += np.abs(bound - y)[live[open_]] + 1
-            reach[live[equal]] += 1
-            live = live[equal]
+            live = live[(equal | alike) & ~open_ & (wrong[live] <= 2 * items.errors)]
+            reach[live] += 1
     go = np.flatnonzero(reach >= need)
     found: set[tuple[int, int]] = set()
     ready = -1
