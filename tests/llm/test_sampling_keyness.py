@@ -36,7 +36,7 @@ def rows(n):
 
 def sample(spark, data, k=20, seed=1):
     df = spark.createDataFrame(data, SCHEMA) if isinstance(data, list) else data
-    return uniform_sample(df, KEYS, k, id="transition_id", seed=seed, buckets=16)
+    return uniform_sample(df, KEYS, k, id="transition_id", seed=seed, bucket_rows=8)
 
 
 def test_copies_order_and_pieces_change_nothing(spark):
@@ -121,3 +121,16 @@ def test_standout_term_that_is_light_for_its_frequency(spark):
     scored = keyness(spark.createDataFrame(data, POSTINGS))
     assert scored.filter("doc_id = 0 and term_id = 1").first().z < 0
     assert standout_terms(scored).filter("doc_id = 0").first().term_id == 1
+
+
+def test_z_proposes_and_the_rest_is_exact(spark):
+    rnd = random.Random(5)
+    data = [(1, d, f"k{d}", t, round(rnd.uniform(0.1, 3), 2)) for d in range(80) for t in range(40) if rnd.random() < 0.2 + 0.7 * (t == 0)]
+    data += [(1, d, f"k{d}", 100 + d, 30.0) for d in range(0, 80, 4)]
+    scored = keyness(spark.createDataFrame(data, POSTINGS)).cache()
+    got = {(r.doc_id, r.term_id): r.z_rank for r in standout_terms(scored).collect()}
+    assert len(got) >= 20 and set(got.values()) == {1}
+    turned = scored.withColumn("z", -scored["z"])  # another z makes other proposals, and finds the same cases by the rest
+    other = {(r.doc_id, r.term_id): r.z_rank for r in standout_terms(turned).collect()}
+    assert set(other) == set(got) and set(other.values()) == {None}
+    assert {(r.doc_id, r.term_id) for r in standout_terms(scored, proposals=1).collect()} == set(got)
