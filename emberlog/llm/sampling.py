@@ -57,32 +57,27 @@ def feistel(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def uniform_sample(records: DataFrame, keys: list[str], k: int, *, id: str | None = None, seed: int = 0, buckets: int = 1024) -> DataFrame:
+def uniform_sample(records: DataFrame, keys: list[str], k: int, *, id: str | None = None, seed: int = 0, bucket_rows: int = 50_000) -> DataFrame:
     """k distinct records of ``records``, every one with the same chance: position, keys (and the least id).
 
-    ``buckets`` numbers the buckets of the dense numbering; with the seed it fixes the sample.
+    The buckets of the dense numbering hold about ``bucket_rows`` records, however many there are; with the seed it fixes the sample.
     """
     picked = records.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keys)], (F.col(id) if id else F.lit(None).cast("bigint")).alias("id"))
     cols = [f"c{i}" for i in range(len(keys))]
-    distinct = picked.groupBy(*cols).agg(F.min("id").alias("id"))  # combined on the map side: copies never meet in one task
-    distinct = distinct.withColumn("h", F.xxhash64(*cols)).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    distinct = cut(distinct)
+    distinct = cut(picked.groupBy(*cols).agg(F.min("id").alias("id")).withColumn("h", F.xxhash64(*cols)))  # combined on the map side: copies never meet in one task
+    total = distinct.count()
+    distinct = distinct.withColumn("bucket", F.pmod("h", F.lit(max(1, -(-total // bucket_rows)))))
     sizes = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.bucket: r.n for r in sizes.collect()}  # at most ``buckets`` rows
-    total, offsets, at = sum(counts.values()), [], 0
-    for b in range(buckets):
-        offsets.append(at)
-        at += counts.get(b, 0)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a bucket
     in_bucket = Window.partitionBy("bucket").orderBy("h", *cols)
-    number = F.element_at(F.lit(offsets), (F.col("bucket") + 1).cast("int")) + F.row_number().over(in_bucket) - 1
+    numbered = distinct.withColumn("place", F.row_number().over(in_bucket)).join(sizes.select("bucket", before.alias("offset")), "bucket")
 
     @F.pandas_udf("bigint")
     def permuted(x: pd.Series) -> pd.Series:
         return pd.Series(feistel(x.to_numpy(), total, seed))
 
     return (
-        distinct.withColumn("number", number.cast("bigint"))
-        .withColumn("position", permuted("number"))
+        numbered.withColumn("position", permuted((F.col("offset") + F.col("place") - 1).cast("bigint")))
         .filter(F.col("position") < k)
         .select("position", *[F.col(f"c{i}").alias(c) for i, c in enumerate(keys)], *([F.col("id").alias(id)] if id else []))
     )
