@@ -1,31 +1,37 @@
 """Visually identical text with different characters: one form for all texts that look the same in print.
 
-Two maps are built from Unicode's own decompositions and one table of letters of other scripts that have a Latin shape:
-``printed`` (compatibility forms, kinds of space, look-alike letters; invisible characters dropped) and ``bare`` (the same,
-accents dropped too). Texts with equal ``bare`` are candidates; those are grouped, in SQL, by their ``printed`` form under the
-accent- and case-sensitive UNICODE collation, under which composed and combining accents are equal. Of each class the
-plainest, then smallest text is the canonical member, and it is joined back to every page of the class.
+Two maps are built from Unicode's own decompositions and the shapes of letters: ``printed`` (compatibility forms, kinds of
+space, look-alike letters; invisible characters dropped) and ``bare`` (the same, accents dropped too). Letters of any script
+are of one shape if Unicode's confusables (of the ICU library that Spark brings) give them one skeleton, but for letters that
+differ in case, digits, punctuation and ASCII letters; a short table of shapes goes before. Texts with equal ``bare`` are
+candidates; those are grouped, in SQL, by their ``printed`` form under the accent- and case-sensitive UNICODE collation, under
+which composed and combining accents are equal. Of each class the plainest, then smallest text is the canonical member, and it
+is joined back to every page of the class.
 
 Defined results
     * case, accents, punctuation, digits, ordinary ASCII among each other, line breaks, and one or two spaces stay different.
     * null texts have no form and are in no class; the empty text is equal to itself only.
     * equal texts are one member of a class; a class of one text keeps that text as its form.
-    * rows without doc_id are left out; a repeated row counts once. Empty input: empty. Extra columns are ignored.
+    * rows without doc_id are left out; a repeated row counts once in classes and pairs. Empty input: empty. Extra columns are ignored.
 
-Scale: texts are mapped where they are read; only 64-bit and md5 fingerprints are shuffled. Equal texts are one member before
-anything is grouped, so copies never meet in a group. Texts themselves move only for the candidates, one copy each.
+Scale: texts are mapped where they are read, in Arrow batches; only 64-bit and md5 fingerprints are shuffled. Equal texts are one member
+before anything is grouped, so copies never meet in a group. Texts are read a second time, and only those of the candidates, one copy of
+each, leave their task: the others are told by a bitmap of bounded size.
 """
 
 from __future__ import annotations
 
-import json
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b, md5
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.operators.skew import Bitmap
 from emberlog.plans.session import cut
 
 # Letters of other scripts that are printed like the letter in front.
@@ -92,49 +98,105 @@ def same_shape() -> dict[str, str]:
     return {other: line[0] for line in SAME_SHAPE.strip().split("\n") for other in line.split()[1:]}
 
 
-@cache
-def char_map(accents: bool) -> dict[str, str]:
-    """Character -> its printed form (composed), with or without accents; only those that change. '' drops the character."""
-    shape, out = same_shape(), {chr(c): "" for c in INVISIBLE}
-    for c in chain(range(0x80, 0x20000), range(0x2F800, 0x2FA20)):  # beyond lie ideographs without decomposition
+def shapes(spark: SparkSession) -> dict[str, str]:
+    """Letter -> the letter that stands for its shape: the table above, then Unicode's confusables, read once from Spark's own library."""
+    return _shapes(spark.sparkContext.applicationId, spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton)
+
+
+_LETTERS = 0x20000  # beyond lie ideographs
+_SHAPES: dict[str, dict[str, str]] = {}
+
+
+def _shapes(application: str, skeleton) -> dict[str, str]:
+    if application not in _SHAPES:
+        letters = [chr(c) for c in range(0x41, _LETTERS) if unicodedata.category(chr(c))[0] == "L" and unicodedata.normalize("NFKD", chr(c)) == chr(c)]
+        _SHAPES.clear()
+        _SHAPES[application] = letter_classes(letters, skeleton("\n".join(letters)).split("\n"))
+    return _SHAPES[application]
+
+
+def letter_classes(letters: list[str], skeletons: list[str]) -> dict[str, str]:
+    """Letter -> head of its class, of letters with equal skeletons of one letter (accents may follow) or the skeleton of an ASCII letter.
+
+    No two ASCII letters and no two cases of a letter get into one class: where a skeleton has both, capitals are a class of their own.
+    """
+    fixed, groups = same_shape(), {}
+    for c, s in zip(letters, skeletons):
+        groups.setdefault(s, []).append(c)
+    out = dict(fixed)
+    for s, members in groups.items():
+        if len(members) < 2 or not (sum(not unicodedata.combining(x) for x in s) == 1 or any(c.isascii() for c in members)):
+            continue
+        ascii_, known = [c for c in members if c.isascii()], [fixed.get(c, c) for c in members if c in fixed or c in fixed.values()]
+        if len(ascii_) > 1:  # I and l
+            parts = [[c for c in members if c.isupper()], [c for c in members if not c.isupper()]]
+            heads = [next(c for c in ascii_ if c in part) for part in parts]
+        else:
+            head = [*ascii_, *known, members[0]][0]
+            both = {x for c in members if c.lower() != c and c.lower() in members for x in (c, c.lower())}
+            other = [c for c in both if c.isupper() != head.isupper()]
+            parts = [[c for c in members if c not in other], sorted(other)]
+            heads = [head, *parts[1][:1]]
+        for head, part in zip(heads, parts):
+            for c in part:
+                if c != head and not c.isascii() and c not in fixed and c not in fixed.values():
+                    out[c] = head
+    return out
+
+
+def char_map(shape: dict[str, str], accents: bool) -> dict[int, str]:
+    """Code point -> its printed form (composed), with or without accents; only those that change. '' drops the character."""
+    out = dict.fromkeys(INVISIBLE, "")
+    for c in chain(range(0x80, _LETTERS), range(0x2F800, 0x2FA20)):
         ch = chr(c)
-        if ch in out or 0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4 or unicodedata.category(ch) in ("Cn", "Co"):
+        if c in out or 0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4 or unicodedata.category(ch) in ("Cn", "Co"):
             continue
         if unicodedata.category(ch) == "Zs":
-            out[ch] = " "
+            out[c] = " "
             continue
-        parts = unicodedata.normalize("NFKD", ch)
-        parts = "".join(shape.get(p, p) for p in parts)
+        parts = "".join(shape.get(p, p) for p in unicodedata.normalize("NFKD", ch))
         if not accents:
             parts = "".join(p for p in parts if not unicodedata.combining(p))
         new = unicodedata.normalize("NFC", parts)
         if new != ch and not ("\n" in new or "\r" in new):
-            out[ch] = new
+            out[c] = new
     return out
 
 
-def char_class(codes: list[int]) -> str:
-    """A regular expression for one of the characters, as ranges."""
-    runs: list[list[int]] = []
-    for c in sorted(codes):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """doc_id, bare (64 bits of the form without accents), text_id (md5 of the text) of every row."""
+    held = rows.sparkSession.sparkContext.broadcast(char_map(shapes(rows.sparkSession), accents=False))  # one entry per character
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for b in batches:
+            bare, ids = [], []
+            for t in b.column(1).to_pylist():
+                whole = t.encode()
+                plain = whole if t.isascii() else t.translate(table).encode()
+                bare.append(int.from_bytes(blake2b(plain, digest_size=8).digest(), "big", signed=True))
+                ids.append(md5(whole, usedforsecurity=False).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bare, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "bare", "text_id"])
+
+    return rows.mapInArrow(look, "doc_id bigint, bare bigint, text_id binary")
+
+
+def printed_forms(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_id, bare, text) with ``printed``: the text with every character in its printed form."""
+    held = rows.sparkSession.sparkContext.broadcast(char_map(shapes(rows.sparkSession), accents=True))
+    columns = ["doc_id", "text_id", "bare", "text"]
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for b in batches:
+            new = [t if t.isascii() else t.translate(table) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=[*columns, "printed"])
+
+    return rows.select(*columns).mapInArrow(form, "doc_id bigint, text_id binary, bare bigint, text string, printed string")
 
 
-def mapped(text: Column, accents: bool) -> Column:
-    """``text`` with every character in its printed form, by built-in string functions; texts in ASCII pass untouched."""
-    table = char_map(accents)
-    single = {a: b for a, b in table.items() if len(b) == 1}
-    gone = [a for a, b in table.items() if not b]
-    many = [(a, b) for a, b in table.items() if len(b) > 1]
-    pairs = F.from_json(F.lit(json.dumps(many)), "array<array<string>>")
-    widened = F.aggregate(pairs, text, lambda t, p: F.replace(t, p[0], p[1]))
-    step = F.when(text.rlike(char_class([ord(a) for a, _ in many])), widened).otherwise(text)
-    plain = F.translate(step, "".join(single) + "".join(gone), "".join(single.values()))
-    return F.when(text.rlike("[^\\x00-\\x7f]"), plain).otherwise(text)
+def readable(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null and text <> ''")
 
 
 def print_classes(docs: DataFrame) -> DataFrame:
@@ -143,13 +205,12 @@ def print_classes(docs: DataFrame) -> DataFrame:
     ``form`` is the canonical member's text, ``form_id`` the least doc_id that has exactly this text.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null and text <> ''")
-    ids = cut(rows.select("doc_id", F.xxhash64(mapped(F.col("text"), accents=False)).alias("bare"), F.md5("text").alias("text_id")).distinct())
-    several = ids.groupBy("bare").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("bare")
-    candidates = ids.join(several, "bare", "left_semi")
-    one_each = candidates.groupBy("bare", "text_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(one_each, "doc_id").filter(F.md5("text") == F.col("text_id")).dropDuplicates(["doc_id", "text_id"])
-    texts = cut(texts.withColumn("printed", mapped(F.col("text"), accents=True)))
+    ids = cut(fingerprints(readable(docs)).distinct())
+    several = cut(ids.groupBy("bare").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a <> b").select("bare"))
+    candidates = cut(Bitmap(several, "bare").kept(ids, "bare").join(several, "bare", "left_semi"))
+    one_each = cut(candidates.groupBy("bare", "text_id").agg(F.min("doc_id").alias("doc_id")))
+    texts = Bitmap(one_each, "doc_id").kept(readable(docs), "doc_id").join(one_each, "doc_id")
+    texts = cut(printed_forms(texts.filter(F.unhex(F.md5("text")) == F.col("text_id")).dropDuplicates(["doc_id", "text_id"])))
     classes = spark.sql(
         """SELECT bare, printed COLLATE UNICODE AS look, min(struct(printed <> text AS changed, text, doc_id)) AS canon
            FROM {texts} GROUP BY bare, printed COLLATE UNICODE HAVING count(*) > 1""",
@@ -165,14 +226,34 @@ def print_classes(docs: DataFrame) -> DataFrame:
 
 
 def consistent_forms(docs: DataFrame) -> DataFrame:
-    """Every page with the form of its text: doc_id, form_id, form (null text: null form)."""
-    classes = print_classes(docs).select("doc_id", F.col("form_id").alias("__fid"), F.col("form").alias("__form"))
-    out = docs.select("doc_id", "text").filter("doc_id is not null").join(classes, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("__fid", "doc_id").alias("form_id"), F.coalesce("__form", "text").alias("form")).distinct()
+    """Every page with the form of its text: doc_id, form_id, form (null text: null form); a repeated row gives a repeated form.
+
+    Only pages that may be in a class are joined with the classes' forms; the others keep their text where they are.
+    """
+    classes = cut(print_classes(docs).select("doc_id", F.col("text_id"), F.col("form_id").alias("__fid"), F.col("form").alias("__form")))
+    rows = Bitmap(classes, "doc_id").marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null"), "doc_id", "maybe")
+    same = F.unhex(F.md5("text")) == F.col("text_id")
+    joined = rows.filter("maybe").join(classes.withColumnRenamed("doc_id", "of").alias("c"), (F.col("of") == F.col("doc_id")) & same, "left")
+    formed = joined.select("doc_id", F.coalesce("__fid", "doc_id").alias("form_id"), F.coalesce("__form", "text").alias("form"))
+    return formed.unionByName(rows.filter("not maybe").select("doc_id", F.col("doc_id").alias("form_id"), F.col("text").alias("form")))
+
+
+def look_equal_pairs(docs: DataFrame, *, chunk: int = 4096) -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: pages that look the same in print and differ in code points.
+
+    Pairs are formed between the different texts of a class, then spread over the pages that have them; the pages of one text are
+    dealt out in chunks of about ``chunk``, so that a text with very many copies is no single task.
+    """
+    members = cut(print_classes(docs).select("doc_id", "text_id", "form_id"))
+    sizes = members.groupBy("form_id", "text_id").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    dealt = members.join(sizes, ["form_id", "text_id"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
 
+    def side(df: DataFrame, n: str) -> DataFrame:
+        return df.select("form_id", *[F.col(c).alias(c + n) for c in df.columns if c != "form_id"])
 
-def look_equal_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: pages that look the same in print and differ in code points."""
-    c = print_classes(docs).select("doc_id", "text_id", "form_id")
-    a, b = c.select(F.col("doc_id").alias("doc_id_a"), F.col("text_id").alias("ta"), "form_id"), c.select(F.col("doc_id").alias("doc_id_b"), F.col("text_id").alias("tb"), "form_id")
-    return a.join(b, "form_id").filter("doc_id_a < doc_id_b and ta <> tb").select("doc_id_a", "doc_id_b")
+    texts = side(sizes, "_a").join(side(sizes, "_b"), "form_id").filter("text_id_a < text_id_b")
+    for n in ("_a", "_b"):
+        texts = texts.withColumn("chunk" + n, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks" + n) - 1)))
+    for n in ("_a", "_b"):
+        texts = texts.join(side(dealt.select("form_id", "text_id", "chunk", "doc_id"), n), ["form_id", "text_id" + n, "chunk" + n])
+    return texts.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).distinct()

@@ -44,6 +44,27 @@ def test_ligatures_roman_numerals_and_other_scripts(spark):
     assert {tuple(r) for r in A.look_equal_pairs(d).collect()} == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
 
 
+def test_letters_of_any_script(spark):
+    pairs = [("oops", "\u2c9fops"), ("pin", "\u2ca3in"), ("cat", "\u1d04at"), ("old", "\u1d0fld"), ("in", "\u0131n"), ("Do", "\u15eao"), ("On", "\U00010404n"), ("me\u10fft", "meot"), ("Th\u0456s", "This")]
+    d = docs(spark, [x for p in pairs for x in p])
+    assert {tuple(r) for r in A.look_equal_pairs(d).collect()} == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
+    shape = A.shapes(spark)
+    ascii_ = [chr(c) for c in range(128)]
+    assert not set(ascii_) & set(shape)  # ordinary ASCII stays apart
+    for a, b in shape.items():
+        assert b not in shape, (a, b)  # heads are heads
+        assert unicodedata.category(a)[0] == unicodedata.category(b)[0] == "L"
+        for x in (a.lower(), a.upper()):
+            assert x == a or len(x) > 1 or shape.get(x, x) != b, (a, x, b)  # case stays apart
+
+
+def test_many_copies_in_chunks(spark):
+    d = docs(spark, [SAME[0]] * 30 + [SAME[1]] * 20 + [SAME[2]])
+    want = {(i, j) for i in range(51) for j in range(i + 1, 51) if (i < 30) != (j < 30) or (i < 50) != (j < 50)}
+    assert {tuple(r) for r in A.look_equal_pairs(d, chunk=4).collect()} == want
+    assert {r.form for r in A.consistent_forms(d.union(docs(spark, [None]))).collect()} == {SAME[0], None}
+
+
 def test_forms_edge_tables(spark):
     assert A.look_equal_pairs(docs(spark, ["x"]).limit(0)).count() == 0
     assert A.consistent_forms(docs(spark, ["x"]).limit(0)).count() == 0
