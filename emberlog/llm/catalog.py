@@ -10,7 +10,7 @@ from emberlog.llm.keyness import keyness, standout_terms
 from emberlog.llm.leaks import leaked_passages
 from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs
 from emberlog.llm.neighbours import nearest
-from emberlog.llm.packing import pack
+from emberlog.llm.packing import mixture, mixture_report, pack
 from emberlog.llm.sampling import uniform_sample
 from emberlog.sources.tables import table
 
@@ -60,6 +60,17 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every window of 256 containers holds of each source."""
+    return mixture(pack(table(spark, sf_dir, "documents")))
+
+
+def p7_mixture_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: is every full window within 0.1 of the corpus' shares, and are there at most 1.002 times as many containers as the tokens need, and one?"""
+    report = mixture_report(pack(table(spark, sf_dir, "documents")))
+    return report.select((F.col("worst") <= 0.1).alias("mixture_held"), (F.col("containers") <= F.col("ideal") * 1.002 + 1).alias("containers_few"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that print at least twelve consecutive words of an evaluation item, with the item."""
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -103,6 +114,7 @@ near AS (SELECT a.key AS a, b.key AS b, round(1 - array_inner_product(a.x, b.x),
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_mixture_held": "SELECT true AS mixture_held, true AS containers_few",  # what must hold
         "p5_found": _PAIRS
         + """, reach AS (SELECT key AS a, key AS b FROM u UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b WHERE near.d <= 0.30),
 c AS (SELECT a AS key, min(b) AS cluster_key FROM reach GROUP BY a)

@@ -262,7 +262,7 @@ def test_best_fit_holds_everything_once(sizes):
 
 
 def packed(spark, texts, **options):
-    options = {"capacity": 32, "part_rows": 50, "window": 8} | options
+    options = {"capacity": 32, "window": 8, "run": 4, "bucket_rows": 50} | options
     df = spark.createDataFrame([(i, t, "en", ["x", "y", None][i % 3], None) for i, t in enumerate(texts)], DOCS)
     return P.pack(df, **options).collect()
 
@@ -288,14 +288,49 @@ def test_containers(spark):
     assert len(fill) <= 1.08 * sum(sizes.values()) / 32 + 2
 
 
-def test_targets_fill_windows(spark):
-    items = [("x" if i % 4 else "y", 5, i, 0) for i in range(400)]
-    first = next(iter(P.windows(items, {"x": 0.5, "y": 0.5}, {}, 100, 4, 0.9)))
-    assert first[0]
-    drawn = [it for closed, c in list(P.windows(items, {"x": 0.5, "y": 0.5}, {}, 100, 4, 0.9))[:4] for it in c]
-    assert 0.4 <= sum(1 for it in drawn if it[0] == "y") / len(drawn) <= 0.6
-    everything = [it for _, c in P.windows(items, {"x": 0.5, "y": 0.5}, {"x": -1e9, "y": 50.0}, 100, 4, 0.9) for it in c]
-    assert sorted(it[2] for it in everything) == list(range(400))
+def by_hand(items, shares, window_tokens):
+    """Deficit round-robin as a loop: (source, tokens) in queue order -> window of each item."""
+    queues = {s: [n for n, it in enumerate(items) if it[0] == s] for s in shares}
+    left, credit, out, filled = {s: sum(items[n][1] for n in q) for s, q in queues.items()}, dict.fromkeys(shares, 0.0), {}, 0.0
+    steps = 20_000  # credit is given in small steps, so that a source that runs dry leaves its share at once
+    while any(queues.values()):
+        alive = [s for s in shares if left[s] > 1e-9]
+        total = sum(shares[s] for s in alive)
+        for s in alive:
+            give = min(window_tokens / steps * shares[s] / total, left[s])
+            credit[s] += give
+            left[s] -= give
+        filled += window_tokens / steps
+        for s in shares:
+            while queues[s] and items[queues[s][0]][1] <= credit[s] + 1e-6:
+                n = queues[s].pop(0)
+                credit[s] -= items[n][1]
+                out[n] = max(0, -(-int(round(filled / window_tokens * steps)) // steps) - 1)
+    return out
+
+
+@pytest.mark.parametrize("targets", [None, {"x": 0.5, "y": 0.5}, {"x": 0.7, "y": 0.2}, {"y": 1.0}])
+def test_windows_are_those_of_deficit_round_robin(spark, targets):
+    rnd = random.Random(2)
+    rows = [(i, 0, rnd.choice(["x", "x", "x", "y", None]), rnd.randint(1, 32), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, piece int, source string, n_tokens bigint, h bigint")
+    got = {r.doc_id: r.window for r in P.drawn(df, capacity=32, window=8, targets=targets, bucket_rows=10_000).collect()}
+    tokens = {s: sum(r[3] for r in rows if r[2] == s) for s in ("x", "y", None)}
+    want = by_hand([(r[2], r[3]) for r in rows], P.shares_of(tokens, targets), 256.0)
+    assert len(got) == 400 and sum(got[i] != want[i] for i in range(400)) <= 4  # the loop's steps are coarse
+    other = {r.doc_id: r.window for r in P.drawn(df.withColumn("h", df["h"] * 7), capacity=32, window=8, targets=targets, bucket_rows=10).collect()}
+    assert sorted(other) == sorted(got) and max(other.values()) == max(got.values())
+
+
+def test_every_window_holds_the_mixture(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(["word"] * rnd.randint(1, 30)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t, "en", "xxxxxyyz"[i % 8], None) for i, t in enumerate(texts)], DOCS)
+    packed = P.pack(df, capacity=64, window=64, run=4, bucket_rows=200)
+    r = P.mixture_report(packed, capacity=64).first()
+    assert r.windows >= 8 and r.worst <= 0.1 and r.containers <= 1.01 * r.ideal
+    shares = {(x.window, x.source): x.share for x in P.mixture(P.pack(df, capacity=64, window=64, run=4, targets={"x": 0.4, "y": 0.4, "z": 0.2})).collect()}
+    assert all(abs(shares[w, s] - t) < 0.05 for w in range(5) for s, t in (("x", 0.4), ("y", 0.4), ("z", 0.2)))  # until y runs dry
 
 
 def test_packing_edge_tables(spark):
