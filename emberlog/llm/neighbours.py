@@ -206,7 +206,7 @@ def nearest(rows: DataFrame, *, k: int = 3, sample: int = 16_000, rerank: int =
     vectors = hash_sample(rows, total, sample, dims)
     model = fit_cells(vectors, total, **index)
     book = fit_codebook(vectors, model)
-    sound = sound_vectors(rows, dims)
+    sound = cut(sound_vectors(rows, dims))  # read twice
     # equal vectors: the smallest key stands for all; up to k + 1 of its keys can be anyone's neighbours
     ids = cut(sound.select("key", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")))
     copies = ids.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1")
