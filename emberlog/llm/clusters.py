@@ -124,14 +124,14 @@ def group_cell(exact: np.ndarray, cos: float) -> tuple[np.ndarray, np.ndarray]:
     return group[at], typical
 
 
-def join_links(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def join_links(links: DataFrame) -> DataFrame:
     """(node, root): the connected components of undirected links (a, b) of strings, root the smallest node.
 
     Alternating large-star and small-star steps; each round's links are a checkpoint, and the number of rounds grows with the
     logarithm of the longest chain. Nodes without a link don't appear.
     """
     e = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    for _ in range(max_rounds):
+    while True:  # ends: every round that changes links brings them nearer to their smallest node
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # larger neighbours to the minimum
@@ -141,8 +141,7 @@ def join_links(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         same = new.join(e, ["a", "b"], "left_anti").isEmpty() and e.join(new, ["a", "b"], "left_anti").isEmpty()
         e = new
         if same:
-            break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def similarity_clusters(rows: DataFrame, *, distance: float = 0.30, sample: int = 16_000, dims: int = DIMS, **index) -> DataFrame:

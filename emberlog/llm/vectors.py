@@ -2,7 +2,7 @@
 
 The cells are leaders and rest blocks. Leaders are the middles of the dense regions of the sample: in hash order, a vector that
 at least ``least`` others of the sample are near to. A leader that would hold more than ``max_cell`` rows is split by k-means of
-its sample. A row that a leader is as near as ``hold`` to is at home with the nearest one. It visits every leader that is as near
+its sample, and where the sample is too small for that into cells of one direction. A row that a leader is as near as ``hold`` to is at home with the nearest one. It visits every leader that is as near
 as ``near``, so all parts of a split region, however many. The other rows are loose: each is at home in one of the rest blocks
 (drawn by hash) and visits them all, so every two loose rows meet. A loose row also visits the ``probes`` nearest leaders and
 all as near as ``reach``, and the rows at home there find it too. A cell that expects more than ``2 * max_cell`` visitors is
@@ -63,13 +63,24 @@ class Cells:
         self.leaders, self.hold, self.near, self.reach, self.probes = len(leaders), hold, near, reach, probes
         self.centres = np.concatenate([leaders, np.zeros((blocks, leaders.shape[1]))]).astype(np.float32)
         self.pieces = np.ones(len(self.centres), np.int64)
+        self.first, self.copies = np.arange(len(leaders)), np.ones(len(leaders), np.int64)
+
+    def repeat(self, copies: np.ndarray) -> None:
+        """Every leader as several cells of one direction, between which its rows are drawn by hash; all are visited."""
+        self.first, self.copies = np.cumsum(copies) - copies, copies
+        self.centres = np.concatenate([np.repeat(self.centres[: self.leaders], copies, axis=0), self.centres[self.leaders :]])
+        self.leaders = int(copies.sum())
+        self.pieces = np.ones(len(self.centres), np.int64)
 
     def visits(self, unit: np.ndarray, drawn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, at home?) of every cell that a row belongs to or visits; drawn: a number of each row that draws its rest block."""
         s = unit @ self.centres[: self.leaders].T
         loose = ~(s >= self.hold).any(axis=1)
-        home = s.argmax(axis=1) if self.leaders else np.zeros(len(s), np.int64)
         drawn = np.arange(len(s)) if drawn is None else drawn
+        home = np.zeros(len(s), np.int64)
+        if self.leaders:
+            best = s[:, self.first].argmax(axis=1)
+            home = self.first[best] + drawn % self.copies[best]
         home[loose] = self.leaders + drawn[loose] % (len(self.centres) - self.leaders)
         out = np.zeros((len(s), len(self.centres)), bool)
         out[:, : self.leaders] = s >= np.where(loose, self.reach, self.near)[:, None]
@@ -125,6 +136,9 @@ def fit_cells(
     blocks = max(1, -(-loose // max_cell), min(spread, loose // 1000))
     model = Cells(lead_m, blocks, hold, near, reach, probes)
     _, cells, home = model.visits(sample)
+    expected = np.bincount(cells[home], minlength=len(model.centres))[: model.leaders] * scale
+    model.repeat(np.maximum(1, np.ceil(expected / (2 * max_cell))).astype(np.int64))  # where the sample has too few vectors to split a region by
+    _, cells, home = model.visits(sample)
     visitors = np.bincount(cells[~home], minlength=len(model.centres)) * scale
     model.pieces = np.maximum(1, np.ceil(visitors / (2 * max_cell))).astype(np.int64)
     return model
@@ -133,7 +147,7 @@ def fit_cells(
 def hash_sample(rows: DataFrame, total: int, most: int, dims: int = DIMS) -> np.ndarray:
     """About ``most`` unit vectors (never more than 1.2 times that) of the valid rows, drawn by the hash of their key: the same in every run."""
     share = F.pmod(F.xxhash64(F.lit(77), F.col("key")), F.lit(1_000_000)) < F.lit(int(min(1_000_000, 1_000_000 * most / max(1, total) + 1)))
-    got = valid_rows(rows.filter(share), dims).select("key", "vector").limit(most * 6 // 5).toArrow()
+    got = valid_rows(rows.filter(share), dims).select("key", "vector").orderBy(F.xxhash64(F.lit(77), F.col("key")), "key", "vector").limit(most * 6 // 5).toArrow()
     if not got.num_rows:
         return np.zeros((0, dims), np.float32)
     unit = directions(matrix(got.column("vector"), dims)).astype(np.float32)

@@ -180,3 +180,23 @@ def test_loose_rows_find_their_nearest(spark):
     x = blobs(rng, [200] * 10, [0.4] * 10, 1500)
     wanted, found = neighbour_recall(spark, x, limit=2, sample=500)
     assert found[2000:].sum() / wanted[2000:].sum() >= 0.9
+
+
+def test_regions_larger_than_the_sample_can_split(spark):
+    rng = np.random.default_rng(11)
+    x = blobs(rng, [2000], [0.5], 50)
+    model = V.fit_cells(V.directions(x[::100]).astype(np.float32), len(x), max_cell=20)
+    assert model.copies.max() > 1
+    visits = V.visiting(table(spark, x), model)
+    sizes = [r["count"] for r in visits.filter("home and piece = 0").groupBy("cell").count().collect()]
+    assert sum(sizes) == len(x) and max(sizes) < 200
+    wanted, found = neighbour_recall(spark, x, max_cell=20, sample=20)
+    assert found.sum() >= 0.97 * wanted.sum()
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    x = blobs(np.random.default_rng(12), [300], [0.5], 200)
+    df = table(spark, x)
+    a, b = V.hash_sample(df, 500, 100), V.hash_sample(df.repartition(7), 500, 100)
+    assert a.shape == b.shape and len(a) <= 120 and (a == b).all()
+    assert (V.hash_sample(df, 1, 10) == V.hash_sample(df.repartition(5), 1, 10)).all()  # more rows than expected
