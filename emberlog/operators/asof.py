@@ -4,8 +4,10 @@ A version is visible to an event from ``greatest(ts, written_at)`` on, so one so
 co-grouped by entity, the versions sorted by visibility, and a vectorised binary search finds the visible prefix, whose
 running maximum of (ts, written_at, id) is the answer. If that one is older than the time to live, every other is too.
 
-Skew: an entity with more than ``hot_rows`` versions is cut into stretches of the time axis at quantiles of
-visibility; the best version of each earlier stretch is carried into the later ones. So no group grows with one entity.
+Skew: an entity with more than ``hot_rows`` rows (versions, and events times features) is cut into stretches of the time axis at
+quantiles of its rows' times; the best version of all earlier stretches is carried into each. A stretch has about ``hot_rows`` rows, from
+``hot_rows * STRETCHES`` rows on a part of ``STRETCHES`` of all rows, so what is broadcast about stretches is bounded. Stretches and entities are
+dealt to groups of about ``group_rows`` rows, counted before, and so bounded however many rows there are.
 
 Defined results
     * versions with null ts, value, written_at, id, entity, group or feature, or whose group does not define the feature: not used.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.times import epoch_micros
-from emberlog.plans.session import shuffle_tasks
+from emberlog.plans.session import cut, shuffle_tasks
 
 NO_LIMIT = 2**62
 OUTER_BLANKS = r"^[\s\u0085\u00a0\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+|[\s\u0085\u00a0\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+$"
@@ -60,51 +62,59 @@ def latest_visible(events: pd.DataFrame, versions: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame({"event_id": events["event_id"].to_numpy()[ok], "feature": events["feature"].to_numpy()[ok], "value_id": ids[hit[ok]]})
 
 
-def split_hot(v: DataFrame, e: DataFrame, hot: DataFrame, pieces: int) -> tuple[DataFrame, DataFrame]:
-    """Versions and events with ``piece``: of hot entities the stretch of the time axis, of others 0.
+STRETCHES = 65_536
 
-    The best version of every feature and stretch is added, as carried, to all later stretches.
+
+def split_hot(v: DataFrame, e: DataFrame, hot: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Versions and events with ``piece``: of hot entities (feature_group, entity, pieces) the stretch of the time axis, of others 0.
+
+    most: the greatest number of pieces. The best version of every feature in the stretches before is added to each stretch, as carried.
     """
     by = ["feature_group", "entity"]
-    cuts = v.join(hot.select(*by), by, "left_semi").groupBy(*by).agg(F.percentile_approx("seen", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts"))
+    times = v.select(*by, F.col("seen").alias("t")).unionByName(e.select(*by, F.col("at").alias("t"))).join(F.broadcast(hot), by)
+    step = F.lit(most) / F.col("pieces")  # an entity's stretches end at some of the quantiles of the largest
+    quantiles = times.groupBy(*by, "pieces").agg(F.percentile_approx("t", [i / most for i in range(1, most)] or [0.5], 10 * most).alias("q"))
+    cuts = cut(quantiles.select(*by, "pieces", F.transform(F.filter(F.sequence(F.lit(1), F.col("pieces") - 1), lambda i: F.col("pieces") > 1), lambda i: F.element_at("q", F.floor(i * step).cast("int"))).alias("cuts")))
 
     def placed(df: DataFrame, at: str) -> DataFrame:
-        return df.join(cuts, by, "left").withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col(at))), F.lit(0)))
+        return df.join(F.broadcast(cuts), by, "left").withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col(at))), F.lit(0)))
 
-    v, e = placed(v, "seen"), placed(e, "at").drop("cuts")
+    v, e = placed(v, "seen"), placed(e, "at").drop("cuts", "pieces")
     best = v.filter("cuts is not null").groupBy(*by, "feature", "piece").agg(F.max(F.struct("ts", "written", "value_id", "seen")).alias("m"))
-    later = F.explode(F.sequence(F.col("piece") + 1, F.lit(pieces - 1)))
-    carried = best.filter(F.col("piece") < pieces - 1).select(*by, "feature", "m.ts", "m.written", "m.value_id", "m.seen", later.alias("piece"))
-    return v.drop("cuts").unionByName(carried), e
+    every = best.select(*by, "feature").distinct().join(F.broadcast(cuts.select(*by, "pieces")), by).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    before = F.max("m").over(Window.partitionBy(*by, "feature").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    carried = every.join(best, [*by, "feature", "piece"], "left").withColumn("m", before).filter("m is not null")
+    carried = carried.select(*by, "feature", "m.ts", "m.written", "m.value_id", "m.seen", "piece")
+    return v.drop("cuts", "pieces").unionByName(carried), e
 
 
-def asof_features(events: DataFrame, versions: DataFrame, groups: DataFrame, *, hot_rows: int = 200_000, max_pieces: int = 512) -> DataFrame:
+def asof_features(events: DataFrame, versions: DataFrame, groups: DataFrame, *, hot_rows: int = 50_000, group_rows: int = 400_000) -> DataFrame:
     """(event_id, feature, value_id) of every event and feature of its group that has a value known at the event's time."""
     spark = events.sparkSession
     defined = groups.select(F.col("name").alias("feature_group"), F.col("ttl_hours"), F.explode("features").alias("f")).select(
         "feature_group", F.col("f.name").alias("feature"), F.coalesce(F.col("ttl_hours").cast("bigint") * 3_600_000_000, F.lit(NO_LIMIT)).alias("ttl")
     ).filter("feature is not null").distinct()
-    v = (
+    v = cut(  # read for the sizes, the stretches and the search
         versions.filter("ts is not null and value is not null and written_at is not null and value_id is not null")
         .select("feature_group", clean_entity(F.col("entity_id")).alias("entity"), "feature", epoch_micros("ts").alias("ts"), epoch_micros("written_at").alias("written"), F.col("value_id").cast("bigint").alias("value_id"))
         .filter("entity is not null")
         .join(defined.select("feature_group", "feature").distinct(), ["feature_group", "feature"], "left_semi")
         .withColumn("seen", F.greatest("ts", "written"))
     )
-    e = (
+    e = cut(
         events.select(F.col("event_id").cast("bigint").alias("event_id"), "feature_group", clean_entity(F.col("entity_id")).alias("entity"), epoch_micros("event_ts").alias("at"))
         .filter("event_id is not null and entity is not null and at is not null")
         .distinct()
+        .join(defined.groupBy("feature_group").agg(F.count(F.lit(1)).alias("features")), "feature_group")
     )
-    sizes = v.groupBy("feature_group", "entity").count()
-    most = sizes.agg(F.max("count")).first()[0] or 0
-    pieces = min(max_pieces, -(-most // hot_rows))
-    if pieces > 1:
-        v, e = split_hot(v, e, sizes.filter(F.col("count") > hot_rows), pieces)
-    else:
-        v, e = v.withColumn("piece", F.lit(0)), e.withColumn("piece", F.lit(0))
+    counted = v.select("feature_group", "entity", F.lit(1).cast("bigint").alias("n")).unionByName(e.select("feature_group", "entity", F.col("features").alias("n")))
+    sizes = cut(counted.groupBy("feature_group", "entity").agg(F.sum("n").alias("n")))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    limit = max(hot_rows, -(-total // STRETCHES))
+    hot = sizes.filter(F.col("n") > limit).select("feature_group", "entity", F.ceil(F.col("n") / limit).cast("int").alias("pieces"))  # at most STRETCHES
+    v, e = split_hot(v, e.drop("features"), hot, max(1, -(-largest // limit)))
     e = e.join(defined, "feature_group")
-    tasks = shuffle_tasks(spark, 2)
+    tasks = max(shuffle_tasks(spark), -(-total // group_rows))
 
     def keyed(df: DataFrame, *cols: str) -> DataFrame:
         return df.select(F.pmod(F.xxhash64("feature_group", "entity", "piece"), F.lit(tasks)).alias("task"), F.concat_ws("\x1f", "feature_group", "entity", "feature", F.col("piece").cast("string")).alias("key"), *cols)

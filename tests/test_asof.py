@@ -66,3 +66,26 @@ def test_asof_join(spark):
     got = {r.id: r.x for r in asof_join(left, right, ["k"], "t", "t", ["x"]).collect()}
     assert got == {1: 2.0, 2: None, 3: None, 4: None, 5: 7.0}
     assert asof_join(left.limit(0), right, ["k"], "t", "t", ["x"]).count() == 0
+
+
+def test_one_version_and_very_many_events(spark):
+    events = [(i, "g", "a" if i % 3 else "b", i % 500) for i in range(2000)]
+    want = sorted((i, "f", 1) for i, _, n, t in events if n == "a" and t >= 7)
+    assert run(spark, [(1, "g", "a", "f", 7, 1.0, 7)], events, (("g", None, ("f",)),), hot_rows=50) == want
+    assert run(spark, [(1, "g", "a", "f", 7, 1.0, 7)], events, (("g", None, ("f",)),), hot_rows=50, group_rows=100) == want
+
+
+def test_stretches_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from emberlog.operators.asof import split_hot
+
+    rnd = random.Random(7)
+    v = spark.createDataFrame([("g", "a", f"f{i % 5}", t, t, i, t) for i in range(600) for t in [rnd.randint(0, 10_000)]], "feature_group string, entity string, feature string, ts bigint, written bigint, value_id bigint, seen bigint")
+    e = spark.createDataFrame([(i, "g", rnd.choice("aab"), rnd.randint(0, 10_000)) for i in range(3000)], "event_id bigint, feature_group string, entity string, at bigint")
+    hot = spark.createDataFrame([("g", "a", 26), ("g", "b", 10)], "feature_group string, entity string, pieces int")
+    v2, e2 = split_hot(v, e, hot, 26)
+    rows = v2.select("entity", "piece").unionByName(e2.select("entity", "piece")).groupBy("entity", "piece").count().collect()
+    assert {r.entity: r.piece for r in sorted(rows, key=lambda r: r.piece)} == {"a": 25, "b": 9}
+    assert max(r["count"] for r in rows) <= 200  # a hundred, the carried versions, and ties at the stretches' ends
+    assert e2.count() == 3000 and v2.filter(F.col("piece") == 0).count() < 60
