@@ -1,4 +1,4 @@
-"""Search over dense vectors: exact, by inverted lists, by hyperplane hashing, hot and cold together, and a planner.
+"""Exact search over dense vectors, hot and cold together, and a planner; the indexes are in ``ann``.
 
 The corpus is never collected or sent around. Queries are; their number is checked against ``MAX_QUERIES`` first, beyond
 which the batch search goes block by block. Every task keeps k rows per query, so what is shuffled is k x queries x tasks.
@@ -7,14 +7,13 @@ which the batch search goes block by block. Every task keeps k rows per query, s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.errors import DimensionMismatch, IndexNotReady
+from emberlog.errors import DimensionMismatch
 from emberlog.functions.distance import distance, distance_matrix, metric_of
 
 MAX_QUERIES = 4096
@@ -86,14 +85,25 @@ def _best(kind: str, qids: np.ndarray, q: np.ndarray, k: int, metric: str, not_s
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "key", vector: str = "vector", qid: str = "qid", not_self: bool = False) -> DataFrame:
-    """qid, key, score, rank: exact top-k of every query, by Arrow batches and matrix products. At most MAX_QUERIES queries."""
-    qids, q = _query_matrix(queries, qid, vector)
+    """qid, key, score, rank: exact top-k of every query, by Arrow batches and matrix products.
+
+    Up to MAX_QUERIES queries go to every task; more are held against the corpus block by block (``search_blocks``).
+    """
     kind = dict(vectors.dtypes)[key]
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        near = search_blocks(vectors, queries, k + not_self, metric, key, vector, qid)
+        return again_ranked(near.filter("qid <> key"), k) if not_self else near
+    qids, q = _query_matrix(queries, qid, vector)
     alias = {"bigint": "int64", "int": "int32", "string": "string"}[kind]
     schema = f"qid {kind}, key {kind}, score double"
     if not len(q):
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
     found = vectors.select(key, F.col(vector)).filter(F.col(vector).isNotNull()).mapInArrow(_best(alias, qids, q, k, metric_of(metric), not_self), schema)
+    return again_ranked(found, k)
+
+
+def again_ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query of (qid, key, score), with ``rank`` from 1 (ties: smaller key)."""
     w = Window.partitionBy("qid").orderBy("score", "key")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -125,8 +135,7 @@ def search_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
         return pa.table({"qid": left.column("qid").take(pa.array(rows)), "key": right.column("key").take(pa.array(top.ravel())), "score": pa.array(d[rows, top.ravel()])})
 
     found = q.groupBy("__q", "__d").cogroup(x.groupBy("__q", "__d")).applyInArrow(best, f"qid {dict(queries.dtypes)[qid]}, key {kind}, score double")
-    w = Window.partitionBy("qid").orderBy("score", "key")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return again_ranked(found, k)
 
 
 def merge_tiers(hot: DataFrame, cold: DataFrame, k: int) -> DataFrame:
@@ -147,137 +156,9 @@ def centroids(vectors: DataFrame, group: str, vector: str = "vector") -> DataFra
     return cells.groupBy(group, (F.col("pos") + 1).alias("pos")).agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n < 1e-10, 1.0, n)
-
-
-@dataclass
-class ListIndex:
-    """Inverted lists: k-means centroids fitted on a bounded sample (``sample`` rows), every row in the list of its nearest centroid.
-
-    Two levels, ``branching`` x ``branching`` lists: a row descends to its nearest branch and there to its nearest leaf, on
-    insert and on search alike. A search opens the ``nprobe`` nearest lists and measures their rows exactly.
-    """
-
-    branching: int = 4
-    sample: int = 10_000
-    rounds: int = 10
-    centres: np.ndarray | None = None
-
-    def fit(self, vectors: DataFrame, key: str = "key", vector: str = "vector") -> ListIndex:
-        rows = vectors.select(key, vector).orderBy(F.xxhash64(key), key).limit(self.sample).toArrow()
-        x = _unit(np.array(rows.column(vector).to_pylist(), np.float64).reshape(rows.num_rows, -1))
-        top = self._lloyd(x, self.branching)
-        at = (x @ top.T).argmax(axis=1)
-        self.centres = np.concatenate([self._lloyd(x[at == c], self.branching) for c in range(len(top)) if (at == c).any()])
-        return self
-
-    def _lloyd(self, x: np.ndarray, k: int) -> np.ndarray:
-        c = x[:: max(1, len(x) // k)][:k].copy()
-        for _ in range(self.rounds):
-            at = (x @ c.T).argmax(axis=1)
-            for i in range(len(c)):
-                if (at == i).any():
-                    c[i] = x[at == i].mean(axis=0)
-            c = _unit(c)
-        return c
-
-    def nearest_lists(self, vectors: DataFrame, n: int, key: str = "key", vector: str = "vector") -> DataFrame:
-        """The rows with ``lists``: the n nearest lists, nearest first."""
-        if self.centres is None:
-            raise IndexNotReady("fit the index first")
-        held = vectors.sparkSession.sparkContext.broadcast(self.centres)  # branching squared rows
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    x = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64))
-                    order = np.argsort(-(x @ held.value.T), axis=1, kind="stable")[:, :n].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=[key, vector, "lists"])
-
-        kinds = dict(vectors.dtypes)
-        return vectors.select(key, vector).mapInArrow(run, f"{key} {kinds[key]}, {vector} {kinds[vector]}, lists array<int>")
-
-    def assign(self, vectors: DataFrame, key: str = "key", vector: str = "vector") -> DataFrame:
-        """key, vector, list: write it partitioned by list, and a search reads only the lists it opens."""
-        return self.nearest_lists(vectors, 1, key, vector).select(key, vector, F.col("lists")[0].alias("list"))
-
-    def search(self, assigned: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str = "cosine", key: str = "key", vector: str = "vector", qid: str = "qid") -> DataFrame:
-        """qid, key, score, rank; scores are exact, only which rows are seen is approximate."""
-        q = self.nearest_lists(queries.select(qid, vector), nprobe, qid, vector).select(qid, F.col(vector).alias("__q"), F.explode("lists").alias("list"))
-        hits = assigned.join(q, "list").select(qid, F.col(key).alias("key"), F.round(distance(metric, F.col("__q"), F.col(vector)), 9).alias("score"))
-        w = Window.partitionBy(qid).orderBy("score", "key")
-        return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-@dataclass
-class HashIndex:
-    """Hyperplane hashing: ``tables`` tables of ``bits`` seeded planes; a query also probes the buckets of its least certain bits."""
-
-    bits: int = 6
-    tables: int = 10
-    probes: int = 4
-    seed: int = 42
-
-    # The presets (tables, bits, probes).
-    PRESETS = {"small": (8, 8, 2), "large": (20, 12, 4), "high_recall": (20, 4, 4), "fast_search": (4, 8, 1)}
-
-    @classmethod
-    def preset(cls, name: str) -> HashIndex:
-        t, b, p = cls.PRESETS[name]
-        return cls(bits=b, tables=t, probes=p)
-
-    def planes(self, dims: int) -> np.ndarray:
-        p = np.random.Generator(np.random.PCG64(self.seed)).normal(size=(self.tables * self.bits, dims))
-        return _unit(p)
-
-    def buckets(self, vectors: DataFrame, probes: int = 1, key: str = "key", vector: str = "vector") -> DataFrame:
-        """key, vector, tbl, bucket: one row per table, or one per table and probe (the bucket itself, then single and double flips of uncertain bits)."""
-        tables, bits, make = self.tables, self.bits, self.planes
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                d = (x @ make(x.shape[1]).T).reshape(len(x), tables, bits)
-                code = ((d > 0) << np.arange(bits)).sum(axis=2)
-                flips = np.argsort(np.abs(d), axis=2, kind="stable")
-                probe = [code]
-                for i in range(bits):
-                    probe.append(code ^ (1 << flips[:, :, i]))
-                for i in range(bits):
-                    for j in range(i + 1, bits):
-                        probe.append(code ^ (1 << flips[:, :, i]) ^ (1 << flips[:, :, j]))
-                got = np.stack(probe[:probes], axis=2)
-                at = pa.array(np.repeat(np.arange(len(x)), tables * got.shape[2]))
-                tbl = np.tile(np.repeat(np.arange(tables), got.shape[2]), len(x)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(tbl), pa.array(got.ravel().astype(np.int64))], names=[key, vector, "tbl", "bucket"])
-
-        kinds = dict(vectors.dtypes)
-        return vectors.select(key, vector).mapInArrow(run, f"{key} {kinds[key]}, {vector} {kinds[vector]}, tbl int, bucket bigint")
-
-    def search(self, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "key", vector: str = "vector", qid: str = "qid") -> DataFrame:
-        """qid, key, score, rank: rows that share a probed bucket in some table, measured exactly."""
-        rows = self.buckets(vectors, 1, key, vector).select("tbl", "bucket", F.col(key).alias("key"))
-        q = self.buckets(queries.select(qid, vector), self.probes, qid, vector).select("tbl", "bucket", qid)
-        pairs = rows.join(q, ["tbl", "bucket"]).select(qid, "key").distinct()
-        hits = pairs.join(vectors.select(F.col(key).alias("key"), vector), "key").join(queries.select(qid, F.col(vector).alias("__q")), qid)
-        w = Window.partitionBy(qid).orderBy("score", "key")
-        return hits.select(qid, "key", F.round(distance(metric, F.col("__q"), F.col(vector)), 9).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    def stats(self, vectors: DataFrame, key: str = "key", vector: str = "vector") -> DataFrame:
-        """tbl, buckets, largest, mean: how the rows fill each table."""
-        sizes = self.buckets(vectors, 1, key, vector).groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        return sizes.groupBy("tbl").agg(F.count(F.lit(1)).alias("buckets"), F.max("n").alias("largest"), F.avg("n").alias("mean"))
-
-
-def plan_search(rows: int, k: int, threshold: int = 10_000, lists: ListIndex | None = None, hashes: HashIndex | None = None) -> str:
-    """The access path for a corpus of ``rows`` vectors: 'exact' below the threshold or without an index, else 'lists' or 'hashes'."""
-    if rows < threshold or (lists is None and hashes is None):
-        return "exact"
-    return "lists" if lists is not None and lists.centres is not None else "hashes" if hashes is not None else "exact"
+def plan_search(rows: int, k: int, threshold: int = 10_000, index: object | None = None) -> str:
+    """The access path for a corpus of ``rows`` vectors: 'exact' below the threshold or without an index, else 'index'."""
+    return "exact" if rows < threshold or index is None else "index"
 
 
 def recall_at(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

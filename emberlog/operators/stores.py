@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from emberlog.errors import ChecksumMismatch, DimensionMismatch, KeyNotFound, RunEnded
 from emberlog.functions.atoms import atom
 from emberlog.operators import knn, registry, sparse
+from emberlog.operators.ann import HashIndex, ListIndex
 from emberlog.operators.log import LogStore, history, latest
 
 
@@ -61,21 +62,29 @@ class VectorStore:
     def __len__(self) -> int:
         return self.rows().count()
 
-    def search(self, query: Sequence[float], k: int, index: knn.ListIndex | knn.HashIndex | None = None, nprobe: int = 8) -> DataFrame:
-        """key, score, vector of the k closest: exact, or by an index where the planner prefers it."""
+    def build_index(self, path: str, index: ListIndex | HashIndex | None = None) -> ListIndex | HashIndex:
+        """Fits (lists) and writes an index of the live vectors; vectors that come later are added to it by its ``insert``."""
+        rows = self.rows()
+        index = index or ListIndex(metric=self.metric)
+        if isinstance(index, ListIndex) and index.centres is None:
+            index.fit(rows)
+        return index.save(rows, path)
+
+    def search(self, query: Sequence[float], k: int, index: ListIndex | HashIndex | None = None, nprobe: int | None = None) -> DataFrame:
+        """key, score, vector of the k closest: exact, or by a stored index, whose hits are held against the live vectors.
+
+        An index may have vectors that were deleted or written again: more than k are asked of it, and what is not live is left out.
+        """
         if len(query) != self.dims:
             raise DimensionMismatch(f"{self.dims} dimensions, not {len(query)}")
         rows = self.rows()
-        lists = index if isinstance(index, knn.ListIndex) else None
-        hashes = index if isinstance(index, knn.HashIndex) else None
-        how = knn.plan_search(rows.count(), k, lists=lists, hashes=hashes)
-        if how == "exact":
-            hits = knn.search(rows, list(query), k, self.metric)
-        else:
-            q = self.store.spark.createDataFrame([("q", [float(x) for x in query])], "qid string, vector array<float>")
-            found = lists.search(lists.assign(rows), q, k, nprobe, self.metric) if how == "lists" else hashes.search(rows, q, k, self.metric)
-            hits = found.select("key", "score")
-        return hits.join(rows, "key").orderBy("score", "key")
+        if index is None:
+            return knn.search(rows, list(query), k, self.metric).join(rows, "key").orderBy("score", "key")
+        spark = self.store.spark
+        q = spark.createDataFrame([("q", [float(x) for x in query])], "qid string, vector array<float>")
+        found = index.search(index.stored(spark), q, 4 * k, nprobe) if isinstance(index, ListIndex) else index.search(*index.stored(spark), q, 4 * k)
+        live = rows.join(F.broadcast(found.select("key").distinct()), "key", "left_semi")  # 4 k keys
+        return knn.search(live, list(query), k, self.metric).join(live, "key").orderBy("score", "key")
 
 
 class SparseStore:

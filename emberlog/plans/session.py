@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,27 @@ def local_session(cores: int | str = "*", app: str = "emberlog", memory: str = "
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="emberlog-checkpoint-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate data, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage there (survives the loss of executors)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -51,8 +65,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable by the Python workers, where neither their path nor their folder has it: sends it as a zip."""
     root = Path(__file__).resolve().parents[2]
-    master = spark.sparkContext.master
-    beside = [os.getcwd()] if master == "local" or master.startswith("local[") else []  # there the workers start in this folder
+    beside = [os.getcwd()] if is_local(spark) else []  # there the workers start in this folder
     known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *beside] if p}
     application = spark.sparkContext.applicationId
     if root in known or application in _SHIPPED:

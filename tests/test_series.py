@@ -5,11 +5,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.errors import DimensionMismatch, IndexNotReady
 from emberlog.operators import knn as K
 from emberlog.operators import registry as R
 from emberlog.operators import series as S
 from emberlog.operators import sparse as P
 from emberlog.operators import tensor as X
+from emberlog.operators.ann import HashIndex, ListIndex
 from emberlog.streaming import streams
 
 
@@ -60,13 +62,14 @@ def test_search_equals_numpy(spark):
         single = [r.key for r in K.search(df, x[0].tolist(), 5, metric).collect()]
         assert single == np.argsort(d[0], kind="stable")[:5].tolist()
     exact = K.search_batch(df, q, 10)
-    index = K.ListIndex().fit(df)
-    assert K.recall_at(index.search(index.assign(df), q, 10, 16), exact, 10).agg(F.avg("recall")).first()[0] == 1.0
-    assert K.recall_at(K.HashIndex.preset("high_recall").search(df, q, 10), exact, 10).agg(F.avg("recall")).first()[0] >= 0.9
+    index = ListIndex().fit(df)
+    assert K.recall_at(index.search(index.place(df), q, 10, len(index.centres)), exact, 10).agg(F.avg("recall")).first()[0] == 1.0
+    hashes = HashIndex.preset("high_recall")
+    assert K.recall_at(hashes.search(hashes.buckets(df), df, q, 10), exact, 10).agg(F.avg("recall")).first()[0] >= 0.9
     blocks = {(r.qid, r["rank"]): r.key for r in K.search_blocks(df, q, 5, block=64).collect()}
     want = {(r.qid, r["rank"]): r.key for r in K.search_batch(df, q, 5).collect()}
     assert blocks == want
-    assert K.plan_search(100, 5) == "exact" and K.plan_search(10**6, 5, lists=index) == "lists"
+    assert K.plan_search(100, 5) == "exact" and K.plan_search(10**6, 5, index=index) == "index"
 
 
 def test_list_recall_on_clustered_vectors(spark):
@@ -75,9 +78,43 @@ def test_list_recall_on_clustered_vectors(spark):
     x = (centres[rng.integers(0, 20, 2000)] + 0.3 * rng.normal(size=(2000, 32))).astype(np.float32)
     df = spark.createDataFrame(pd.DataFrame({"key": range(2000), "vector": [r.tolist() for r in x]}), "key bigint, vector array<float>")
     q = df.filter("key % 50 = 0").select(F.col("key").alias("qid"), "vector")
-    index = K.ListIndex().fit(df)
-    found = index.search(index.assign(df), q, 10, 4)
-    assert K.recall_at(found, K.search_batch(df, q, 10), 10).agg(F.avg("recall")).first()[0] >= 0.95
+    index = ListIndex().fit(df)
+    placed, exact = index.place(df).cache(), K.search_batch(df, q, 10).cache()
+    assert K.recall_at(index.search(placed, q, 10, 20), exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
+    assert index.scanned(placed, q, 20) <= 0.12
+    hashes = HashIndex.sized(2000)
+    buckets = hashes.buckets(df).cache()
+    assert K.recall_at(hashes.search(buckets, df, q, 10), exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
+    assert hashes.scanned(buckets, 2000, q) <= 0.12
+    more = q.join(spark.range(110).withColumnRenamed("id", "again")).select((F.col("qid") * 1000 + F.col("again")).alias("qid"), "vector")
+    many = index.search(placed, more, 1)  # more queries than one block
+    assert many.count() == 4400 and many.filter("qid div 1000 <> key").count() == 0
+    assert K.search_batch(df, more, 1).filter("qid div 1000 <> key").count() == 0
+
+
+def test_stored_indexes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"key": range(400), "vector": [r.tolist() for r in x]}), "key bigint, vector array<float>")
+    q = df.filter("key % 50 = 0").select(F.col("key").alias("qid"), "vector")
+    lists, hashes = ListIndex().fit(df), HashIndex.sized(400)
+    lists.save(df.filter("key < 300"), str(tmp_path / "l"))
+    hashes.save(df.filter("key < 300"), str(tmp_path / "h"))
+    lists, hashes = ListIndex.load(spark, str(tmp_path / "l"), 16), HashIndex.load(spark, str(tmp_path / "h"))
+    for i in (lists, hashes):
+        i.insert(df.filter("key >= 300"))
+    rows = lambda f: sorted((r.qid, r["rank"], r.key) for r in f.collect())
+    assert rows(lists.search(lists.stored(spark), q, 5)) == rows(lists.search(lists.place(df), q, 5))
+    assert rows(hashes.search(*hashes.stored(spark), q, 5)) == rows(hashes.search(hashes.buckets(df), df, q, 5))
+    one = lists.search(lists.stored(spark), q.filter("qid = 0"), 5, 2)
+    assert "PartitionFilters: [" in one._jdf.queryExecution().toString() and len({p for p in lists.probes(x[:1], 2)[0]}) == 2
+    with pytest.raises(IndexNotReady):
+        ListIndex.load(spark, str(tmp_path / "none"))
+    with pytest.raises(DimensionMismatch):
+        ListIndex.load(spark, str(tmp_path / "l"), 17)
+    with pytest.raises(IndexNotReady):
+        ListIndex().place(df)
+    assert lists.search(lists.stored(spark), q.limit(0), 5).count() == 0
 
 
 def test_dimensions_and_zero_vectors(spark):
