@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.vectors import DIMS, Cells, directions, fit_cells, hash_sample, matrix, sound_vectors, visiting
+from emberlog.llm.vectors import DIMS, Cells, directions, fit_cells, hash_sample, matrix, sound_hashes, sound_vectors, visiting
 from emberlog.plans.session import cut
 
 BLOCK, WORDS = 2, 16
@@ -206,9 +206,9 @@ def nearest(rows: DataFrame, *, k: int = 3, sample: int = 16_000, rerank: int =
     vectors = hash_sample(rows, total, sample, dims)
     model = fit_cells(vectors, total, **index)
     book = fit_codebook(vectors, model)
-    sound = cut(sound_vectors(rows, dims))  # read twice
+    sound = sound_vectors(rows, dims)
     # equal vectors: the smallest key stands for all; up to k + 1 of its keys can be anyone's neighbours
-    ids = cut(sound.select("key", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")))
+    ids = cut(sound_hashes(rows, dims))
     copies = ids.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).filter("n > 1")
     copied = cut(ids.join(copies, ["h1", "h2"]).select("key", "first"))
     few = copied.withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("key"))).filter(F.col("r") <= k + 1).select("first", "key")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.plans.session import shuffle_tasks
@@ -43,10 +43,19 @@ def valid_rows(rows: DataFrame, dims: int = DIMS) -> DataFrame:
     )
 
 
+def _merit() -> Column:
+    """What orders a key's valid rows: seq (null last), then two hashes of the vector."""
+    return F.struct(F.col("seq").isNull(), "seq", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+
+
 def sound_vectors(rows: DataFrame, dims: int = DIMS) -> DataFrame:
-    """(key, vector): of every key its valid row with the lowest seq; of equal seq the smaller vector, null seq last."""
-    first = F.min_by("vector", F.struct(F.col("seq").isNull(), "seq", "vector"))
-    return valid_rows(rows, dims).groupBy("key").agg(first.alias("vector"))
+    """(key, vector): of every key its valid row with the lowest seq; of equal seq the vector with the smaller hash, null seq last."""
+    return valid_rows(rows, dims).groupBy("key").agg(F.min_by("vector", _merit()).alias("vector"))
+
+
+def sound_hashes(rows: DataFrame, dims: int = DIMS) -> DataFrame:
+    """(key, h1, h2): two hashes of every key's sound vector, found without moving vectors."""
+    return valid_rows(rows, dims).groupBy("key").agg(F.min(_merit()).alias("m")).select("key", "m.h1", "m.h2")
 
 
 def directions(m: np.ndarray) -> np.ndarray:
