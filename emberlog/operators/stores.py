@@ -23,6 +23,7 @@ from emberlog.functions.atoms import atom
 from emberlog.operators import knn, registry, sparse
 from emberlog.operators.ann import HashIndex, ListIndex
 from emberlog.operators.log import LogStore, history, latest
+from emberlog.plans.session import cut
 
 
 class VectorStore:
@@ -94,34 +95,70 @@ class SparseStore:
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
-        try:
-            self.rows()
-        except Exception:
-            spark.createDataFrame([], self.SCHEMA).write.parquet(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs, self._folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+        for part, schema in (("postings", self.SCHEMA), ("deleted", "doc_id bigint")):
+            if not self._fs.exists(folder.suffix(f"/{part}")):
+                spark.createDataFrame([], schema).write.parquet(f"{path}/{part}")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        """All postings, those of stale and deleted documents too."""
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/postings")
+
+    def deleted(self) -> DataFrame:
+        return self.spark.read.schema("doc_id bigint").parquet(f"{self.path}/deleted").distinct()
 
     def index(self, vector: Mapping[int, float], key: str | None = None) -> int:
         """The new document's id; weights that aren't positive are left out."""
         doc = (self.rows().agg(F.max("doc_id")).first()[0] or 0) + 1
-        rows = [(doc, key, int(t), float(w)) for t, w in vector.items() if w > 0]
-        self.spark.createDataFrame(rows, self.SCHEMA).write.mode("append").parquet(self.path)
+        rows = [(doc, key, int(t), float(w)) for t, w in vector.items() if w > 0] or [(doc, key, None, None)]
+        self.spark.createDataFrame(rows, self.SCHEMA).write.mode("append").parquet(f"{self.path}/postings")
         return doc
 
     def index_batch(self, vectors: DataFrame) -> None:
         """Appends (doc_id, key, term_id, weight) rows whose doc_ids the caller numbers."""
-        sparse.positive(vectors).select("doc_id", "key", "term_id", F.col("weight").cast("double").alias("weight")).write.mode("append").parquet(self.path)
+        sparse.positive(vectors).select("doc_id", "key", "term_id", F.col("weight").cast("double").alias("weight")).write.mode("append").parquet(f"{self.path}/postings")
+
+    def documents(self) -> DataFrame:
+        """doc_id, key of the live documents: of one key the newest, without those deleted."""
+        docs = self.rows().select("doc_id", "key").distinct()
+        newest = docs.filter("key is not null").groupBy("key").agg(F.max("doc_id").alias("doc_id"))
+        return newest.select("doc_id", "key").unionByName(docs.filter("key is null")).join(self.deleted(), "doc_id", "left_anti")
+
+    def keys(self) -> DataFrame:
+        return self.documents().filter("key is not null").select("key")
+
+    def __len__(self) -> int:
+        return self.documents().count()
+
+    def delete(self, key: str) -> bool:
+        """Deletes the live document of a key, and all older ones under it; False if there is none."""
+        docs = self.rows().filter(F.col("key") == key).select("doc_id").distinct().join(self.deleted(), "doc_id", "left_anti")
+        found = not docs.isEmpty()
+        if found:
+            docs.write.mode("append").parquet(f"{self.path}/deleted")
+        return found
+
+    def delete_by_id(self, doc_id: int) -> bool:
+        found = not self.documents().filter(F.col("doc_id") == doc_id).isEmpty()
+        if found:
+            self.spark.createDataFrame([(doc_id,)], "doc_id bigint").write.mode("append").parquet(f"{self.path}/deleted")
+        return found
+
+    def clear(self) -> None:
+        """Deletes all documents; ids go on where they were."""
+        cut(self.documents().select("doc_id")).write.mode("append").parquet(f"{self.path}/deleted")
 
     def live(self) -> DataFrame:
-        return sparse.live_index(self.rows())[0]
+        """doc_id, term_id, weight of the live documents."""
+        return sparse.live_index(self.rows().join(self.documents().select("doc_id"), "doc_id", "left_semi"))[0]
 
     def search(self, query: Mapping[int, float], k: int) -> DataFrame:
         q = self.spark.createDataFrame([(int(t), float(w)) for t, w in query.items()], "term_id bigint, weight double")
-        return sparse.named(sparse.search(self.live(), q, k), self.rows().filter("key is not null").select("doc_id", "key").distinct())
+        return sparse.named(sparse.search(self.live(), q, k), self.documents().filter("key is not null"))
 
     def get(self, key: str) -> dict[int, float]:
-        doc = self.rows().filter(F.col("key") == key).agg(F.max("doc_id")).first()[0]
+        doc = self.documents().filter(F.col("key") == key).agg(F.max("doc_id")).first()[0]
         return {r.term_id: r.weight for r in self.live().filter(F.col("doc_id") == doc).collect()} if doc is not None else {}
 
     def stats(self) -> DataFrame:
@@ -393,19 +430,20 @@ class Async:
 
 
 def register_functions(spark) -> list[str]:
-    """Makes the engine's scalar functions callable from SQL by name (as Arrow functions); the names."""
-    from emberlog.functions.distance import METRICS, distance_matrix
-
-    def make(metric: str):
-        @F.pandas_udf("double")
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None or y is None else float(distance_matrix(metric, np.asarray([x]), np.asarray([y]))[0, 0]) for x, y in zip(a, b)])
-
-        return run
-
-    for metric in METRICS.values():
-        spark.udf.register(f"{metric}_distance", make(metric))
-    return [f"{m}_distance" for m in METRICS.values()]
+    """Makes the engine's scalar functions callable from SQL by name; the names. They are SQL functions of built-in expressions."""
+    dot = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    length = "aggregate({0}, 0D, (s, x) -> s + x * x)"
+    norms = f"sqrt({length.format('a')} * {length.format('b')})"
+    bodies = {
+        "cosine_distance": f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN {norms} < 1e-10D THEN 1D ELSE 1D - {dot} / {norms} END",
+        "euclidean_distance": "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))",
+        "dot_distance": f"-{dot}",
+        "vector_norm": f"sqrt({length.format('a')})",
+    }
+    for name, body in bodies.items():
+        arguments = "a ARRAY<DOUBLE>" if name == "vector_norm" else "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS DOUBLE RETURN {body}")
+    return list(bodies)
 
 
 def sparse_bytes(vector: Column) -> Column:

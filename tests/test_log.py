@@ -159,3 +159,71 @@ def test_open_and_close(spark, tmp_path):
     L.close_store(str(tmp_path / "s"))
     with pytest.raises(errors.StoreNotFound):
         L.close_store(str(tmp_path / "s"))
+
+
+def test_a_broken_compaction_is_put_right(spark, tmp_path):
+    import os
+    import shutil
+
+    def state():
+        return {(r.key, r.i) for r in L.latest(L.LogStore(spark, path).log()).collect()}
+
+    path = str(tmp_path / "s")
+    store = L.LogStore(spark, path)
+    for i in range(3):
+        store.put("a", i=i)
+    want = {("a", 2)}
+    shutil.copytree(path, path + "-compacting")  # stopped while writing
+    os.remove(path + "-compacting/_SUCCESS") if os.path.exists(path + "-compacting/_SUCCESS") else None
+    assert state() == want and not os.path.exists(path + "-compacting")
+    os.rename(path, path + "-before")  # stopped before the new log was whole
+    assert state() == want and not os.path.exists(path + "-before")
+    shutil.copytree(path, path + "-compacting")
+    open(path + "-compacting/_SUCCESS", "w").close()
+    os.rename(path, path + "-before")  # stopped between the two renames
+    assert state() == want and not os.path.exists(path + "-before") and not os.path.exists(path + "-compacting")
+    shutil.copytree(path, path + "-before")  # stopped before the old log was deleted
+    assert state() == want and not os.path.exists(path + "-before")
+    L.LogStore(spark, path).compact()
+    assert state() == want and L.LogStore(spark, path).log().count() == 1
+
+
+def test_without_sync_writes_are_kept_and_seen(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store = L.open_store(spark, path, config=L.StoreConfig(sync=False, delta=True))
+    store.put("a", f=1.5)
+    store.put("b", s="x")
+    store.put("a", v=[1.0, 2.0])
+    store.delete("b")
+    assert store.get("a")["v"] == [1.0, 2.0] and store.get("b") is None
+    assert L.LogStore(spark, path).log().count() == 0
+    assert store.put_floats("c", [1.0, 2.0]) == 2  # a batch writes what was kept before it
+    assert [r.key for r in store.log().orderBy("seq").collect()] == ["a", "b", "a", "b", "c", "c"]
+    store.put("d")
+    L.close_store(path)
+    assert L.LogStore(spark, path).get("d")["tag"] == "null"
+    with pytest.raises(errors.EmptyKey):
+        store.put("", i=1)
+    with pytest.raises(ValueError):
+        store.put("k", z=1)
+
+
+def test_delete_matching(store):
+    for k in ("t/1", "t/2", "u/1"):
+        store.put(k, i=1)
+    assert store.delete_matching("t/*") == 2 and store.delete_matching("t/*") == 0
+    assert {r.key for r in L.keys(store.log()).collect()} == {"u/1"}
+
+
+def test_appends_of_many_ranges_are_dense(spark, store):
+    store.put("x", i=0)
+    rows = spark.range(0, 5000, 1, 16).select(F.concat(F.lit("k"), (F.col("id") % 7).cast("string")).alias("key"), *L.atom(i=F.col("id")))
+    assert store.append(rows, [F.col("i")]) == 5000
+    assert store.log().filter("key <> 'x' and seq <> i + 2").count() == 0 and store.append(rows.limit(0)) == 0
+
+
+def test_deltas_by_blocks(spark):
+    df = spark.createDataFrame([("a", i, float(i * i % 17)) for i in range(100)] + [("b", i, None if i == 3 else 1.0) for i in range(9)], "key string, seq int, f double")
+    enc = L.delta_encode(df, block=10)
+    assert enc.filter("key = 'a' and not is_delta").count() == 10
+    assert L.delta_decode(enc, block=10).filter("abs(decoded - f) > 1e-9").count() == 0

@@ -48,6 +48,34 @@ def test_sparse(spark, tmp_path):
     assert s.stats().collect()[0]["num_documents"] == 2
 
 
+def test_sparse_maintenance(spark, tmp_path):
+    path = str(tmp_path / "sp")
+    s = S.SparseStore(spark, path)
+    a, b, c, d = s.index({1: 1.0}, "a"), s.index({1: 2.0}, "b"), s.index({1: 3.0}, "a"), s.index({1: 4.0})
+    assert len(s) == 3 and {r.key for r in s.keys().collect()} == {"a", "b"}
+    assert s.delete("b") and not s.delete("b") and not s.delete("none") and s.get("b") == {}
+    assert s.delete_by_id(c) and not s.delete_by_id(a) and len(s) == 1  # what was stale stays so
+    assert [(r.doc_id, r.score) for r in s.search({1: 1.0}, 5).collect()] == [(d, 4.0)]
+    assert s.index({1: 5.0}, "a") == 5 and S.SparseStore(spark, path).get("a") == {1: 5.0}
+    s.clear()
+    assert len(s) == 0 and s.search({1: 1.0}, 5).count() == 0 and s.index({}, "e") == 6 and len(s) == 1
+    damaged = tmp_path / "sp" / "postings" / "part-bad.parquet"
+    damaged.write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        S.SparseStore(spark, path).rows().count()  # a damaged store is no new store
+
+
+def test_stored_vector_index(spark, store, tmp_path):
+    v = S.VectorStore(store, 2)
+    v.insert_batch(spark.createDataFrame([(f"k{i}", [1.0, i / 50]) for i in range(100)], "key string, vector array<float>"))
+    for n, index in enumerate((None, S.HashIndex.preset("high_recall"))):
+        built = v.build_index(str(tmp_path / f"i{n}"), index)
+        probes = {"nprobe": 8} if index is None else {}
+        assert [r.key for r in v.search([1.0, 0.5], 3, built, **probes).collect()][0] == "k25"
+    v.delete("k25")
+    assert "k25" not in [r.key for r in v.search([1.0, 0.5], 3, built).collect()]
+
+
 def test_models(store):
     m = S.Models(store)
     assert m.save("n", b"one") == 1 and m.save("n", b"two", {"acc": "1"}) == 2
