@@ -11,10 +11,10 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.catalog import dense, history, io, kv, lexical, platform, relational, series, streams, tensors
+from emberlog.catalog import dense, history, io, kv, lexical, platform, relational, series, storage, streams, tensors
 from emberlog.catalog.doubles import DOUBLES
 
-MODULES = (history, kv, series, dense, lexical, platform, tensors, relational, streams, io)
+MODULES = (history, kv, series, dense, lexical, platform, tensors, relational, streams, io, storage)
 
 
 def rounded(query: Callable) -> Callable:

@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 DOUBLES = {
+    "store_latest": ["f"],
+    "store_vectors": ["score"],
+    "store_runs": ["value"],
+    "stream_anomaly": ["score"],
+    "training_set_asof": ["value"],
+    "ts_backtest_buy_and_hold": ["total_return", "max_drawdown"],
     "kv_latest": ["f"],
     "kv_history": ["f"],
     "kv_live_history": ["total"],

@@ -12,11 +12,11 @@ from emberlog.streaming.streams import shared_folder
 
 
 def io_records(spark, d):
-    return X.records(event_log(spark, d), "user/1*").filter("type <> 'float'")
+    return X.records(event_log(spark, d)).filter("type <> 'float'")
 
 
 def io_jsonl_lines(spark, d):
-    return X.json_lines(event_log(spark, d), "user/1*").select(F.get_json_object("value", "$.key").alias("key"), F.get_json_object("value", "$.value").try_cast("double").alias("number"))
+    return X.json_lines(event_log(spark, d)).select(F.get_json_object("value", "$.key").alias("key"), F.get_json_object("value", "$.value").try_cast("double").alias("number"))
 
 
 def _back(rows):
@@ -26,7 +26,7 @@ def _back(rows):
 def io_csv_roundtrip(spark, d):
     out = shared_folder(spark, "csv")
     X.export_csv(event_log(spark, d), out)
-    return _back(X.import_csv(spark, out)).filter("tag <> 'null'")
+    return _back(X.import_csv(spark, out))
 
 
 def io_parquet_roundtrip(spark, d):
@@ -49,9 +49,9 @@ def io_from_frame(spark, d):
 QUERIES = {k: f for k, f in globals().items() if k.startswith("io_") and callable(f)}
 
 ORACLE = {
-    "io_records": _LOG + "SELECT key, tag AS type, CASE tag WHEN 'int' THEN i::VARCHAR WHEN 'text' THEN s WHEN 'bytes' THEN lower(hex(b)) END AS value FROM latest WHERE tag <> 'float' AND starts_with(key, 'user/1')",
-    "io_jsonl_lines": _LOG + "SELECT key, coalesce(f, i::DOUBLE, try_cast(lower(hex(b)) AS DOUBLE)) AS number FROM latest WHERE starts_with(key, 'user/1')",
-    "io_csv_roundtrip": _LOG + "SELECT key, tag, f, i, s, lower(hex(b)) AS b FROM latest WHERE tag <> 'null'",
+    "io_records": _LOG + "SELECT key, tag AS type, CASE tag WHEN 'int' THEN i::VARCHAR WHEN 'text' THEN s WHEN 'bytes' THEN lower(hex(b)) END AS value FROM latest WHERE tag <> 'float'",
+    "io_jsonl_lines": _LOG + "SELECT key, coalesce(f, i::DOUBLE, try_cast(lower(hex(b)) AS DOUBLE)) AS number FROM latest",
+    "io_csv_roundtrip": _LOG + "SELECT key, tag, f, i, s, lower(hex(b)) AS b FROM latest",
     "io_parquet_roundtrip": _LOG + "SELECT 'copy/' || key AS key, tag, f, i, s, lower(hex(b)) AS b FROM latest",
     "io_jsonl_roundtrip": _LOG + "SELECT key, CASE tag WHEN 'bytes' THEN 'text' ELSE tag END AS tag, f, i, coalesce(s, lower(hex(b))) AS s FROM latest",
     "io_from_frame": """WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)

@@ -62,8 +62,9 @@ def kv_float_history(spark, d):
 
 def kv_history_tensor(spark, d):
     floats = L.float_history(event_log(spark, d))
-    whole = floats.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "f"))), lambda x: x["f"]).alias("a"))
-    return whole.select("key", F.size("a").alias("n"), F.element_at("a", 1).alias("first"), F.element_at("a", -1).alias("last"))
+    chunks = L.history_tensor(floats)  # a key's history in chunks of bounded length
+    ends = chunks.groupBy("key").agg(F.sum(F.size("values")).cast("int").alias("n"), F.min_by("values", "chunk").alias("a"), F.max_by("values", "chunk").alias("z"))
+    return ends.select("key", "n", F.element_at("a", 1).alias("first"), F.element_at("z", -1).alias("last"))
 
 
 def kv_compact(spark, d):
@@ -83,8 +84,7 @@ def kv_type_counts(spark, d):
 
 
 def kv_prefix_counts(spark, d):
-    top = L.keys(event_log(spark, d)).groupBy(segment(F.col("key"), 2).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    return top.orderBy(F.desc("n"), "kind").limit(10)
+    return L.keys(event_log(spark, d)).groupBy(segment(F.col("key"), 2).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def kv_info(spark, d):
@@ -140,7 +140,7 @@ ORACLE = {
     "kv_point_read": _LOG + "SELECT seq, key, tag, f, i, s FROM log WHERE seq = 42",
     "kv_resurrections": _LOG + "SELECT key, count(*) AS n FROM (SELECT key, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS p FROM log) WHERE op <> 'D' AND p = 'D' GROUP BY key",
     "kv_type_counts": _LOG + "SELECT tag, count(*) AS n FROM latest GROUP BY tag",
-    "kv_prefix_counts": _LOG + "SELECT split_part(key, '/', 3) AS kind, count(*) AS n FROM latest GROUP BY 1 ORDER BY n DESC, kind LIMIT 10",
+    "kv_prefix_counts": _LOG + "SELECT split_part(key, '/', 3) AS kind, count(*) AS n FROM latest GROUP BY 1",
     "kv_info": _LOG + "SELECT split_part(key, '/', 1) AS prefix, count(*) AS n FROM latest GROUP BY 1",
     "kv_glob_keys": _LOG + "SELECT key FROM latest WHERE key GLOB 'user/1?/[cv]*'",
     "kv_prefix_keys": _LOG + "SELECT key FROM latest WHERE starts_with(key, 'user/7/')",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.catalog.history import ORACLE as HISTORY
 from emberlog.functions.times import epoch_micros, epoch_seconds, to_epoch_seconds
 from emberlog.operators import registry as R
-from emberlog.operators.asof import asof_join
+from emberlog.operators.asof import asof_features, asof_join, clean_entity
 from emberlog.operators.ledger import clean_stage
 from emberlog.sources.tables import table
 
@@ -158,6 +159,14 @@ def exp_replay(spark, d):
     return R.replay(transitions(spark, d).select("transition_id", "ts", "action", "reward"), 500, 64, 7).select("draw", "transition_id", "action")
 
 
+def exp_replay_held(spark, d):
+    """One row: how many draws there are, and whether all are of the last 500 transitions."""
+    t = transitions(spark, d).select("transition_id", "ts", "action", "reward")
+    last = t.orderBy(F.desc("ts"), F.desc("transition_id")).limit(500).select("transition_id").distinct()
+    drawn = R.replay(t, 500, 64, 7)
+    return drawn.join(last.withColumn("known", F.lit(True)), "transition_id", "left").agg(F.count(F.lit(1)).alias("draws"), F.every(F.coalesce("known", F.lit(False))).alias("from_last"))
+
+
 def features_asof(spark, d):
     f = R.features_as_of(table(spark, d, "feature_values"), F.lit("2015-01-06 00:00:00").cast("timestamp_ntz"))
     return f.select("feature_group", "entity_id", "feature", epoch_micros("ts").alias("ts"), "value")
@@ -175,17 +184,35 @@ def asof_events(spark, d):
     return asof_join(e.filter("event_type = 'purchase'"), errors, ["user_id"], "ts", "at", ["error_value"]).select("event_id", "error_value")
 
 
+NAMES = ["credit", "open_fares", "fare_mean", "charge_pct"]
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("entity_id", clean_entity(F.col("entity_id"))).filter("entity_id is not null")
+
+
 def training_set(spark, d):
-    v = table(spark, d, "feature_values")
-    side = R.entity_features(v, ["rider_wallet", "rider_habit"], ["credit", "open_fares", "fare_mean"])
-    e = table(spark, d, "label_events").filter("feature_group = 'rider_wallet' and entity_id is not null").select("event_id", "entity_id", "label").distinct()
-    return R.training_set(e, [(side, "entity_id")])
+    """Every event with the latest values of its entity, whatever group they are of."""
+    v = _cleaned(table(spark, d, "feature_values"))
+    groups = [r["name"] for r in table(spark, d, "feature_groups").select("name").collect()]  # a table of fixed size
+    e = _cleaned(table(spark, d, "label_events")).select("event_id", "feature_group", "entity_id", "label").distinct()
+    return R.training_set(e, [(R.entity_features(v, groups, NAMES), "entity_id")])
+
+
+def training_set_asof(spark, d):
+    """Every event and feature of its group with the value that was known at the event's time, so nothing that came later."""
+    e, v = table(spark, d, "label_events"), table(spark, d, "feature_values")
+    known = asof_features(e, v, table(spark, d, "feature_groups"))
+    values = v.filter("value is not null and ts is not null and written_at is not null").select("value_id", "value").distinct()
+    labels = e.select("event_id", "label").filter("event_id is not null").distinct()
+    return known.join(values, "value_id").join(labels, "event_id").select("event_id", "feature", "label", "value")
 
 
 def cross_entity(spark, d):
-    v = table(spark, d, "feature_values")
-    a = R.entity_features(v, ["rider_wallet"], ["credit"]).withColumn("n", F.regexp_extract("entity_id", r"^rider-(\d+)$", 1))
-    b = R.entity_features(v, ["bike_power"], ["charge_pct"]).withColumn("n", F.regexp_extract("entity_id", r"^bike-(\d+)$", 1))
+    """Riders and bikes of one number, however their ids are spelled."""
+    v = _cleaned(table(spark, d, "feature_values"))
+    a = R.entity_features(v, ["rider_wallet"], ["credit"]).withColumn("n", F.regexp_extract("entity_id", r"(\d+)$", 1))
+    b = R.entity_features(v, ["bike_power"], ["charge_pct"]).withColumn("n", F.regexp_extract("entity_id", r"(\d+)$", 1))
     return a.filter("n <> ''").join(b.filter("n <> ''").select("n", "charge_pct"), "n").select("n", "credit", "charge_pct")
 
 
@@ -201,10 +228,10 @@ def docs_write_policies(spark, d):
 
 
 def docs_source_join(spark, d):
-    """Each hit with its metadata: the eval item's language and the pages of that language per source."""
-    i = table(spark, d, "eval_items").select("item_id", "lang")
-    s = table(spark, d, "documents").filter("lang is not null").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("pages"))
-    return i.join(s, "lang").select("item_id", "source", "pages")
+    """The hits of a search (the fifty longest pages) with their metadata, looked up by id."""
+    docs = table(spark, d, "documents")
+    hits = docs.select("doc_id", F.col("n_chars").alias("score")).filter("score is not null").orderBy(F.desc("score"), "doc_id").limit(50)
+    return F.broadcast(hits).join(docs.select("doc_id", "lang", "source", "page_no"), "doc_id")
 
 
 def chat_history(spark, d):
@@ -274,20 +301,25 @@ FROM (SELECT *, lag(version) OVER w AS old_version, lag(size_bytes) OVER w AS ol
     "docs_filter_meta": "SELECT doc_id, n_chars FROM documents WHERE lang = 'fr' AND source = 'Le Phare de Rosvel'",
     "docs_write_policies": """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'new' END AS source, 'skip' AS policy FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
 UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE source END, 'overwrite' FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""",
-    "docs_source_join": "SELECT item_id, source, count(*) AS pages FROM eval_items i JOIN documents d ON i.lang = d.lang GROUP BY item_id, source",
+    "docs_source_join": "SELECT doc_id, n_chars AS score, lang, source, page_no FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 50",
+    "exp_chain": """SELECT transition_id, len(lead(state) OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, transition_id)) AS follow_size
+ FROM (SELECT * FROM transitions WHERE session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY transition_id ORDER BY ts) = 1)""",
+    "exp_replay_held": "SELECT 64::BIGINT AS draws, true AS from_last",
     "chat_history": "SELECT source, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY scanned_at NULLS FIRST, doc_id) AS history FROM documents WHERE source IS NOT NULL GROUP BY source",
     "chat_sessions": "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL",
     "ids_and_times": "SELECT event_id, 'features/' || user_id || '/' || strftime(ts, '%Y%m%d%H%M%S') AS key, epoch_us(ts) // 1000000 AS seconds, epoch_us(ts) AS micros, true AS same FROM events",
     "json_props": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, lower(hex(encode(props))) AS hex FROM events",
 }
 ORACLE["model_promote"] = "SELECT stage, count(*) AS n FROM (" + ORACLE["model_promote"].strip() + ") GROUP BY stage"
-_LAST = """WITH last AS (SELECT feature_group, entity_id, feature, value FROM feature_values WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature_group, entity_id, feature ORDER BY ts DESC, value_id DESC) = 1)
+_CLEAN = """WITH c AS (SELECT * REPLACE (lower(trim(entity_id)) AS entity_id) FROM feature_values WHERE entity_id IS NOT NULL),
+last AS (SELECT feature_group, entity_id, feature, value FROM c WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature_group, entity_id, feature ORDER BY ts DESC, value_id DESC) = 1)
 """
-ORACLE["training_set"] = _LAST + """, f AS (SELECT entity_id, coalesce(max(value) FILTER (feature = 'credit'), 0) AS credit, coalesce(max(value) FILTER (feature = 'open_fares'), 0) AS open_fares, coalesce(max(value) FILTER (feature = 'fare_mean'), 0) AS fare_mean
- FROM last WHERE feature_group IN ('rider_wallet', 'rider_habit') GROUP BY entity_id)
-SELECT e.entity_id, event_id, label, coalesce(credit, 0) AS credit, coalesce(open_fares, 0) AS open_fares, coalesce(fare_mean, 0) AS fare_mean FROM (SELECT DISTINCT event_id, entity_id, label FROM label_events WHERE feature_group = 'rider_wallet' AND entity_id IS NOT NULL) e LEFT JOIN f USING (entity_id)"""
-ORACLE["cross_entity"] = _LAST + r""", a AS (SELECT regexp_extract(entity_id, '^rider-(\d+)$', 1) AS n, coalesce(max(value) FILTER (feature = 'credit'), 0) AS credit FROM last WHERE feature_group = 'rider_wallet' GROUP BY entity_id),
-b AS (SELECT regexp_extract(entity_id, '^bike-(\d+)$', 1) AS n, coalesce(max(value) FILTER (feature = 'charge_pct'), 0) AS charge_pct FROM last WHERE feature_group = 'bike_power' GROUP BY entity_id)
+ORACLE["training_set"] = _CLEAN + ", f AS (SELECT entity_id, " + ", ".join(f"coalesce(max(value) FILTER (feature = '{n}'), 0) AS {n}" for n in NAMES) + """ FROM last WHERE feature_group IN (SELECT name FROM feature_groups) GROUP BY entity_id)
+SELECT e.entity_id, event_id, e.feature_group, label, """ + ", ".join(f"coalesce({n}, 0) AS {n}" for n in NAMES) + """ FROM (SELECT DISTINCT event_id, feature_group, lower(trim(entity_id)) AS entity_id, label FROM label_events WHERE entity_id IS NOT NULL) e LEFT JOIN f USING (entity_id)"""
+ORACLE["training_set_asof"] = "WITH k AS (" + HISTORY["p3_found"] + """), v AS (SELECT DISTINCT value_id, value FROM feature_values WHERE value IS NOT NULL AND ts IS NOT NULL AND written_at IS NOT NULL)
+SELECT k.event_id, k.feature, l.label, v.value FROM k JOIN v USING (value_id) JOIN (SELECT DISTINCT event_id, label FROM label_events WHERE event_id IS NOT NULL) l ON l.event_id = k.event_id"""
+ORACLE["cross_entity"] = _CLEAN + r""", a AS (SELECT entity_id, regexp_extract(entity_id, '(\d+)$', 1) AS n, coalesce(max(value) FILTER (feature = 'credit'), 0) AS credit FROM last WHERE feature_group = 'rider_wallet' GROUP BY entity_id),
+b AS (SELECT entity_id, regexp_extract(entity_id, '(\d+)$', 1) AS n, coalesce(max(value) FILTER (feature = 'charge_pct'), 0) AS charge_pct FROM last WHERE feature_group = 'bike_power' GROUP BY entity_id)
 SELECT n, credit, charge_pct FROM a JOIN b USING (n) WHERE n <> ''"""
 ORACLE["runs_compare"] = _R + """, w AS (SELECT * FROM r WHERE run_id IN (1, 2, 4, 5)),
 a AS (SELECT 'param' AS kind, 'nation' AS name, run_id, c_nationkey::VARCHAR AS value FROM w UNION ALL

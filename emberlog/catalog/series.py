@@ -101,7 +101,7 @@ def ts_between_time(spark, d):
 
 def ts_time_range(spark, d):
     e = by_user(spark, d).filter((F.col("ts") >= F.lit("2024-01-05 10:00:00").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-05 14:00:00").cast("timestamp_ntz")))
-    return e.orderBy("seq").limit(100).select("key", "seq", "f")
+    return e.select("key", "seq", "f")
 
 
 def ts_share_above(spark, d):
@@ -142,6 +142,12 @@ def ts_backtest(spark, d):
     return S.performance(S.backtest(S.crossover(by_user(spark, d))))
 
 
+def ts_backtest_buy_and_hold(spark, d):
+    """The account of each event type that buys at the first value and never sells."""
+    held = S.backtest(by_type(spark, d).filter("f > 0").withColumn("signal", F.lit(1)))
+    return S.performance(held).select("key", "total_return", "max_drawdown")
+
+
 def ts_forecast_errors(spark, d):
     e = S.lags(by_user(spark, d), [1]).filter("lag_1 is not null")
     return S.forecast_errors(e, "f", "lag_1", ["key"])
@@ -170,7 +176,7 @@ def ts_hourly_rollup(spark, d):
 def wide_pivot(spark, d):
     from emberlog.sources.frames import to_wide
 
-    wide = to_wide(by_type(spark, d).filter("user_id < 5"), ["click", "error", "view"])
+    wide = to_wide(by_type(spark, d), ["click", "error", "view"])
     return wide.select("pos", "click", "error", "view")
 
 
@@ -205,7 +211,7 @@ SELECT *, CASE WHEN max_step > 150 THEN 'OBSTACLE' WHEN abs(mean_shift) > 5 THEN
 g AS (SELECT key, unnest(range(min(bin), max(bin) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bin FROM b GROUP BY key)
 SELECT g.key, epoch_us(g.bin) // 1000000 AS bin, b.mean, coalesce(b.n, 0) AS n FROM g LEFT JOIN b USING (key, bin)""",
     "ts_between_time": _U + "SELECT key, seq, f FROM s WHERE strftime(ts, '%H:%M:%S') BETWEEN '06:00:00' AND '12:00:00'",
-    "ts_time_range": _U + "SELECT key, seq, f FROM s WHERE ts >= TIMESTAMP '2024-01-05 10:00:00' AND ts < TIMESTAMP '2024-01-05 14:00:00' ORDER BY seq LIMIT 100",
+    "ts_time_range": _U + "SELECT key, seq, f FROM s WHERE ts >= TIMESTAMP '2024-01-05 10:00:00' AND ts < TIMESTAMP '2024-01-05 14:00:00'",
     "ts_share_above": _T + "SELECT key, sum((f > 24)::INT) AS above, count(*) AS total, 100.0::DOUBLE * sum((f > 24)::INT) / count(*) AS percent FROM s GROUP BY key",
     "ts_corr": _T + """, x AS (SELECT key, f AS a, (seq % 101)::DOUBLE AS b, (user_id % 13)::DOUBLE AS c FROM s)
 SELECT key, 'a' AS a, 'b' AS b, corr(a, b) AS corr FROM x GROUP BY key UNION ALL SELECT key, 'a', 'c', corr(a, c) FROM x GROUP BY key UNION ALL SELECT key, 'b', 'c', corr(b, c) FROM x GROUP BY key""",
@@ -223,6 +229,7 @@ SELECT key, seq, ma_short, ma_long, CASE WHEN ps <= pl AND ma_short > ma_long TH
 k AS (SELECT *, lag(ma_short) {_W}) AS ps, lag(ma_long) {_W}) AS pl FROM m WHERE n = 20)
 SELECT key, seq, ma_short, ma_long, CASE WHEN ps <= pl AND ma_short > ma_long THEN 1 WHEN ps >= pl AND ma_short < ma_long THEN -1 ELSE 0 END AS signal FROM k""",
     "ts_drawdown": _U + f"SELECT key, max((peak - f) / peak) AS max_drawdown FROM (SELECT *, max(f) {_W}) AS peak FROM s) GROUP BY key",
+    "ts_backtest_buy_and_hold": _T + f"""SELECT key, arg_max(f, seq) / arg_min(f, seq) - 1 AS total_return, max((peak - f) / peak) AS max_drawdown FROM (SELECT *, max(f) {_W}) AS peak FROM s WHERE f > 0) GROUP BY key""",
     "ts_forecast_errors": _U + f"SELECT key, avg(d * d) AS mse, sqrt(avg(d * d)) AS rmse, avg(abs(d)) AS mae FROM (SELECT key, f - lag(f) {_W}) AS d FROM s) WHERE d IS NOT NULL GROUP BY key",
     "ts_latency": _T + "SELECT key, " + ", ".join(f"list_sort(list(f))[least(floor(count(*) * {p} / 100)::INT, count(*) - 1) + 1] AS p{p}" for p in (50, 95, 99)) + " FROM s GROUP BY key",
     "ts_threshold_p99": _T + "SELECT key, seq, f FROM s JOIN (SELECT key, quantile_cont(f, 0.99) AS l FROM s GROUP BY key) USING (key) WHERE f > l",
@@ -230,6 +237,6 @@ SELECT key, seq, ma_short, ma_long, CASE WHEN ps <= pl AND ma_short > ma_long TH
 q AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY seq) AS n, max(step) OVER (PARTITION BY key, run) AS base FROM p)
 SELECT key, seq, CASE WHEN run = 0 THEN n - 1 ELSE base + n - 1 END AS step FROM q""",
     "ts_hourly_rollup": _T + "SELECT key, epoch_us(date_trunc('day', ts)::TIMESTAMP) // 1000000 AS day, count(*) AS n, round(sum(f), 2) AS total FROM s GROUP BY 1, 2",
-    "wide_pivot": _T + """, p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS pos FROM s WHERE user_id < 5 AND key IN ('click', 'error', 'view'))
+    "wide_pivot": _T + """, p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS pos FROM s WHERE key IN ('click', 'error', 'view'))
 SELECT pos, max(f) FILTER (key = 'click') AS click, max(f) FILTER (key = 'error') AS error, max(f) FILTER (key = 'view') AS view FROM p GROUP BY pos""",
 }

@@ -75,6 +75,13 @@ def float_history(log: DataFrame) -> DataFrame:
     return number_in_keys(floats.select("key", "seq", "f"), ["key"], ["seq"]).select("key", "pos", "seq", "f")
 
 
+def history_tensor(floats: DataFrame, chunk: int = 65_536) -> DataFrame:
+    """key, chunk, values: the float history (``float_history``) of every key as arrays of at most ``chunk`` values, so no key is one row."""
+    pairs = F.sort_array(F.collect_list(F.struct("pos", "f")))
+    cells = floats.withColumn("chunk", F.floor(F.col("pos") / chunk)).groupBy("key", "chunk").agg(pairs.alias("p"))
+    return cells.select("key", "chunk", F.transform("p", lambda x: x["f"]).alias("values"))
+
+
 def at_offset(log: DataFrame, seq: int) -> DataFrame:
     """The single write with this sequence number."""
     return log.filter(F.col("seq") == seq)
@@ -103,9 +110,9 @@ def delta_encode(series: DataFrame, key: str = "key", order: str = "seq", value:
     return out.withColumn("stored", F.when(F.col("is_delta"), F.col(value) - F.col("__before")).otherwise(F.col(value))).drop("__pos", "__block", "__before")
 
 
-def delta_decode(encoded: DataFrame, key: str = "key", order: str = "seq", stored: str = "stored", is_delta: str = "is_delta", value: str = "decoded", block: int = 4096) -> DataFrame:
-    """Running sums of the differences, begun anew at every absolute value. ``block``: as it was encoded with."""
-    placed = number_in_keys(encoded, [key], [order], "__pos").withColumn("__block", F.floor(F.col("__pos") / block))
+def delta_decode(encoded: DataFrame, key: str = "key", order: str = "seq", stored: str = "stored", is_delta: str = "is_delta", value: str = "decoded", block: int | None = 4096) -> DataFrame:
+    """Running sums of the differences, begun anew at every absolute value. ``block``: as it was encoded with; None: a key is one sequence."""
+    placed = number_in_keys(encoded, [key], [order], "__pos").withColumn("__block", F.floor(F.col("__pos") / block) if block else F.lit(0))
     by = Window.partitionBy(key, "__block").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     chain = placed.withColumn("__chain", F.sum(F.when(F.col(is_delta), 0).otherwise(1)).over(by))
     in_chain = Window.partitionBy(key, "__block", "__chain").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.numbering import number_rows
+from emberlog.operators.numbering import number_in_keys, number_rows
 
 
 def to_wide(series: DataFrame, names: Sequence[str], key: str = "key", order: str = "seq", value: str = "f", ts: str | None = None) -> DataFrame:
     """One row per position, one column per key; shorter series end in nulls. ``ts`` adds the earliest time of the position."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    rows = series.filter(F.col(key).isin(list(names))).withColumn("pos", place)
+    rows = number_in_keys(series.filter(F.col(key).isin(list(names))), [key], [order])  # a long series is numbered by ranges
     extra = [F.min(ts).alias(ts)] if ts else []
     return rows.groupBy("pos").pivot(key, list(names)).agg(F.first(value).alias("v"), *extra) if ts else rows.groupBy("pos").pivot(key, list(names)).agg(F.first(value))
 

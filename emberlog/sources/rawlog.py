@@ -159,5 +159,5 @@ def undo_differences(rows: DataFrame) -> DataFrame:
     from emberlog.operators.log import delta_decode
 
     floats = rows.filter("op <> 'D' and tag = 'float'")
-    decoded = delta_decode(floats, "key", "seq", "f", "is_delta", "decoded").withColumn("f", F.col("decoded")).drop("decoded")
+    decoded = delta_decode(floats, "key", "seq", "f", "is_delta", "decoded", block=None).withColumn("f", F.col("decoded")).drop("decoded")
     return decoded.unionByName(rows.filter("not (op <> 'D' and tag = 'float')")).withColumn("is_delta", F.lit(False))
