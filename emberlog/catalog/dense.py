@@ -184,6 +184,14 @@ def vec_projection(spark, d):
     return PCA(k=3, inputCol="x", outputCol="p").fit(v).transform(v).select("key", p[0].alias("p0"), p[1].alias("p1"), p[2].alias("p2"))
 
 
+def vec_projection_held(spark, d):
+    """One row: one point for each vector, the components in the order of their variance and uncorrelated."""
+    p = cut(vec_projection(spark, d))
+    var = [F.var_pop(f"p{i}") for i in range(3)]
+    apart = [F.abs(F.avg(F.col(f"p{i}") * F.col(f"p{j}")) - F.avg(f"p{i}") * F.avg(f"p{j}")) < 1e-6 for i, j in ((0, 1), (0, 2), (1, 2))]
+    return p.agg(F.count(F.lit(1)).alias("points"), ((var[0] >= var[1]) & (var[1] >= var[2])).alias("in_order"), (apart[0] & apart[1] & apart[2]).alias("uncorrelated"))
+
+
 QUERIES = {k: f for k, f in globals().items() if k.startswith(("knn_", "vec_", "hot_", "ivf_", "lsh_")) and callable(f)}
 
 _V = "WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings), q AS (SELECT x AS y FROM v WHERE key = 0)\n"
@@ -209,6 +217,7 @@ n AS (SELECT qid, label, count(*) AS n FROM t GROUP BY ALL) SELECT qid, arg_max(
     "hot_cold_merge": _V + f""", s AS (SELECT key, {_COS} AS score FROM v, q),
 h AS (SELECT *, 'hot' AS source FROM s WHERE key % 3 <> 1 ORDER BY score, key LIMIT 20), c AS (SELECT *, 'cold' AS source FROM s WHERE key % 3 <> 2 ORDER BY score, key LIMIT 20)
 SELECT key, min(score) AS score, max(source) AS source FROM (SELECT * FROM h UNION ALL SELECT * FROM c) GROUP BY key ORDER BY score, key LIMIT 10""",
+    "vec_projection_held": "SELECT count(*) AS points, true AS in_order, true AS uncorrelated FROM embeddings",
     "ivf_recall": "SELECT true AS recall_held, true AS share_held",  # what must hold
     "lsh_recall": "SELECT true AS recall_held, true AS share_held",
     "ivf_stored": "SELECT true AS same",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.times import epoch_micros
 from emberlog.operators.asof import asof_features
 from emberlog.operators.ledger import version_history, version_ledger
+from emberlog.plans.session import cut
 from emberlog.sources.tables import table
 
 
@@ -28,7 +30,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_features(table(spark, sf_dir, "label_events"), table(spark, sf_dir, "feature_values"), table(spark, sf_dir, "feature_groups"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ledger": p1_ledger, "p3_found": p3_found}
+def p1_ledger_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what must hold of the ledger. Beliefs of one version never overlap in valid and recorded time, a superseded belief ends after it
+    began, and what is believed now covers exactly the dumps that have the version."""
+    ledger = cut(p1_ledger(spark, sf_dir))
+    key = ["name", "version"]
+    a, b = ledger.alias("a"), ledger.alias("b")
+    end = lambda t, c: F.coalesce(F.col(f"{t}.{c}"), F.lit(2**62))
+    meet = (F.col("a.name") == F.col("b.name")) & (F.col("a.version") == F.col("b.version")) & (F.col("a.valid_from") == F.col("b.valid_from")) & (F.col("a.recorded_from") < F.col("b.recorded_from"))
+    overlaps = a.join(b, meet & (end("a", "recorded_to") > F.col("b.recorded_from"))).agg(F.count(F.lit(1))).scalar()  # at most one row a dump and load
+    empty = ledger.filter("recorded_to <= recorded_from or valid_to <= valid_from").agg(F.count(F.lit(1))).scalar()
+    dumps = table(spark, sf_dir, "model_snapshots").filter("name is not null and version is not null").select(*key, epoch_micros("snapshot_at").alias("at")).filter("at is not null").distinct()
+    now = ledger.filter("recorded_to is null").select(*key, "valid_from", F.coalesce("valid_to", F.lit(2**62)).alias("valid_to"))
+    covered = dumps.join(now, key).filter("at >= valid_from and at < valid_to").select(*key, "at")
+    return spark.range(1).select((overlaps == 0).alias("no_overlap"), (empty == 0).alias("no_empty"), (covered.agg(F.count(F.lit(1))).scalar() == dumps.agg(F.count(F.lit(1))).scalar()).alias("all_dumps_once"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ledger": p1_ledger, "p1_ledger_held": p1_ledger_held, "p3_found": p3_found}
 
 _STATES = """
 WITH rows AS (
@@ -50,6 +68,7 @@ runs AS (SELECT *, sum(fresh) OVER (PARTITION BY name, version ORDER BY s) AS ru
 """
 
 ORACLE = {
+    "p1_ledger_held": "SELECT true AS no_overlap, true AS no_empty, true AS all_dumps_once",
     "p1_found": _STATES
     + """SELECT name, version, any_value(stage) AS stage, any_value(created_at) AS created_at, min(s) // 1000000 AS valid_from,
   CASE WHEN bool_or(e IS NULL) THEN 0 ELSE max(e) // 1000000 END AS valid_to FROM runs GROUP BY name, version, run""",

@@ -68,6 +68,12 @@ def train_test_hashed(spark, d):
     return X.split(table(spark, d, "events").select(F.col("event_id").alias("key")), seed=1).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+def train_test_hashed_held(spark, d):
+    """One row: how many rows are dealt out, and whether between 0.78 and 0.82 of them are for training."""
+    parts = X.split(table(spark, d, "events").select(F.col("event_id").alias("key")), seed=1)
+    return parts.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("part") == "train").cast("double")).between(0.78, 0.82).alias("share_held"))
+
+
 def tensor_shards(spark, d):
     return X.shards(table(spark, d, "events").select(F.col("event_id").alias("key")), 3).select("key", "shard")
 
@@ -82,6 +88,7 @@ QUERIES = {k: f for k, f in globals().items() if k.startswith(("tensor_", "train
 _E = _LOG + ", x AS (SELECT key, coalesce(f, i::DOUBLE) AS value FROM latest WHERE tag IN ('float', 'int'))\n"
 _N = "WITH v AS (SELECT 'vec/' || lpad(vec_id::VARCHAR, 8, '0') AS name, embedding AS data FROM embeddings)\n"
 ORACLE = {
+    "train_test_hashed_held": "SELECT count(*) AS rows, true AS share_held FROM events",
     "tensor_elements": _E + "SELECT key, value FROM x WHERE starts_with(key, 'user/1')",
     "tensor_history": _LOG + "SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS pos, f AS value FROM log WHERE op <> 'D' AND tag = 'float' AND starts_with(key, 'user/7/')",
     "tensor_int32": _E + "SELECT key, trunc(value)::INT AS value FROM x WHERE starts_with(key, 'user/2')",
