@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.clusters import cluster_report, similarity_clusters
 from emberlog.llm.keyness import keyness, standout_terms
 from emberlog.llm.leaks import leaked_passages
-from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs
+from emberlog.llm.lookalikes import consistent_forms, look_equal_pairs, print_classes
 from emberlog.llm.neighbours import nearest
 from emberlog.llm.packing import mixture, mixture_report, pack
 from emberlog.llm.sampling import uniform_sample
+from emberlog.plans.session import cut
 from emberlog.sources.tables import table
 
 RECORD = ["session_id", "machine_id", "state", "action", "reward", "next_state"]
@@ -22,6 +26,15 @@ def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_sample(table(spark, sf_dir, "transitions"), RECORD, 1000, id="transition_id", seed=20250201)
 
 
+def p2_sample_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many records were drawn, and whether all are different, numbered densely and among the transitions."""
+    drawn = cut(p2_sample(spark, sf_dir))
+    known = table(spark, sf_dir, "transitions").select(*RECORD, F.lit(True).alias("known")).dropDuplicates(RECORD)
+    same = [drawn[c].eqNullSafe(known[c]) for c in RECORD]
+    hit = drawn.join(known, reduce(and_, same)).agg(F.count(F.lit(1))).scalar()
+    return drawn.agg(F.count(F.lit(1)).alias("drawn"), (F.countDistinct("position") == F.max("position") + 1).alias("dense"), (F.count(F.lit(1)) == hit).alias("all_known"))
+
+
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z-score of every term of every live document."""
     return keyness(table(spark, sf_dir, "sparse_postings"))
@@ -39,6 +52,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.join(sizes, "cluster_key", "left_semi").select("key", "cluster_key")
 
 
+def p5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every cluster of at least three keys."""
+    return p5_clusters(spark, sf_dir).select("cluster_key", "size")
+
+
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical keys of every cluster of at least three keys."""
     return cluster_report(similarity_clusters(table(spark, sf_dir, "mmap_vectors")))
@@ -81,6 +99,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_equal_pairs(table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of a class of texts that look the same, with the page that stands for the class."""
+    return print_classes(table(spark, sf_dir, "documents")).select("doc_id", "form_id")
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every page's text."""
     return consistent_forms(table(spark, sf_dir, "documents"))
@@ -112,13 +135,17 @@ near AS (SELECT a.key AS a, b.key AS b, round(1 - array_inner_product(a.x, b.x),
 """
 
 
+_CLUSTERS = """, reach AS (SELECT key AS a, key AS b FROM u UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b WHERE near.d <= 0.30),
+c AS (SELECT a AS key, min(b) AS cluster_key FROM reach GROUP BY a)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p7_mixture_held": "SELECT true AS mixture_held, true AS containers_few",  # what must hold
-        "p5_found": _PAIRS
-        + """, reach AS (SELECT key AS a, key AS b FROM u UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b WHERE near.d <= 0.30),
-c AS (SELECT a AS key, min(b) AS cluster_key FROM reach GROUP BY a)
-SELECT key, cluster_key FROM c QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 3""",
+        "p2_sample_held": f"SELECT least(1000, count(*)) AS drawn, true AS dense, true AS all_known FROM (SELECT DISTINCT {', '.join(RECORD)} FROM transitions)",
+        "p5_found": _PAIRS + _CLUSTERS + "SELECT key, cluster_key FROM c QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 3",
+        "p5_sizes": _PAIRS + _CLUSTERS + "SELECT cluster_key, count(*) AS size FROM c GROUP BY cluster_key HAVING count(*) >= 3",
         "p6_found": _PAIRS
         + """, three AS (SELECT a, b FROM near WHERE d <= 0.30 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 3)
 SELECT DISTINCT least(a, b) AS key_a, greatest(a, b) AS key_b FROM three""",
