@@ -75,7 +75,7 @@ class ListIndex:
     """Inverted lists: hierarchical k-means on at most ``sample`` rows, every row in the list of its nearest leaf.
 
     The number of lists follows the corpus: six times the square root of its rows, at most ``most``, over ``levels`` levels. A
-    search opens the ``nprobe`` nearest lists of each query (by default a thirty-second part of all, at least four).
+    search opens the ``nprobe`` nearest lists of each query (by default a thirty-second part of all, at least four, and as many as hold 4 k rows).
     """
 
     levels: int = 3
@@ -108,9 +108,9 @@ class ListIndex:
             raise IndexNotReady("fit the index first")
         return self.centres
 
-    @property
-    def default_probes(self) -> int:
-        return max(4, round(len(self._fitted()) / 32))
+    def default_probes(self, k: int) -> int:
+        lists = len(self._fitted())
+        return max(4, round(lists / 32), math.ceil(4 * k * lists / max(1, self.rows)))
 
     def place(self, vectors: DataFrame) -> DataFrame:
         """key, vector, list of (key, vector) rows."""
@@ -158,9 +158,9 @@ class ListIndex:
             raise IndexNotReady("save the index first")
         return spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows")
 
-    def probes(self, q: np.ndarray, nprobe: int | None = None) -> np.ndarray:
+    def probes(self, q: np.ndarray, k: int, nprobe: int | None = None) -> np.ndarray:
         """The nearest lists of each query, nearest first."""
-        return np.argsort(-(unit(q) @ self._fitted().T), axis=1, kind="stable")[:, : nprobe or self.default_probes]
+        return np.argsort(-(unit(q) @ self._fitted().T), axis=1, kind="stable")[:, : nprobe or self.default_probes(k)]
 
     def search(self, placed: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
         """qid, key, score, rank of (qid, vector) queries. placed: ``stored`` or ``place``d rows; only the opened lists of it are read."""
@@ -170,7 +170,7 @@ class ListIndex:
         return again_ranked(together(parts, placed.sparkSession, schema), k)
 
     def _search_block(self, placed: DataFrame, qids: pa.Array, q: np.ndarray, k: int, nprobe: int | None, schema: str) -> DataFrame:
-        opened = self.probes(q, nprobe)
+        opened = self.probes(q, k, nprobe)
         asks = {int(c): np.flatnonzero((opened == c).any(axis=1)) for c in np.unique(opened)}
         held = placed.sparkSession.sparkContext.broadcast((qids, q, asks))
         metric = metric_of(self.metric)
@@ -197,12 +197,12 @@ class ListIndex:
         """list, n."""
         return placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
 
-    def scanned(self, placed: DataFrame, queries: DataFrame, nprobe: int | None = None) -> float:
+    def scanned(self, placed: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None) -> float:
         """The share of all (query, row) pairs that a search measures."""
         n = np.zeros(len(self._fitted()))
         for r in self.sizes(placed).collect():  # one row a list
             n[r["list"]] = r["n"]
-        shares = [n[self.probes(q, nprobe)].sum(axis=1) / max(1.0, n.sum()) for _, q in queries_of(queries)]
+        shares = [n[self.probes(q, k, nprobe)].sum(axis=1) / max(1.0, n.sum()) for _, q in queries_of(queries)]
         return float(np.concatenate(shares).mean()) if shares else 0.0
 
 

@@ -81,7 +81,7 @@ def test_list_recall_on_clustered_vectors(spark):
     index = ListIndex().fit(df)
     placed, exact = index.place(df).cache(), K.search_batch(df, q, 10).cache()
     assert K.recall_at(index.search(placed, q, 10, 20), exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
-    assert index.scanned(placed, q, 20) <= 0.12
+    assert index.scanned(placed, q, 10, 20) <= 0.12
     hashes = HashIndex.sized(2000)
     buckets = hashes.buckets(df).cache()
     assert K.recall_at(hashes.search(buckets, df, q, 10), exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
@@ -107,7 +107,7 @@ def test_stored_indexes(spark, tmp_path):
     assert rows(lists.search(lists.stored(spark), q, 5)) == rows(lists.search(lists.place(df), q, 5))
     assert rows(hashes.search(*hashes.stored(spark), q, 5)) == rows(hashes.search(hashes.buckets(df), df, q, 5))
     one = lists.search(lists.stored(spark), q.filter("qid = 0"), 5, 2)
-    assert "PartitionFilters: [" in one._jdf.queryExecution().toString() and len({p for p in lists.probes(x[:1], 2)[0]}) == 2
+    assert "PartitionFilters: [" in one._jdf.queryExecution().toString() and len({p for p in lists.probes(x[:1], 5, 2)[0]}) == 2
     with pytest.raises(IndexNotReady):
         ListIndex.load(spark, str(tmp_path / "none"))
     with pytest.raises(DimensionMismatch):
