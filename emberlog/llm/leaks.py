@@ -28,7 +28,7 @@ found for a batch of pages at once (binary search), and most chance hits are dro
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -149,9 +149,12 @@ class Items:
         at = np.concatenate([np.zeros(0, np.int64), *at])
         numbers = piece_numbers(self.ids, self.size)[at]
         order = np.argsort(numbers, kind="stable")
-        self.numbers, self.at = numbers[order], at[order]
+        self.at = at[order]
+        self.different, first = np.unique(numbers[order], return_index=True)
+        self.first = np.append(first, len(at))  # places of each different piece in ``at``
         self.of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])  # item of each place in ids
-        self.bits, self.lengths = measures(list(self.vocabulary))
+        self.spelled = list(self.vocabulary)
+        self.bits, self.lengths = measures(self.spelled)
         self.budgets = {w: budget(w) for w in self.vocabulary}
         self.most = np.array(list(self.budgets.values()), np.int64)
         self.cache: dict[tuple[str, str], int] = {}
@@ -161,6 +164,13 @@ class Items:
         most, own = self.most[word], self.bits[word]
         return (np.abs(self.lengths[word] - lengths) <= most) & (np.bitwise_count(own & ~bits) <= most) & (np.bitwise_count(bits & ~own) <= most)
 
+    def misread(self, word: np.ndarray, bits: np.ndarray, lengths: np.ndarray, spelled: Callable[[int], str]) -> np.ndarray:
+        """Are other words (spelled(n) for the n-th) item words (ids) misread? Their letters and lengths tell most apart, the rest is compared."""
+        hit = self.alike(word, bits, lengths)
+        at = np.flatnonzero(hit)
+        hit[at] = [self.edits(self.spelled[w], spelled(n)) >= 0 for n, w in zip(at.tolist(), word[at].tolist())]
+        return hit
+
     def may_hold(self, word: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """May the item words (ids), perhaps misread, hold parts of which the letters are given? Never denies one that does."""
         return np.bitwise_count(bits & ~self.bits[word]) <= self.most[word]
@@ -191,14 +201,14 @@ class Page:
         self.start: list[int] = []  # first word of each line
         self.broken: list[bool] = []  # does the word end its line with a hyphen?
         for text in lines:
-            n, at, words = len(self.start), len(self.words), text.split()
-            bare = [w for w in (x.replace("-", "") for x in words) if w]
+            n, at, bare = len(self.start), len(self.words), text.replace("-", "").split()
             if bare:
                 self.words += bare
                 self.line += [n] * len(bare)
                 self.broken += [False] * len(bare)
                 self.start.append(at)
-                self.broken[-1] = words[-1][-1] == "-" and words[-1].strip("-") != ""
+                text = text.rstrip()
+                self.broken[-1] = text[-1] == "-" and text.rsplit(None, 1)[-1].strip("-") != ""
         self.start.append(len(self.words))
 
     def edges(self, items: Items) -> None:
@@ -305,25 +315,20 @@ def measures(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Edges:
     """The words that the pages' lines begin with (or end with): are two of them, perhaps misread, given item words? (Fewer where a line or item ends.)"""
 
-    def __init__(self, items: Items, pages: list[Page], begin: bool):
-        self.items, of, words, nexts = items, [], [], []
-        for n, page in enumerate(pages):
-            of += [n] * (len(page.start) - 1)
-            for a, b in zip(page.start, page.start[1:]):
-                x, y = (a, a + 1) if begin else (b - 1, b - 2)
-                inner = b - a > 2 or b - a == 2 and begin and not page.broken[y]  # a word at the line's other edge may be half a word
-                words.append(page.words[x])
-                nexts.append(page.words[y] if inner else "")
-        self.of, total = np.array(of, np.int64), len(items.vocabulary)
-        ids, self.nexts = (np.array([items.vocabulary.get(w, -1) for w in x], np.int64) for x in (words, nexts))
-        known = ids >= 0
-        self.single = np.unique((self.of * total + ids)[known & (self.nexts < 0)])
-        both = known & (self.nexts >= 0)
-        self.double = np.unique(((self.of * total + ids) * total + self.nexts)[both])
-        self.any = np.unique((self.of * total + ids)[known])
+    def __init__(self, items: Items, ids: np.ndarray, words: list[str], of: np.ndarray, at: np.ndarray, following: np.ndarray, pages: int):
+        """ids, words: of all words of the pages; of: page of each line; at: its first (last) word; following: the one beside it, -1 where it may be half a word."""
+        self.items, total = items, len(items.vocabulary)
+        first = ids[at]
+        nexts = np.where(following >= 0, ids[following], -1)
+        known = first >= 0
+        key = of * total + first
+        self.single, self.any = np.unique(key[known & (nexts < 0)]), np.unique(key[known])
+        both = known & (nexts >= 0)
+        self.double = np.unique(key[both] * total + nexts[both])
         odd = np.flatnonzero(~known)
-        self.bits, self.lengths = measures([words[n] for n in odd.tolist()])
-        self.nexts, self.start = self.nexts[odd], np.searchsorted(self.of[odd], np.arange(len(pages) + 1))
+        self.words = [words[n] for n in at[odd].tolist()]
+        self.bits, self.lengths = measures(self.words)
+        self.nexts, self.start = nexts[odd], np.searchsorted(of[odd], np.arange(pages + 1))
 
     def may_be(self, page: np.ndarray, word: np.ndarray, following: np.ndarray) -> np.ndarray:
         """following: the item word after (before) it, -1 if there is none."""
@@ -331,30 +336,36 @@ class Edges:
         key = page * total + word
         hit = within(self.single, key) | within(self.double, key * total + following) | (following < 0) & within(self.any, key)
         rest = np.flatnonzero(~hit)
-        times = self.start[page[rest] + 1] - self.start[page[rest]]
-        of = np.repeat(rest, times)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.start[page[rest]], times)
+        of, at = spread(self.start[page[rest]], self.start[page[rest] + 1])
+        of = rest[of]
         fits = (self.nexts[at] < 0) | (following[of] < 0) | (self.nexts[at] == following[of])
         of, at = of[fits], at[fits]
-        hit[of[self.items.alike(word[of], self.bits[at], self.lengths[at])]] = True
+        hit[of[self.items.misread(word[of], self.bits[at], self.lengths[at], lambda n: self.words[at[n]])]] = True
         return hit
 
+
 class Halves:
     """The words that lines end with, broken: is one of them, with a given rest, a given item word?"""
 
-    def __init__(self, items: Items, of: np.ndarray, bits: np.ndarray, lengths: np.ndarray, pages: int):
-        self.items, self.bits, self.lengths = items, bits, lengths
+    def __init__(self, items: Items, of: np.ndarray, words: list[str], pages: int):
+        self.items, self.words = items, words
+        self.bits, self.lengths = measures(words)
         self.start = np.searchsorted(of, np.arange(pages + 1))
 
-    def may_be(self, page: np.ndarray, word: np.ndarray, bits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        times = self.start[page + 1] - self.start[page]
-        of = np.repeat(np.arange(len(page)), times)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.start[page], times)
-        hit = np.zeros(len(page), bool)
-        hit[of[self.items.alike(word[of], bits[of] | self.bits[at], lengths[of] + self.lengths[at])]] = True
+    def may_be(self, page: np.ndarray, word: np.ndarray, bits: np.ndarray, rests: list[str]) -> np.ndarray:
+        of, at = spread(self.start[page], self.start[page + 1])
+        hit, lengths = np.zeros(len(page), bool), np.array([len(x) for x in rests], np.int64)
+        hit[of[self.items.misread(word[of], bits[of] | self.bits[at], lengths[of] + self.lengths[at], lambda n: self.words[at[n]] + rests[of[n]])]] = True
         return hit
 
 
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (n, i) with start[n] <= i < end[n]."""
+    times = end - start
+    n = np.repeat(np.arange(len(times)), times)
+    return n, np.arange(len(n)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start, times)
+
+
 def within(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
 
@@ -368,31 +379,42 @@ def leaks(items: Items, pages: list[Page]) -> list[tuple[int, int]]:
         words += [*page.words, ""]
         line += [*page.line, -1]
         broken += [*page.broken, False]
-    lines, kept, page_start = np.array(line), np.ones(len(words), bool), np.cumsum([0, *(len(page.words) + 1 for page in pages)])
-    halved, heads, at = np.flatnonzero(broken), np.zeros(len(words), np.uint64), -1
-    heads[halved], lengths = measures([words[p] for p in halved.tolist()])
-    halves = Halves(items, np.searchsorted(page_start, halved, "right") - 1, heads[halved], lengths, len(pages))
+    lines, split, page_start = np.array(line), np.array(broken), np.cumsum([0, *(len(page.words) + 1 for page in pages)])
+    known = items.vocabulary
+    ids = np.array([known.get(w, -1) for w in words])
+    ids[page_start[1:] - 1] = -3  # between pages
+    new_line = lines != np.append(-1, lines[:-1])
+    begin, end = np.flatnonzero(new_line & (lines >= 0)), np.flatnonzero((np.append(lines[1:], -1) != lines) & (lines >= 0))
+    of = np.searchsorted(page_start, begin, "right") - 1
+    size_of = end - begin + 1
+    edges = {
+        1: Edges(items, ids, words, of, begin, np.where((size_of > 2) | (size_of == 2) & ~split[end], begin + 1, -1), len(pages)),
+        -1: Edges(items, ids, words, of, end, np.where(size_of > 2, end - 1, -1), len(pages)),
+    }
+    halved, kept, at = np.flatnonzero(split), np.ones(len(words), bool), -1
+    halves = Halves(items, np.searchsorted(page_start, halved, "right") - 1, [words[p] for p in halved.tolist()], len(pages))
+    heads = np.zeros(len(words), np.uint64)
+    heads[halved] = halves.bits
     for p in halved.tolist():  # broken words are joined to the next line's first
         if p != at and lines[p + 1] >= 0:
             at = p + 1
             words[p] += words[at]
+            ids[p] = known.get(words[p], -1)
             kept[at] = False
     first = np.flatnonzero(kept)
     last = np.append(first[1:], len(kept)) - 1
-    words, made, heads = [words[p] for p in first.tolist()], last > first, heads[first]
+    words, made, heads, ids = [words[p] for p in first.tolist()], last > first, heads[first], ids[first]
     starts, ends = lines[first] != lines[first - 1], lines[last] != np.append(lines, -1)[last + 1]
     page_of = np.searchsorted(page_start, first, "right") - 1
     first, last = first - page_start[page_of], last - page_start[page_of]
-    ids = np.array([items.vocabulary.get(w, -1) if w else -3 for w in words])
-    known = np.maximum(ids, 0)
-    bits, lengths = items.bits[known], items.lengths[known]
+    bits, lengths = items.bits[np.maximum(ids, 0)], items.lengths[np.maximum(ids, 0)]
     odd = np.flatnonzero(ids < 0)
     bits[odd], lengths[odd] = measures([words[n] for n in odd.tolist()])
     numbers = piece_numbers(ids, size)
-    lo, hi = np.searchsorted(items.numbers, numbers, "left"), np.searchsorted(items.numbers, numbers, "right")
-    times = hi - lo
-    k = np.repeat(np.arange(len(times)), times)
-    at = items.at[np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)]
+    place = np.minimum(np.searchsorted(items.different, numbers), len(items.different) - 1)
+    hits = np.flatnonzero(items.different[place] == numbers)
+    k, at = spread(items.first[place[hits]], items.first[place[hits] + 1])
+    k, at = hits[k], items.at[at]
     for s in range(size):  # equal numbers, and equal words
         same = ids[k + s] == items.ids[at + s]
         k, at = k[same], at[same]
@@ -400,7 +422,6 @@ def leaks(items: Items, pages: list[Page]) -> list[tuple[int, int]]:
     need, reach = items.least - size, np.zeros(len(k), np.int64)
     item = items.of[at]
     for step, x, y, a_line in ((1, k + size - 1, at + size - 1, ends), (-1, k, at, starts)):
-        edges = Edges(items, pages, step > 0)
         x, y, live = x.copy(), y.copy(), np.arange(len(k))
         bound = items.start[item + 1] - 1 if step > 0 else items.start[item]
         wrong = np.zeros(len(k), np.int64)
@@ -411,16 +432,18 @@ def leaks(items: Items, pages: list[Page]) -> list[tuple[int, int]]:
             y[live] += step
             other, word = x[live], items.ids[y[live]]
             equal, odd = ids[other] == word, ids[other] == -1
-            alike = ~equal & odd & items.alike(word, bits[other], lengths[other])
+            alike = ~equal & odd
+            some = np.flatnonzero(alike)
+            alike[some] = items.misread(word[some], bits[other[some]], lengths[other[some]], lambda n, other=other, some=some: words[other[some[n]]])
             wrong[live[alike]] += 1  # one edit at least
             open_ = odd & made[other] & items.may_hold(word, heads[other])  # a word may be split by lines that don't belong to it
             if step < 0:
                 rest = np.flatnonzero(~equal & starts[other] & items.may_hold(word, bits[other]))
-                open_[rest] |= halves.may_be(page_of[k[live[rest]]], word[rest], bits[other[rest]], lengths[other[rest]])
+                open_[rest] |= halves.may_be(page_of[k[live[rest]]], word[rest], bits[other[rest]], [words[n] for n in other[rest].tolist()])
             edge = np.flatnonzero(~open_ & a_line[was])
             at_edge = y[live[edge]]
             following = np.where(at_edge == bound[live[edge]], -1, items.ids[at_edge + step])
-            open_[edge] = edges.may_be(page_of[k[live[edge]]], word[edge], following)
+            open_[edge] = edges[step].may_be(page_of[k[live[edge]]], word[edge], following)
             reach[live[open_]] += np.abs(bound - y)[live[open_]] + 1
             live = live[(equal | alike) & ~open_ & (wrong[live] <= 2 * items.errors)]
             reach[live] += 1
