@@ -200,3 +200,10 @@ def test_the_sample_does_not_depend_on_partitions(spark):
     a, b = V.hash_sample(df, 500, 100), V.hash_sample(df.repartition(7), 500, 100)
     assert a.shape == b.shape and len(a) <= 120 and (a == b).all()
     assert (V.hash_sample(df, 1, 10) == V.hash_sample(df.repartition(5), 1, 10)).all()  # more rows than expected
+
+
+def test_the_exact_way(spark):
+    rng = np.random.default_rng(13)
+    x = blobs(rng, [300, 200], [0.6, 0.9], 300)
+    wanted, found = neighbour_recall(spark, x, limit=3, near=-1.0, reach=-1.0, rerank=10_000, max_cell=100)
+    assert (found == wanted).all() and wanted.sum() == 3 * len(x)
