@@ -19,8 +19,9 @@ def _by(key: str, order: str):
 def rolling(df: DataFrame, n: int, key: str = "key", order: str = "seq", value: str = "f", full: bool = True, chunk: int | None = None) -> DataFrame:
     """Mean, population std, min, max, range and median of the last n values; full windows only, or nulls before that.
 
-    ``chunk``: rows per task of a key, for series in which one key holds a large part (see ``chunked``).
+    ``chunk``: rows per task of a key (see ``chunked``); where it isn't given, keys are counted, and those of more than HOT_ROWS rows are cut.
     """
+    chunk = chunk or hot_chunk(df, n - 1, key)
     df, by = _spread(df, n - 1, chunk, key, order)
     w = by.rowsBetween(-(n - 1), 0)
     v = F.col(value)
@@ -35,6 +36,7 @@ def rolling(df: DataFrame, n: int, key: str = "key", order: str = "seq", value:
 
 def differences(df: DataFrame, key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """diff1, diff2 (second difference) and abs_diff; the first row of a key has none."""
+    chunk = chunk or hot_chunk(df, 2, key)
     df, w = _spread(df, 2, chunk, key, order)
     one = df.withColumn("diff1", F.col(value) - F.lag(value).over(w))
     return _own(one.withColumns({"diff2": F.col("diff1") - F.lag("diff1").over(w), "abs_diff": F.abs("diff1")}), chunk)
@@ -42,6 +44,7 @@ def differences(df: DataFrame, key: str = "key", order: str = "seq", value: str
 
 def lags(df: DataFrame, by: Sequence[int] = (1, 5, 10, 20), key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """lag_n and lagdiff_n for every n; null where the key has no such row."""
+    chunk = chunk or hot_chunk(df, max(by), key)
     df, w = _spread(df, max(by), chunk, key, order)
     out = _own(df.withColumns({f"lag_{n}": F.lag(value, n).over(w) for n in by}), chunk)
     return out.withColumns({f"lagdiff_{n}": F.col(value) - F.col(f"lag_{n}") for n in by})
@@ -102,8 +105,8 @@ def drift(df: DataFrame, n: int = 50, jump: float = 0.5, shift: float = 0.3, key
 
 def downsample(df: DataFrame, n: int, key: str = "key", order: str = "seq", value: str = "f") -> DataFrame:
     """Means of blocks of n consecutive values; a short last block is dropped."""
-    place = F.row_number().over(_by(key, order)) - 1
-    blocks = df.withColumn("block", F.floor(place / n)).groupBy(key, "block").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    placed = number_in_keys(df, [key], [order], "__pos")
+    blocks = placed.withColumn("block", F.floor(F.col("__pos") / n)).groupBy(key, "block").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     return blocks.filter(F.col("n") == n).drop("n")
 
 
@@ -139,8 +142,7 @@ def correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
 def zip_series(df: DataFrame, names: Sequence[str], key: str = "key", order: str = "seq", value: str = "f", entity: str | None = None) -> DataFrame:
     """Aligns several series by position, as long as the shortest: pos and one column per name."""
     keys = [entity] if entity else []
-    place = F.row_number().over(Window.partitionBy(*keys, key).orderBy(order)) - 1
-    rows = df.filter(F.col(key).isin(list(names))).withColumn("pos", place)
+    rows = number_in_keys(df.filter(F.col(key).isin(list(names))), [*keys, key], [order])
     wide = rows.groupBy(*keys, "pos").agg(*[F.max(F.when(F.col(key) == n, F.col(value))).alias(n) for n in names], F.countDistinct(key).alias("__k"))
     return wide.filter(F.col("__k") == len(names)).drop("__k")
 
@@ -162,6 +164,7 @@ def sequences(df: DataFrame, length: int, ahead: int | None = 1, key: str = "key
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """signal 1 (buy) below mean - k sigma, -1 (sell) above mean + k sigma, else 0; full windows, the current row included."""
+    chunk = chunk or hot_chunk(df, n - 1, key)
     df, by = _spread(df, n - 1, chunk, key, order)
     w = by.rowsBetween(-(n - 1), 0)
     out = _own(df.withColumns({"__n": F.count(value).over(w), "mid": F.avg(value).over(w), "sigma": F.stddev_pop(value).over(w)}), chunk).filter(F.col("__n") == n).drop("__n")
@@ -171,6 +174,7 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, key: str = "key", orde
 
 def crossover(df: DataFrame, short: int = 10, long: int = 20, key: str = "key", order: str = "seq", value: str = "f", chunk: int | None = None) -> DataFrame:
     """signal 1 where the short mean rises over the long one, -1 where it falls under it, else 0."""
+    chunk = chunk or hot_chunk(df, long, key)
     df, w = _spread(df, long, chunk, key, order)
     ma = df.withColumns({"n": F.count(value).over(w.rowsBetween(-(long - 1), 0)), "ma_short": F.avg(value).over(w.rowsBetween(-(short - 1), 0)), "ma_long": F.avg(value).over(w.rowsBetween(-(long - 1), 0))}).filter(F.col("n") == long)
     p = ma.withColumns({"prev_short": F.lag("ma_short").over(w), "prev_long": F.lag("ma_long").over(w)})
@@ -184,6 +188,7 @@ def drawdown(df: DataFrame, key: str = "key", order: str = "seq", value: str = "
 
     With ``chunk``: the maximum before a chunk comes from the chunks' maxima, so a hot key is many tasks.
     """
+    chunk = chunk or hot_chunk(df, 1, key)
     if chunk is None:
         peak = F.max(value).over(_by(key, order).rowsBetween(Window.unboundedPreceding, 0))
         rows = df
@@ -270,6 +275,16 @@ def chunked(df: DataFrame, back: int, rows: int, key: str = "key", order: str =
     return numbered.withColumn("__chunk", F.explode(both)).withColumn("__ghost", F.col("__chunk") != F.floor(F.col("__pos") / rows))
 
 
+HOT_ROWS = 1_000_000
+
+
+def hot_chunk(df: DataFrame, back: int, key: str = "key", limit: int | None = None) -> int | None:
+    """Rows of a chunk, if some key has more than ``limit`` rows (counted, combined on the map side); else None: each key is one task's sort."""
+    limit = limit or HOT_ROWS
+    most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(limit // 2, 4 * back) if most > limit else None
+
+
 def _spread(df: DataFrame, back: int, rows: int | None, key: str, order: str):
     """(rows, window) for windows that look back ``back`` rows; with ``rows``, in chunks."""
     if rows is None:
@@ -281,11 +296,20 @@ def _own(df: DataFrame, rows: int | None) -> DataFrame:
     return df if rows is None else df.filter("not __ghost").drop("__pos", "__chunk", "__ghost")
 
 
-def auto_step(points: DataFrame, keys: Sequence[str], order: str, step: str = "step") -> DataFrame:
-    """Fills null steps: one more than the step before (explicit or counted), 0 for the first."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    run = F.count(step).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    marked = points.withColumn("__run", run)
-    base = F.max(step).over(Window.partitionBy(*keys, "__run"))
-    place = F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(order))
-    return marked.withColumn(step, F.coalesce(F.col(step), F.when(F.col("__run") == 0, place - 1).otherwise(base + place - 1)).cast("bigint")).drop("__run")
+def auto_step(points: DataFrame, keys: Sequence[str], order: str, step: str = "step", rows: int = 500_000) -> DataFrame:
+    """Fills null steps: one more than the step before (explicit or counted), 0 for the first.
+
+    Points are numbered by ranges, and the last explicit step before each chunk of ``rows`` points comes from the chunks', so a hot key is many tasks.
+    """
+    placed = number_in_keys(points, list(keys), [order], "__pos").withColumn("__chunk", F.floor(F.col("__pos") / rows))
+    placed = placed.withColumn("__given", F.when(F.col(step).isNotNull(), F.struct("__pos", F.col(step).cast("bigint").alias("step"))))
+    tops = placed.groupBy(*keys, "__chunk").agg(F.max("__given").alias("__top"))
+    before = F.max("__top").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))  # one row a chunk
+    tops = tops.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__of"), before.alias("__before"))
+    on = F.col("__chunk") == F.col("__of")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.max("__given").over(Window.partitionBy(*keys, "__chunk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0))
+    last = placed.join(tops, on).withColumn("__last", F.coalesce(inside, "__before"))
+    counted = F.coalesce(F.col("__last.step") + F.col("__pos") - F.col("__last.__pos"), F.col("__pos"))
+    return last.withColumn(step, counted.cast("bigint")).select(*points.columns)

@@ -188,3 +188,19 @@ def test_chunked_windows_equal_whole_ones(series):
         assert whole == cut
     with pytest.raises(ValueError):
         S.rolling(series, 20, chunk=10)
+
+
+def test_hot_keys_are_cut_and_give_the_same(spark, series, monkeypatch):
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    want = [S.rolling(series, 5), S.differences(series), S.lags(series, [1, 3]), S.bollinger(series, 5), S.crossover(series, 2, 5), S.drawdown(series)]
+    want = [(rows(w), w.columns) for w in want]
+    monkeypatch.setattr(S, "HOT_ROWS", 60)
+    assert S.hot_chunk(series, 4) == 30 and S.hot_chunk(series.limit(0), 4) is None
+    got = [S.rolling(series, 5), S.differences(series), S.lags(series, [1, 3]), S.bollinger(series, 5), S.crossover(series, 2, 5), S.drawdown(series)]
+    for (w, columns), g in zip(want, got):
+        assert rows(g.select(*columns)) == w
+    points = series.withColumn("step", F.when(F.col("seq") % 9 == 4, F.col("seq") % 50)).withColumn("key", F.when(F.col("key") == "a", "a"))
+    assert rows(S.auto_step(points, ["key"], "seq", rows=7)) == rows(S.auto_step(points, ["key"], "seq"))
+    assert S.auto_step(points, ["key"], "seq").count() == 200
