@@ -41,8 +41,10 @@ def elements(log: DataFrame, pattern: str, dtype: str = "float64", mode: str = "
     return rows.filter("value is not null")
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """n, data: one tensor of all elements in (key, pos) order. For one tensor that fits in a row; larger ones stay chunked."""
+def assemble(rows: DataFrame, most: int = 50_000_000) -> DataFrame:
+    """n, data: one tensor of all elements in (key, pos) order, in one row; more than ``most`` elements are refused (those stay chunked)."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} elements: read them in chunks")
     ordered = F.sort_array(F.collect_list(F.struct("key", "pos", "value")))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.transform(ordered, lambda x: x["value"]).alias("data"))
 

@@ -54,8 +54,10 @@ def export_jsonl(log: DataFrame, path: str, pattern: str = "*") -> int:
     return log.sparkSession.read.text(path).count()
 
 
-def export_json(log: DataFrame, path: str, pattern: str = "*") -> int:
-    """One JSON object key -> value, written by the driver as the rows stream in."""
+def export_json(log: DataFrame, path: str, pattern: str = "*", most: int = 5_000_000) -> int:
+    """One JSON object key -> value, written by the driver as the rows stream in; more than ``most`` records are refused (use JSON lines)."""
+    if selected(log, pattern).limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} records: export to JSON lines")
     n = 0
     with open(path, "w", encoding="utf-8") as f:
         f.write("{")
@@ -208,8 +210,10 @@ def import_jsonl(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     return to_rows(lines.mapInArrow(parse, "key string, type string, value string"), prefix)
 
 
-def import_json(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """One JSON object key -> value, read by the driver."""
+def import_json(spark: SparkSession, path: str, prefix: str = "", most: int = 1 << 30) -> DataFrame:
+    """One JSON object key -> value, read by the driver; a file of more than ``most`` bytes is refused (use JSON lines)."""
+    if os.path.getsize(path) > most:
+        raise ValueError(f"more than {most} bytes: import JSON lines")
     with open(path, encoding="utf-8") as f:
         rows = [(k, *_typed_json(v)) for k, v in json.load(f).items()]
     return to_rows(spark.createDataFrame(rows, "key string, type string, value string"), prefix)
