@@ -40,6 +40,13 @@ def tensor_chunks(spark, d):
     return chunks.select("name", "chunk_id", F.octet_length("data").alias("bytes"))
 
 
+def tensor_deleted(spark, d):
+    """Chunks left after the tensors whose name ends in 0 were deleted."""
+    chunks, meta = X.to_chunks(_named(spark, d), size=100)
+    chunks, meta = X.delete_chunked(chunks, meta, meta.select("name").filter(F.col("name").endswith("0")))
+    return chunks.join(meta.select("name"), "name").groupBy("name").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
 def tensor_meta(spark, d):
     _, meta = X.to_chunks(_named(spark, d), "float64", size=100)
     return meta.select("name", F.element_at("shape", 1).alias("n"), "dtype", "total_bytes", "chunk_count")
@@ -95,6 +102,7 @@ ORACLE = {
     "tensor_assemble": _E + "SELECT count(*) AS n, arg_min(value, key) AS first, arg_max(value, key) AS last, round(sum(value), 4) AS total FROM x WHERE starts_with(key, 'user/3')",
     "tensor_put": _N + "SELECT name || '/' || lpad((i - 1)::VARCHAR, 8, '0') AS key, round(e::DOUBLE, 6) AS value FROM (SELECT name, unnest(data) AS e, unnest(range(1, 65)) AS i FROM v)",
     "tensor_chunks": _N + "SELECT name, c AS chunk_id, least(100, 256 - c * 100) AS bytes FROM v, (SELECT unnest(range(0, 3)) AS c)",
+    "tensor_deleted": _N + "SELECT name, 3::BIGINT AS chunks, 256::BIGINT AS bytes FROM v WHERE NOT ends_with(name, '0')",
     "tensor_meta": _N + "SELECT name, len(data) AS n, 'float64' AS dtype, len(data) * 8 AS total_bytes, 6 AS chunk_count FROM v",
     "tensor_roundtrip": _N + "SELECT name, i AS pos, round(e::DOUBLE, 6) AS x FROM (SELECT name, unnest(data) AS e, unnest(range(0, 64)) AS i FROM v)",
     "tensor_batches": "SELECT b AS batch, count(*) AS n, min(event_id) AS first, round(sum(value), 4) AS total FROM (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS b FROM events) GROUP BY b",

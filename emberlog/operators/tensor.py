@@ -73,6 +73,12 @@ def to_chunks(arrays: DataFrame, dtype: str = "float32", size: int | None = None
     return chunks.select(name, "chunk_id", part.alias("data")), meta
 
 
+def delete_chunked(chunks: DataFrame, meta: DataFrame, names: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Chunks and meta without the named tensors (a column ``name``); an unknown name deletes nothing."""
+    gone = names.select(name).distinct()
+    return chunks.join(gone, name, "left_anti"), meta.join(gone, name, "left_anti")
+
+
 def from_chunks(chunks: DataFrame, meta: DataFrame, name: str = "name") -> DataFrame:
     """name, shape, dtype, data ARRAY<DOUBLE>; missing bytes fail the job."""
     whole = chunks.groupBy(name).agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "data"))), lambda c: c["data"]).alias("parts"))
