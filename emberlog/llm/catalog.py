@@ -69,7 +69,7 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of keys of which one is among the other's three most similar, at a cosine distance of at most 0.30."""
-    near = nearest(table(spark, sf_dir, "mmap_vectors")).filter("distance <= 0.30")
+    near = nearest(table(spark, sf_dir, "mmap_vectors"), within=0.30)
     return near.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
 
 

@@ -68,8 +68,8 @@ def directions(m: np.ndarray) -> np.ndarray:
 class Cells:
     """The coarse index: unit centres, the first ``leaders`` of them leaders; the others are rest blocks, without a direction."""
 
-    def __init__(self, leaders: np.ndarray, blocks: int, hold: float, near: float, reach: float, probes: int):
-        self.leaders, self.hold, self.near, self.reach, self.probes = len(leaders), hold, near, reach, probes
+    def __init__(self, leaders: np.ndarray, blocks: int, hold: float, near: float, reach: float, probes: int, once: bool = False):
+        self.leaders, self.hold, self.near, self.reach, self.probes, self.once = len(leaders), hold, near, reach, probes, once
         self.centres = np.concatenate([leaders, np.zeros((blocks, leaders.shape[1]))]).astype(np.float32)
         self.pieces = np.ones(len(self.centres), np.int64)
         self.first, self.copies = np.arange(len(leaders)), np.ones(len(leaders), np.int64)
@@ -81,11 +81,22 @@ class Cells:
         self.leaders = int(copies.sum())
         self.pieces = np.ones(len(self.centres), np.int64)
 
+    def met(self) -> np.ndarray:
+        """Does a row of one rest block visit the other? Of every two blocks one visits the other: the half of them that follow it in a ring."""
+        n = len(self.centres) - self.leaders
+        at = np.arange(n)
+        ahead = (at[None, :] - at[:, None]) % n
+        return (2 * ahead < n) | ((2 * ahead == n) & (at[:, None] < at[None, :]))
+
     def visits(self, unit: np.ndarray, drawn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, at home?) of every cell that a row belongs to or visits; drawn: a number of each row that draws its rest block."""
+        drawn = np.arange(len(unit)) if drawn is None else drawn
+        parts = [(a, self._visits(unit[a : a + 8192], drawn[a : a + 8192])) for a in range(0, len(unit), 8192)] or [(0, self._visits(unit, drawn))]
+        return tuple(np.concatenate(c) for c in zip(*((rows + a, cells, home) for a, (rows, cells, home) in parts)))
+
+    def _visits(self, unit: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = unit @ self.centres[: self.leaders].T
         loose = ~(s >= self.hold).any(axis=1)
-        drawn = np.arange(len(s)) if drawn is None else drawn
         home = np.zeros(len(s), np.int64)
         if self.leaders:
             best = s[:, self.first].argmax(axis=1)
@@ -93,7 +104,7 @@ class Cells:
         home[loose] = self.leaders + drawn[loose] % (len(self.centres) - self.leaders)
         out = np.zeros((len(s), len(self.centres)), bool)
         out[:, : self.leaders] = s >= np.where(loose, self.reach, self.near)[:, None]
-        out[loose, self.leaders :] = True
+        out[loose, self.leaders :] = self.met()[home[loose] - self.leaders] if self.once else True
         k = min(self.probes, self.leaders)
         if k and loose.any():
             top = np.argpartition(-s[loose], k - 1, axis=1)[:, :k]
@@ -117,9 +128,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 
 
 def fit_cells(
-    sample: np.ndarray, rows: int, *, lead: float = 0.6, hold: float = 0.5, near: float = 0.45, reach: float = 0.3, least: int = 4, max_cell: int = 32_000, probes: int = 8, spread: int = 8
+    sample: np.ndarray, rows: int, *, lead: float = 0.6, hold: float = 0.5, near: float = 0.45, reach: float = 0.3, least: int = 4, max_cell: int = 32_000, probes: int = 8, spread: int = 8, once: bool = False
 ) -> Cells:
-    """The cells for ``rows`` rows, of a sample of unit vectors in hash order. Loose rows are spread over up to ``spread`` blocks, more where one would exceed ``max_cell``."""
+    """The cells for ``rows`` rows, of a sample of unit vectors in hash order. Loose rows are spread over up to ``spread`` blocks, more where one would exceed ``max_cell``.
+
+    once: of two rest blocks only one visits the other, for searches that answer for both sides.
+    """
     dims = sample.shape[1]
     left, leaders = np.ones(len(sample), bool), []
     scale = rows / max(1, len(sample))
@@ -141,9 +155,10 @@ def fit_cells(
         else:
             leaders.append(kmeans(sample[mine], min(parts, len(mine))))
     lead_m = np.concatenate(leaders) if leaders else np.zeros((0, dims), np.float32)
-    loose = int((~(sample @ lead_m.T >= hold).any(axis=1)).sum() * scale)
+    held = sum(int((sample[a : a + 8192] @ lead_m.T >= hold).any(axis=1).sum()) for a in range(0, len(sample), 8192))
+    loose = int((len(sample) - held) * scale)
     blocks = max(1, -(-loose // max_cell), min(spread, loose // 1000))
-    model = Cells(lead_m, blocks, hold, near, reach, probes)
+    model = Cells(lead_m, blocks, hold, near, reach, probes, once)
     _, cells, home = model.visits(sample)
     expected = np.bincount(cells[home], minlength=len(model.centres))[: model.leaders] * scale
     model.repeat(np.maximum(1, np.ceil(expected / (2 * max_cell))).astype(np.int64))  # where the sample has too few vectors to split a region by
@@ -159,7 +174,8 @@ def hash_sample(rows: DataFrame, total: int, most: int, dims: int = DIMS) -> np.
     got = valid_rows(rows.filter(share), dims).select("key", "vector").orderBy(F.xxhash64(F.lit(77), F.col("key")), "key", "vector").limit(most * 6 // 5).toArrow()
     if not got.num_rows:
         return np.zeros((0, dims), np.float32)
-    unit = directions(matrix(got.column("vector"), dims)).astype(np.float32)
+    single = matrix(got.column("vector"), dims)
+    unit = np.concatenate([directions(single[i : i + 8192]).astype(np.float32) for i in range(0, len(single), 8192)])
     keys = np.array(got.column("key").to_pylist(), dtype=object)
     _, first = np.unique(keys, return_index=True)
     order = np.random.Generator(np.random.PCG64(5)).permutation(len(first))

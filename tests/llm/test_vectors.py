@@ -207,3 +207,65 @@ def test_the_exact_way(spark):
     x = blobs(rng, [300, 200], [0.6, 0.9], 300)
     wanted, found = neighbour_recall(spark, x, limit=3, near=-1.0, reach=-1.0, rerank=10_000, max_cell=100)
     assert (found == wanted).all() and wanted.sum() == 3 * len(x)
+
+
+def test_neighbours_within_a_distance(spark):
+    rng = np.random.default_rng(14)
+    x = blobs(rng, [400, 100] + [3] * 40, [0.5, 0.3] + [0.5] * 40, 2500)
+    x[-1] = x[-2] + 0.1 * x[-3]  # a pair of loose rows
+    u = V.directions(x)
+    d = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(d, 9)
+    want = {(i, int(j), r + 1) for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3]) if d[i, j] <= 0.3}
+    got = {(int(r.key[1:]), int(r.neighbour[1:]), r["rank"]) for r in N.nearest(table(spark, x), within=0.3, sample=600, max_cell=700).collect()}
+    assert (len(x) - 2, len(x) - 1, 1) in want
+    assert got == want
+
+
+def test_two_blocks_of_loose_rows_meet_once():
+    u = V.directions(np.random.default_rng(15).normal(size=(3000, 128))).astype(np.float32)
+    for blocks in (1, 2, 5, 8):
+        model = V.fit_cells(u, len(u), max_cell=-(-len(u) // blocks), spread=1, once=True)
+        assert len(model.centres) - model.leaders == blocks
+        met = model.met()
+        assert ((met | met.T) & ((met & met.T) == np.eye(blocks, dtype=bool))).all()
+        assert len(model.visits(u)[0]) <= len(u) * (blocks // 2 + 1)
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("spread", [0.05, 0.7, 5.0])
+def test_close_pairs_equal_brute_force(own, spread):
+    rng = np.random.default_rng(16)
+    x = V.directions(rng.normal(size=128) / 11 + rng.normal(size=(5600, 128)) * spread / 11)
+    x[5000:5200] = V.directions(x[:200] + 0.3 * x[200:400])
+    a, b = (x, x) if own else (x[:4700], x[4700:])
+    d = np.round(1 - a @ b.T, 9)
+    if own:
+        np.fill_diagonal(d, 9)
+
+    def best(d):
+        return {(i, int(j)) for i in range(len(d)) for j in np.argsort(d[i], kind="stable")[:4] if d[i, j] <= 0.3}
+
+    sides = [set(zip(q.tolist(), m.tolist())) for q, m, _ in N.search_close(a, None if own else b, 0.3, 4)]
+    if own:  # each pair is seen once, from both sides
+        assert best(d) <= sides[0] | sides[1]
+    else:
+        assert sides == [best(d), best(d.T)]
+
+
+def test_scan_proposes_those_of_the_highest_table_scores():
+    rng = np.random.default_rng(17)
+    words = rng.normal(size=(64, 16, 2)).astype(np.float32)
+    codes = rng.integers(0, 16, size=(9000, 64)).astype(np.uint8)
+    queries = rng.normal(size=(40, 128)).astype(np.float32)
+    tables = np.einsum("bwd,qbd->qbw", words, queries.reshape(40, 64, 2))
+    score = sum(tables[:, b, codes[:, b]] for b in range(64))
+    for keep in (1, 200, 9000):
+        q, m = N.scan(queries, N.decode(codes, words), keep)
+        assert len(q) <= max(3 * keep, keep + 40) * 40
+        for i in range(40):
+            assert set(np.argsort(-score[i])[:keep].tolist()) <= set(m[q == i].tolist())
+
+
+def test_the_sample_grows_with_the_rows():
+    assert N.sample_size(90_000) == 16_000 and N.sample_size(9_300_000) > 70_000
