@@ -13,7 +13,7 @@ Defined results
 
 Scale: three aggregations with map-side combining (by posting, by document, by term). Totals of terms that are in a large share
 of the postings, and of very long documents, are broadcast (a bounded number: ``skew.join_totals``), the others joined by a shuffle.
-A document's best terms come from ranking windows whose group limit is applied before the shuffle.
+A document's terms are ranked by z after one shuffle by document; only documents that z's proposals don't settle are ranked by score.
 """
 
 from __future__ import annotations
@@ -42,26 +42,45 @@ def keyness(postings: DataFrame, *, prior: float = 10.0) -> DataFrame:
     return x.select("doc_id", "term_id", "weight", "doc_freq", "num_documents", F.when((rest > tiny) & (rest_r > tiny), z).otherwise(F.lit(0.0)).alias("z"))
 
 
+def proposed_terms(scored: DataFrame, *, proposals: int = 4) -> DataFrame:
+    """doc_id, term_id, z, z_rank, score, second, settled: of the ``proposals`` terms of a document with the highest z (ties: smaller term) that with the
+    greatest score weight * ln(N / n) (ties: smaller term). second: the greatest other score of the document, null if it has one term only;
+    settled: no term outside the proposals has as great a score, so what is asked of the document's best term can be answered for this one.
+    """
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("z"), "term_id"))
+    ranked = _with_score(scored).withColumn("z_rank", rank)
+    proposed = F.struct((-F.col("score")).alias("less"), "term_id", "z", "z_rank")
+    per_doc = ranked.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("z_rank") <= proposals, proposed))).alias("proposed"),
+        F.max(F.when(F.col("z_rank") > proposals, F.col("score"))).alias("outside"),
+    )
+    best, score = F.get("proposed", F.lit(0)), -F.get("proposed", F.lit(0))["less"]
+    second = F.greatest(-F.get("proposed", F.lit(1))["less"], F.col("outside"))
+    settled = F.col("outside").isNull() | (score > F.col("outside"))
+    return per_doc.select("doc_id", best["term_id"].alias("term_id"), best["z"].alias("z"), best["z_rank"].alias("z_rank"), score.alias("score"), second.alias("second"), settled.alias("settled"))
+
+
+def _with_score(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", "term_id", "z", (F.col("weight") * F.log(F.col("num_documents") / F.col("doc_freq"))).alias("score"))
+
+
 def standout_terms(scored: DataFrame, *, ratio: float = 3.0, proposals: int = 4) -> DataFrame:
     """doc_id, term_id, z, z_rank: the terms whose weight * ln(N / n) is at least ``ratio`` times every other score of their document.
 
-    z proposes: the ``proposals`` terms of a document with the highest z (ties: smaller term), of which the one that passes the exact
-    check is given, with its rank. Documents whose best exact score none of the proposals has are the rest, and are decided by that
-    score alone (z_rank null), so no case is lost to z. Documents of one term give nothing; of equal best scores the smaller term
-    counts as the best.
+    z proposes: what ``proposed_terms`` settles is given with its rank by z, if it passes the exact check; other scores of these documents are not ranked.
+    Documents that the proposals don't settle are the rest, and only they are decided by a ranking of the exact score (z_rank null), so no
+    case is lost to z. Documents of one term give nothing; of equal best scores the smaller term counts as the best.
     """
-    s = scored.select("doc_id", "term_id", "z", (F.col("weight") * F.log(F.col("num_documents") / F.col("doc_freq"))).alias("score"))
-
-    def ranked(by: str, most: int) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(by), "term_id"))
-        return s.withColumn("r", rank).filter(F.col("r") <= most).withColumn("by", F.lit(by))
-
-    both = ranked("z", proposals).unionByName(ranked("score", 2))
+    proposed = cut(proposed_terms(scored, proposals=proposals))  # a row a document, read twice
+    rest = _with_score(scored).join(proposed.filter(~F.col("settled")).select("doc_id"), "doc_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term_id"))
     term = F.struct("term_id", "score", "z")
-    per_doc = both.groupBy("doc_id").agg(
-        F.max(F.when((F.col("by") == "score") & (F.col("r") == 1), term)).alias("best"),
-        F.max(F.when((F.col("by") == "score") & (F.col("r") == 2), F.col("score"))).alias("second"),
-        F.collect_list(F.when(F.col("by") == "z", F.struct("term_id", "r"))).alias("proposed"),
+    decided = (
+        rest.withColumn("r", rank)
+        .filter(F.col("r") <= 2)
+        .groupBy("doc_id")
+        .agg(F.max(F.when(F.col("r") == 1, term)).alias("best"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
+        .select("doc_id", "best.term_id", "best.z", F.lit(None).cast("int").alias("z_rank"), "best.score", "second")
     )
-    own = F.filter("proposed", lambda x: x["term_id"] == F.col("best.term_id"))
-    return per_doc.filter(F.col("best.score") >= ratio * F.col("second")).select("doc_id", "best.term_id", "best.z", F.get(own, F.lit(0))["r"].alias("z_rank"))
+    found = proposed.filter("settled").drop("settled").unionByName(decided)
+    return found.filter(F.col("score") >= ratio * F.col("second")).select("doc_id", "term_id", "z", "z_rank")

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from emberlog.llm.keyness import keyness, standout_terms
+from emberlog.llm.keyness import keyness, proposed_terms, standout_terms
 from emberlog.llm.sampling import feistel, uniform_sample
 
 KEYS = ["session_id", "state", "reward"]
@@ -134,3 +134,26 @@ def test_z_proposes_and_the_rest_is_exact(spark):
     other = {(r.doc_id, r.term_id): r.z_rank for r in standout_terms(turned).collect()}
     assert set(other) == set(got) and set(other.values()) == {None}
     assert {(r.doc_id, r.term_id) for r in standout_terms(scored, proposals=1).collect()} == set(got)
+
+
+def test_what_z_settles_is_not_ranked_by_score(spark):
+    rnd = random.Random(6)
+    data = [(1, d, f"k{d}", t, round(rnd.uniform(0.1, 3), 2)) for d in range(60) for t in range(40) if rnd.random() < 0.2 + 0.7 * (t == 0)]
+    data += [(1, d, f"k{d}", 100 + d, 30.0) for d in range(0, 60, 4)]
+    scored = keyness(spark.createDataFrame(data, POSTINGS)).cache()
+    cases = {(r.doc_id, r.term_id) for r in standout_terms(scored).collect()}
+    passing = "settled and score >= 3 * second"
+    assert {(r.doc_id, r.term_id) for r in proposed_terms(scored).filter(passing).collect()} == cases and len(cases) >= 15
+    turned = scored.withColumn("z", -scored["z"])
+    left = proposed_terms(turned)  # with another z the proposals settle other documents, and none of the cases
+    assert left.filter(passing).count() == 0 and {d for d, _ in cases} <= {r.doc_id for r in left.filter("not settled").collect()}
+    # a score is ranked only where z leaves it open: one that z has settled can be taken from the others' ranking
+    assert proposed_terms(scored).filter("not settled").count() < 60 - len(cases)
+    assert proposed_terms(scored, proposals=1000).filter("settled").count() == 60
+
+
+def test_equal_scores_and_single_terms(spark):
+    data = [(1, d, f"k{d}", t, 1.0) for d in range(3) for t in range(9, 0, -1)] + [(1, 3, "k3", t, 1.0) for t in range(1, 10)] + [(1, 4, "k4", 50, 1.0)]
+    zero = keyness(spark.createDataFrame(data[:36], POSTINGS))  # every term is in every document: all scores are 0
+    assert {(r.doc_id, r.term_id) for r in standout_terms(zero).collect()} == {(d, 1) for d in range(4)}
+    assert standout_terms(keyness(spark.createDataFrame(data, POSTINGS))).count() == 0  # equal best scores; one term
