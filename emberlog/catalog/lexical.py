@@ -59,9 +59,8 @@ def lex_topk(spark, d):
 
 
 def _batch(spark, d):
-    w = words(spark, d)
-    q = S.lexical_postings(table(spark, d, "documents").filter("doc_id % 50 = 0 and text is not null")).withColumnRenamed("doc_id", "qid")
-    return S.search_batch(w, q, 10)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return S.search_texts(docs, docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "qid"), 10)
 
 
 def lex_topk_batch(spark, d):
