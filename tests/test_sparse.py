@@ -77,3 +77,13 @@ def test_scores_of_blocks(asked, common, most, monkeypatch):
 def test_lex_topk_batch_forms_no_pairs_of_postings(spark, data):
     plan = catalog.queries()["lex_topk_batch"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_retrieval_eval_forms_no_pairs_of_postings(spark, tmp_path):
+    """Of pages 50 to 250, one is beaten by 12 longer ones, one comes second, two first; the empty one has no score and isn't asked."""
+    longer = [(1000 + i, "river river mill mill") for i in range(1, 13)]
+    pages = [(50, "river mill"), (100, "bridge"), (101, "bridge bridge"), (150, "tower clock"), (200, "garden"), (250, ""), (300, None), (151, "clock")]
+    spark.createDataFrame(longer + pages, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.queries()["retrieval_eval"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.select("recall_at_k", "mrr", "queries").collect()] == [(0.75, 0.625, 4)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the truth with what was found
